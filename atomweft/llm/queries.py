@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import common, packing, token_files, wordpiece
+from . import common, mixing, packing, secrets, token_files, wordpiece
+
+
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    found = secrets.digest(secrets.scan(docs, common.shared_dir(spark, "ledger"))).drop("findings")
+    versions = docs.select("doc_id", secrets.blob_id(docs["text"]).alias("blob"))
+    return versions.join(found, "blob", "left").drop("blob")
+
+
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(common.documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,8 +33,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_pack": op3_pack, "op8_token_files": op8_token_files}
+    return {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_pack": op3_pack, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_mix": mixing.SQL}
