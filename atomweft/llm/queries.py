@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import common, mixing, packing, secrets, token_files, wordpiece
+from . import common, mixing, packing, secrets, simhash, token_files, wordpiece
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,12 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(common.documents(spark, sf_dir), wordpiece.default_path())
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    found = simhash.classes(common.documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     docs = common.documents(spark, sf_dir)
@@ -33,7 +40,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_pack": op3_pack, "op8_token_files": op8_token_files}
+    return {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_pack": op3_pack, "op7_simhash": op7_simhash, "op8_token_files": op8_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
