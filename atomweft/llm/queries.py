@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, packing, secrets, simhash, token_files, wordpiece
+from . import common, language, mixing, packing, quality, secrets, simhash, token_files, wordpiece
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,15 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(common.documents(spark, sf_dir), wordpiece.default_path())
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    docs = common.documents(spark, sf_dir)
+    held = language.fold(F.col("doc_id"), 3) == 1
+    model = language.train(docs.select("doc_id", "text", "lang").filter(~held))
+    found = language.predict(docs, model)
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     found = simhash.classes(common.documents(spark, sf_dir))
@@ -39,8 +48,16 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    measured = common.materialise(quality.measure(common.documents(spark, sf_dir)), common.shared_dir(spark, "measured"))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    judged = quality.judge(measured, quality.fit(measured, labels))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_pack": op3_pack, "op7_simhash": op7_simhash, "op8_token_files": op8_token_files}
+    return {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_pack": op3_pack, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_token_files": op8_token_files, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
