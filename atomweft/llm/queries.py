@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language, mixing, packing, quality, secrets, simhash, token_files, wordpiece
+from . import common, language, mixing, packing, quality, secrets, simhash, syncmers, token_files, warc, wordpiece
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,18 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(common.documents(spark, sf_dir), wordpiece.default_path())
 
 
+def op4_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.digest(common.documents(spark, sf_dir))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    archives = warc.write(warc.planned(pages), common.shared_dir(spark, "warc"))
+    found = warc.referred(warc.assemble(warc.read(archives, with_payload=False)))
+    return found.select(F.col("metadata.page_id").alias("page_id"), F.col("response.payload_bytes").alias("payload_bytes"), "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     docs = common.documents(spark, sf_dir)
@@ -57,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_pack": op3_pack, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_token_files": op8_token_files, "op10_quality": op10_quality}
+    return {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_pack": op3_pack, "op4_syncmers": op4_syncmers, "op5_warc": op5_warc, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_token_files": op8_token_files, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
