@@ -84,6 +84,25 @@ class EliasFano:
             w &= w - 1
         return word * 64 + (w & -w).bit_length() - 1
 
+    def many(self, at: np.ndarray) -> np.ndarray:
+        """The values at many places, by vectorised select; nothing is decoded as a whole."""
+        if self._samples is None and self.n:
+            self._select(0)
+        at = np.asarray(at, np.int64)
+        word = np.searchsorted(self._ranks, at, side="right")
+        left = at - np.where(word > 0, self._ranks[np.maximum(word - 1, 0)], 0)
+        w, pos = np.asarray(self.high)[word], word * 64
+        for s in (32, 16, 8, 4, 2, 1):
+            low = w & np.uint64((1 << s) - 1)
+            c = np.bitwise_count(low).astype(np.int64)
+            up = left >= c
+            left -= np.where(up, c, 0)
+            w = np.where(up, w >> np.uint64(s), low)
+            pos += np.where(up, s, 0)
+        high = (pos - at).astype(np.uint64) << np.uint64(self.width)
+        rel = high | _unpack(self.low, at, self.width)
+        return (rel + np.uint64(self.first & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
+
     def __len__(self) -> int:
         return self.n
 

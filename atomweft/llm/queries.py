@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, language, mixing, packing, quality, secrets, simhash, syncmers, token_files, warc, wordpiece
+from . import common, language, mixing, ngrams, packing, quality, secrets, simhash, syncmers, token_files, warc, wordpiece
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +60,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(manifest)
 
 
+def op9_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    common.small_batches(spark)
+    docs = common.documents(spark, sf_dir)
+    held = language.fold(F.col("doc_id"), 5) == 1
+    model = ngrams.train(docs.select("doc_id", "text").filter(~held), common.shared_dir(spark, "trie"))
+    scored = ngrams.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     measured = common.materialise(quality.measure(common.documents(spark, sf_dir)), common.shared_dir(spark, "measured"))
@@ -69,7 +78,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_pack": op3_pack, "op4_syncmers": op4_syncmers, "op5_warc": op5_warc, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_token_files": op8_token_files, "op10_quality": op10_quality}
+    return {"op1_secrets": op1_secrets, "op2_mix": op2_mix, "op3_pack": op3_pack, "op4_syncmers": op4_syncmers, "op5_warc": op5_warc, "op6_language": op6_language, "op7_simhash": op7_simhash, "op8_token_files": op8_token_files, "op9_ngrams": op9_ngrams, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
