@@ -63,14 +63,19 @@ def source_quotas(wanted: DataFrame, block: int = BLOCK) -> DataFrame:
     return q.join(change, "rank", "left").select("rank", "source", "source_size", "target", (F.col("q0") + F.coalesce("by", F.lit(0))).alias("blocks"))
 
 
-def mix(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = SEED) -> DataFrame:
-    """`sized` (materialised) plus source_size, target, full (whole passes), part (words of a further, cut pass), taken."""
+def mix(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK, shard_words: int = SHARD_WORDS, seed: str = SEED, rows: DataFrame | None = None) -> DataFrame:
+    """Rows plus source_size, target, full (whole passes), part (words of a further, cut pass), taken.
+
+    `sized` (materialised) has doc_id, source and size of all documents; `rows` are the same with further columns, or `sized`.
+    """
     words = sized.agg(F.sum("size")).first()[0] or 0
     shards = max(1, -(-words // shard_words))
     key = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    keyed = sized.withColumn("key", key).withColumn("shard", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % shards)
+    place = lambda df: df.withColumn("key", key).withColumn("shard", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % shards)
+    carried = (sized if rows is None else rows).columns
+    keyed, sized = place(sized if rows is None else rows), place(sized)
     quotas = source_quotas(targets(sized, weights, share, cap), block)
-    cells = keyed.groupBy("source", "shard").agg(F.sum("size").alias("cell"))
+    cells = sized.groupBy("source", "shard").agg(F.sum("size").alias("cell"))
     cells = cells.withColumnRenamed("source", "s").join(quotas, F.col("s").eqNullSafe(F.col("source"))).drop("s")
     of = Window.partitionBy("rank")
     cells = cells.withColumn("q0", F.when(F.col("source_size") > 0, F.floor(F.col("blocks") * F.col("cell") / F.greatest("source_size", F.lit(1)) + 0.5)).otherwise(F.lit(0)))
@@ -86,7 +91,7 @@ def mix(sized: DataFrame, weights=(3, 1, 2), share: float = 1.5, cap: float = 2.
     cell = F.greatest("cell", F.lit(1))
     rows = rows.withColumn("end", F.sum("size").over(seeded)).withColumn("full", F.floor(F.col("words") / cell)).withColumn("rest", F.col("words") % cell)
     rows = rows.withColumn("part", F.greatest(F.lit(0).cast("long"), F.least("end", "rest") - (F.col("end") - F.col("size"))))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "full", "part", (F.col("full") * F.col("size") + F.col("part")).alias("taken"))
+    return rows.select(*carried, "source_size", "target", "full", "part", (F.col("full") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
@@ -94,6 +99,22 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     return mix(common.materialise(sizes(docs), common.shared_dir(docs.sparkSession, "sizes")), **how)
 
 
+def mixed_texts(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself, in the columns of `docs`: a row for each whole pass, and one for a cut pass with the first words of the text."""
+    sized = common.materialise(sizes(docs), common.shared_dir(docs.sparkSession, "sizes"))
+    count = F.coalesce(F.regexp_count(F.col("text"), F.lit(common.WORD)).cast("long"), F.lit(0).cast("long"))
+    rows = mix(sized, rows=docs.withColumn("source", F.col("source").cast("string")).withColumn("size", count), **how)
+    copies = F.concat(F.array_repeat(F.lit(False), F.col("full").cast("int")), F.when(F.col("part") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
+    rows = rows.withColumn("__cut", F.explode(copies))
+    pieces = F.split("text", r"(?<=[\x20\x09-\x0D])(?=[^\x20\x09-\x0D])")  # a word and the white space after it
+    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
+    text = F.when(F.col("__cut"), F.array_join(F.slice(pieces, F.lit(1), (F.col("part") + lead).cast("int")), "")).otherwise(F.col("text"))
+    out = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
 SQL = r"""
 WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 keyed AS (SELECT *, md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM sized),

@@ -126,4 +126,7 @@ def redact(docs: DataFrame, ledger_dir: str, mark: str = "[SECRET]") -> DataFram
         return F.struct(stop.alias("at"), out.alias("out"))
 
     done = F.aggregate("__found", start, step, lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.lit(2147483647))))
-    return rows.withColumn("text", F.when(F.col("__found").isNotNull(), done).otherwise(F.col("text"))).select(*docs.columns)
+    out = rows.withColumn("text", F.when(F.col("__found").isNotNull(), done).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
+    return out.select(*docs.columns)

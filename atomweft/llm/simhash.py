@@ -58,16 +58,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def tag_of(text: str):
+    return F.xxhash64(common.text_or_empty(text)).alias("tag")
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a long)."""
+    """doc_id, a tag of the text and fp (the fingerprint's bits as a long)."""
 
     def run(batches):
         for batch in batches:
-            got = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got.view(np.int64))], names=["doc_id", "fp"])
+            got = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got.view(np.int64))], names=["doc_id", "tag", "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of("text"), F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def syndrome(v: np.ndarray) -> np.ndarray:
@@ -197,7 +201,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, group: int = GROUP) ->
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fp and component_id: the smallest doc_id reachable over links."""
+    """doc_id, tag, fp and component_id: the smallest doc_id reachable over links."""
     spark = docs.sparkSession
     marked = common.materialise(fingerprints(docs, shingle), common.shared_dir(spark, "fingerprints"))
     distinct = common.materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), common.shared_dir(spark, "distinct"))
@@ -205,15 +209,17 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(ids, "fp").select("doc_id", "tag", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component: that with its id, of repeated rows the least text; a component of null ids keeps its rows."""
-    found = classes(docs, shingle, distance)
-    kept = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    repeated = rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 AND doc_id IS NOT NULL").select("doc_id")
-    once = rows.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    many = rows.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return once.unionByName(many)
+    """One document of each component: that whose id names it, of repeated ids the text with the least tag.
+
+    Rows without an id stay only where their whole component has none.
+    """
+    found = classes(docs, shingle, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.groupBy("doc_id").agg(F.min("tag").alias("__tag"), F.count("*").alias("__n")).select(F.col("doc_id").alias("__id"), "__tag", (F.col("__n") > 1).alias("__many"))
+    named = docs.withColumn("__own", F.xxhash64(common.text_or_empty()))
+    rows = named.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__id").isNull() | (F.col("__own") == F.col("__tag"))))
+    once, many = rows.filter(F.col("__id").isNull() | ~F.col("__many")), rows.filter(F.col("__id").isNotNull() & F.col("__many"))
+    return once.select(*docs.columns).unionByName(many.dropDuplicates(["doc_id"]).select(*docs.columns))
