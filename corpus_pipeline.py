@@ -1,16 +1,51 @@
-"""Corpus pipeline: stages over documents, each one of the training-data operators."""
+"""Corpus pipeline: language ID, near-duplicates, secrets, source mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. A stage's
+result is written as Parquet in the shared folder and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from atomweft.llm import common, language, mixing, packing, secrets, simhash, wordpiece
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents whose language can't be told (`und`)."""
+    common.small_batches(spark)
+    return language.accepted(docs, language.train(docs.select("doc_id", "text", "lang")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each SimHash component."""
+    common.small_batches(spark)
+    return simhash.keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace every secret found; no document goes."""
+    return secrets.redact(docs, common.shared_dir(spark, "ledger"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take documents as often, and as far, as their source's target has it."""
+    return mixing.mixed_texts(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens and their places in sequences."""
+    common.small_batches(spark)
+    return packing.best_fit(docs, wordpiece.default_path())
+
+
+STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("secret_scan", secret_scan), ("source_mix", source_mix), ("pack", pack)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    docs, base = spark.read.parquet(f"{sf_dir}/documents.parquet"), common.shared_dir(spark, "pipeline")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = common.materialise(stage(spark, docs, sf_dir), f"{base}/{n}")
     return docs
