@@ -1,11 +1,521 @@
-"""Registered queries over the driver tables, and the SQL that checks them."""
+"""Registered queries: every operator over whole driver tables; `oracle` has the SQL that checks them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import elements, units
+from ..functions import kernels as k
+from ..operators import autodiff, batch, bond, checks, distance, geometry, linalg, pairs
+from ..operators import ncoord as nc
+from ..sources import reader, writer
+from . import oracle as sql
+from .views import atoms, matrices, padded, rounded, table, tidy, vectors
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+# scalar functions ---------------------------------------------------------------------------
+
+
+def _log(c):
+    return rounded(F.log10(F.abs(c)))
+
+
+def _signed_log(c):
+    """For values over many magnitudes, of which rounding to decimals would compare the last bit."""
+    return F.signum(c) * F.log10(F.lit(1.0) + F.abs(c))
+
+
+def _scalar(name: str, source: str, key: str, *columns: Callable) -> None:
+    """A projection of one table: key and named columns."""
+
+    def run(spark, sf_dir):
+        return table(spark, sf_dir, source).select(key, *[c() for c in columns])
+
+    run.__name__ = name
+    query(run)
+
+
+_bal = lambda: F.when(F.col("c_custkey") % 9 == 0, F.lit(0.0)).otherwise(F.col("c_acctbal"))
+_y = lambda: (F.col("event_id") % 3).cast("double")
+_scalar("safe_divide", "events", "event_id", lambda: rounded(k.divide(F.col("value"), _y()) * F.when(_y() == 0, F.lit(k.EPS)).otherwise(F.lit(1.0))).alias("r"))
+_scalar("safe_reciprocal", "customer", "c_custkey", lambda: _log(k.reciprocal(_bal())).alias("r"))
+_scalar("safe_pow_int", "customer", "c_custkey", lambda: rounded(k.power(_bal() / 1000.0, 3)).alias("cube"), lambda: _log(k.power(_bal(), -2)).alias("square"))
+_scalar("safe_pow_frac", "customer", "c_custkey", lambda: _log(k.power(_bal(), 0.5)).alias("r"))
+_scalar("safe_pow_neg", "customer", "c_custkey", lambda: _log(k.power(_bal(), -1.5)).alias("r"))
+_scalar("safe_sqrt", "customer", "c_custkey", lambda: _log(k.sqrt(_bal())).alias("r"))
+
+
+@query
+def safe_pow_column(spark, sf_dir):
+    t = table(spark, sf_dir, "customer").select("c_custkey", _bal().alias("x"), (F.col("c_custkey") % 3 - 1).cast("double").alias("e"))
+    plain = t.agg((F.bool_and(F.col("e") > 0) & F.bool_and(F.col("x") >= 0)).alias("plain"))  # one row
+    return t.crossJoin(F.broadcast(plain)).select("c_custkey", _log(k.power_all(F.col("x"), F.col("e"), F.col("plain"))).alias("r"))
+
+
+def _orders(spark, sf_dir):
+    r = F.lit(0.5) + (F.col("o_totalprice") % 1000.0) / 100.0
+    return table(spark, sf_dir, "orders").select("o_orderkey", r.alias("r"), (F.lit(2.0) + (F.col("o_orderkey") % 7) * 0.5).alias("r0"))
+
+
+@query
+def fn_erf(spark, sf_dir):
+    return _orders(spark, sf_dir).withColumn("x", F.col("r") - 5.5).select("o_orderkey", rounded(k.erf(F.col("x")), 9).alias("erf"))
+
+
+def _count(name, f):
+    def run(spark, sf_dir):
+        return nc.with_count(_orders(spark, sf_dir), f, "c", r="r").select("o_orderkey", rounded("c").alias("c"))
+
+    run.__name__ = name
+    query(run)
+
+
+for _n, _f in {"count_exp": k.exp_count, "count_erf": k.erf_count, "count_gfn2": k.gfn2_count, "count_dexp": k.dexp_count, "count_derf": k.derf_count, "count_dgfn2": k.dgfn2_count}.items():
+    _count(_n, _f)
+
+
+@query
+def cn_cut(spark, sf_dir):
+    return _orders(spark, sf_dir).select("o_orderkey", rounded(k.cut(F.col("r"), 8.0)).alias("cn"), rounded(k.cut(F.col("r"), 51.0)).alias("uncut"))
+
+
+def _parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 87).cast("int").alias("z"))
+
+
+@query
+def elem_lookup(spark, sf_dir):
+    names = ["r_atomic", "r_cov", "r_vdw", "en", "hardness", "ecore", "zeff", "zvalence"]
+    return tidy(_parts(spark, sf_dir).select("p_partkey", *[elements.lookup(n, F.col("z")).alias(n) for n in names]))
+
+
+@query
+def elem_masses(spark, sf_dir):
+    return tidy(_parts(spark, sf_dir).select("p_partkey", *[elements.lookup(n, F.col("z")).alias(n) for n in ("mass", "mass_au")]), 4)
+
+
+@query
+def conv_symbol_to_number(spark, sf_dir):
+    return _parts(spark, sf_dir).select("p_partkey", elements.number(F.lower(elements.symbol(F.col("z")))).alias("z"))
+
+
+@query
+def conv_number_to_symbol(spark, sf_dir):
+    return _parts(spark, sf_dir).select("p_partkey", elements.symbol(F.col("z")).alias("symbol"))
+
+
+@query
+def conv_any_to_double(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", batch.any_to_double(F.col("o_totalprice").cast("string")).alias("v"))
+
+
+@query
+def unit_convert(spark, sf_dir):
+    small = F.col("o_totalprice") / 1e5
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[rounded(units.convert(small, u), 4).alias(u.lower()) for u in ("AU2EV", "AU2KCALMOL", "AA2AU", "AU2DEBYE", "AU2RCM")])
+
+
+@query
+def tool_memory_tensor(spark, sf_dir):
+    n = atoms(spark, sf_dir).groupBy("sys_id").agg(F.count("*").alias("n"))
+    return n.select("sys_id", rounded(batch.memory_mb(F.col("n"), F.col("n")), 9).alias("mb"))
+
+
+# masks and pairs ----------------------------------------------------------------------------
+
+
+@query
+def mask_atoms(spark, sf_dir):
+    return pairs.real_atoms(padded(spark, sf_dir)).select("sys_id", "atom_idx", "z")
+
+
+@query
+def mask_pairs(spark, sf_dir):
+    return pairs.mask_pairs(padded(spark, sf_dir))
+
+
+@query
+def mask_pairs_diag(spark, sf_dir):
+    return pairs.mask_pairs(padded(spark, sf_dir), mask_diagonal=False)
+
+
+def _triples(mask_self):
+    def run(spark, sf_dir):
+        return pairs.mask_triples(padded(spark, sf_dir), mask_self=mask_self).groupBy("sys_id", "i", "j").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+
+    return run
+
+
+_QUERIES["mask_triples"], _QUERIES["mask_triples_noself"] = _triples(True), _triples(False)
+
+
+@query
+def pairs_within_cutoff(spark, sf_dir):
+    return tidy(pairs.within(atoms(spark, sf_dir), 5.0).select("sys_id", "i", "j", "d"))
+
+
+@query
+def pairs_within_grid(spark, sf_dir):
+    return tidy(pairs.within_grid(atoms(spark, sf_dir), 5.0).select("sys_id", "i", "j", "d"))
+
+
+# coordination numbers and bonds -------------------------------------------------------------
+
+
+def _cn(name, f, **kw):
+    def run(spark, sf_dir):
+        return tidy(f(atoms(spark, sf_dir), **kw))
+
+    run.__name__ = name
+    query(run)
+
+
+for _n, _f in {"cn_d3": nc.cn_d3, "cn_d4": nc.cn_d4, "cn_eeq": nc.cn_eeq, "cn_eeq_en": nc.cn_eeq_en, "cn_gfn2": nc.cn_gfn2, "cn_d3_gradient": nc.cn_d3_gradient}.items():
+    _cn(_n, _f)
+_cn("cn_uncut", nc.cn_eeq, cutoff=None, cn_max=None)
+
+
+@query
+def cn_grid(spark, sf_dir):
+    return tidy(nc.coordination_number(atoms(spark, sf_dir), count=k.erf_count, cutoff=6.0, grid=True))
+
+
+def _with_cn(spark, sf_dir):
+    """Atoms with their D3 coordination number; carried through the grouping, not joined back."""
+    a = atoms(spark, sf_dir)
+    return a.join(nc.cn_d3(a).select("sys_id", "atom_idx", "cn"), ["sys_id", "atom_idx"])
+
+
+@query
+def bond_length(spark, sf_dir):
+    return tidy(bond.bond_length(_with_cn(spark, sf_dir)).select("sys_id", "i", "j", "bond_length"))
+
+
+@query
+def bond_order(spark, sf_dir):
+    return tidy(bond.bond_order(_with_cn(spark, sf_dir)))
+
+
+@query
+def bond_bonded_pairs(spark, sf_dir):
+    return tidy(bond.bonded(bond.bond_order(_with_cn(spark, sf_dir))))
+
+
+# geometry and properties --------------------------------------------------------------------
+
+
+@query
+def geom_bond_angles(spark, sf_dir):
+    a = geometry.bond_angles(atoms(spark, sf_dir)).groupBy("sys_id", "j").agg(F.count("*").alias("n"), F.sum("angle").alias("total"), F.min("angle").alias("least"), F.max("angle").alias("most"))
+    return tidy(a, 4)
+
+
+@query
+def geom_is_linear(spark, sf_dir):
+    return geometry.is_linear(atoms(spark, sf_dir))
+
+
+def _massed(spark, sf_dir):
+    return geometry.with_mass(atoms(spark, sf_dir), atomic_units=False)
+
+
+@query
+def prop_com(spark, sf_dir):
+    return tidy(geometry.center_of_mass(_massed(spark, sf_dir)))
+
+
+@query
+def prop_rel_com(spark, sf_dir):
+    return tidy(geometry.relative_to_com(_massed(spark, sf_dir)).select("sys_id", "atom_idx", "x", "y", "pz"))
+
+
+@query
+def prop_inertia(spark, sf_dir):
+    return tidy(geometry.inertia(_massed(spark, sf_dir)), 4)
+
+
+@query
+def prop_inertia_raw(spark, sf_dir):
+    return tidy(geometry.inertia(_massed(spark, sf_dir), center_pa=False, already_com=True), 4)
+
+
+@query
+def prop_rot_consts(spark, sf_dir):
+    rot = geometry.rotational_constants(_massed(spark, sf_dir))
+    return tidy(rot.select("sys_id", *[_signed_log(F.col(c) * 1e9).alias(c) for c in ("rot_a", "rot_b", "rot_c")]), 4)
+
+
+@query
+def mol_distances(spark, sf_dir):
+    return tidy(pairs.pairs(atoms(spark, sf_dir), diagonal=True).select("sys_id", "i", "j", "d"))
+
+
+@query
+def mol_enn(spark, sf_dir):
+    return tidy(geometry.nuclear_repulsion(atoms(spark, sf_dir)))
+
+
+@query
+def mol_mass(spark, sf_dir):
+    return tidy(geometry.total_mass(atoms(spark, sf_dir)))
+
+
+@query
+def mol_composition(spark, sf_dir):
+    return geometry.composition(atoms(spark, sf_dir))
+
+
+@query
+def mol_sum_formula(spark, sf_dir):
+    return geometry.sum_formula(atoms(spark, sf_dir))
+
+
+# checks -------------------------------------------------------------------------------------
+
+
+@query
+def chk_coldfusion(spark, sf_dir):
+    return checks.coldfusion(atoms(spark, sf_dir), 1.0)
+
+
+@query
+def chk_content(spark, sf_dir):
+    return checks.content(padded(spark, sf_dir), max_element=16, allow_batched=False, threshold=1.0)
+
+
+@query
+def chk_deflatable(spark, sf_dir):
+    a = atoms(spark, sf_dir)
+    return checks.deflatable(a.withColumns({c: F.when(F.col("z") == 1, F.lit(0.0)).otherwise(F.col(c)) for c in ("x", "y", "pz")}))
+
+
+@query
+def chk_shape(spark, sf_dir):
+    three = F.when(F.col("z") == 17, F.array("x", "y")).otherwise(F.array("x", "y", "pz"))
+    packed = atoms(spark, sf_dir).groupBy("sys_id").agg(F.collect_list("z").alias("numbers"), F.collect_list(three).alias("positions"))
+    return checks.shape(packed)
+
+
+# batches ------------------------------------------------------------------------------------
+
+
+@query
+def batch_pack(spark, sf_dir):
+    return tidy(batch.pack(atoms(spark, sf_dir), "x").select("sys_id", F.posexplode("packed").alias("at", "x")))
+
+
+@query
+def batch_pack_mask(spark, sf_dir):
+    return batch.pack(atoms(spark, sf_dir), "z", mask=True).select("sys_id", F.posexplode(F.arrays_zip("packed", "mask")).alias("at", "p")).select("sys_id", "at", F.col("p.packed").alias("z"), F.col("p.mask").alias("real"))
+
+
+@query
+def batch_unpack(spark, sf_dir):
+    return tidy(batch.unpack(batch.pack(atoms(spark, sf_dir), "x")))
+
+
+@query
+def batch_deflate(spark, sf_dir):
+    packed = batch.pack(padded(spark, sf_dir), "z")
+    return packed.select("sys_id", F.size(batch.deflate(F.col("packed"))).alias("n"))
+
+
+@query
+def batch_merge(spark, sf_dir):
+    a = atoms(spark, sf_dir).select("sys_id", "atom_idx", "z")
+    return batch.merge(a, a)
+
+
+@query
+def batch_psort(spark, sf_dir):
+    return tidy(batch.psort(padded(spark, sf_dir), "x", F.col("z") == 0).select("sys_id", "rank", "x"))
+
+
+@query
+def batch_pargsort(spark, sf_dir):
+    return batch.pargsort(padded(spark, sf_dir), "y", F.col("z") == 0)
+
+
+# distances and linear algebra ---------------------------------------------------------------
+
+
+def _dist(p):
+    def run(spark, sf_dir):
+        return tidy(distance.cdist(vectors(spark, sf_dir), p=p))
+
+    return run
+
+
+_QUERIES |= {"dist_quadratic": _dist(2), "dist_p1": _dist(1), "dist_p3": _dist(3)}
+
+
+@query
+def dist_cdist_xy(spark, sf_dir):
+    x = vectors(spark, sf_dir)
+    return tidy(distance.cdist(x, x.withColumn("v", F.reverse("v"))))
+
+
+@query
+def la_einsum_matmul(spark, sf_dir):
+    v = vectors(spark, sf_dir).select(F.col("batch").alias("b"), F.col("id").alias("i"), F.posexplode("v").alias("j", "v"))
+    return tidy(linalg.einsum("bij,bkj->bik", v, v.select("b", F.col("i").alias("k"), "j", "v")))
+
+
+@query
+def la_einsum_chain(spark, sf_dir):
+    a = matrices(spark, sf_dir)
+    b = a.select("m", F.col("i").alias("j"), F.col("j").alias("k"), "v")
+    return tidy(linalg.einsum("mij,mjk,mk->mi", a, b, a.filter("i = 0").select("m", F.col("j").alias("k"), "v")))
+
+
+def _symmetric(spark, sf_dir, n=8):
+    return batch.symmetrize(matrices(spark, sf_dir, n), force=True)
+
+
+@query
+def conv_symmetrize(spark, sf_dir):
+    return tidy(_symmetric(spark, sf_dir))
+
+
+@query
+def conv_reshape_fortran(spark, sf_dir):
+    m = vectors(spark, sf_dir).select(F.col("id").alias("m"), F.posexplode(batch.reshape_fortran(F.col("v"), 16, 4)).alias("i", "r"))
+    return tidy(m.select("m", "i", F.posexplode("r").alias("j", "v")))
+
+
+@query
+def la_eye(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.posexplode(batch.eye(F.col("n_regionkey") + 1, 2.5)).alias("i", "r"))
+    return n.select("n_nationkey", "i", F.posexplode("r").alias("j", "v"))
+
+
+@query
+def la_gershgorin(spark, sf_dir):
+    return tidy(linalg.gershgorin(_symmetric(spark, sf_dir)))
+
+
+@query
+def la_eigvals3(spark, sf_dir):
+    s = _symmetric(spark, sf_dir, 3)
+    at = lambda i, j: F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.col("v")))
+    six = s.groupBy("m").agg(at(0, 0).alias("xx"), at(1, 1).alias("yy"), at(2, 2).alias("zz"), at(0, 1).alias("xy"), at(0, 2).alias("xz"), at(1, 2).alias("yz"))
+    w = geometry.eigenvalues3(*[F.col(c) for c in ("xx", "yy", "zz", "xy", "xz", "yz")])
+    return tidy(six.select("m", *[c.alias(n) for c, n in zip(w, ("w0", "w1", "w2"))]))
+
+
+def _dense(spark, sf_dir):
+    return linalg.dense(_symmetric(spark, sf_dir))
+
+
+def _positive(spark, sf_dir):
+    """a, and b = 10 on the diagonal plus a small symmetric part."""
+    s = _symmetric(spark, sf_dir)
+    b = s.withColumn("v", F.when(F.col("i") == F.col("j"), F.lit(10.0)).otherwise(F.lit(0.0)) + F.col("v") * 0.1)
+    return linalg.dense(s).join(linalg.dense(b).withColumnRenamed("a", "b"), "m")
+
+
+@query
+def la_eigh(spark, sf_dir):
+    e = _dense(spark, sf_dir).select("m", linalg.eigh("a").alias("e"))
+    return tidy(e.select("m", F.posexplode("e.w").alias("n", "w")))
+
+
+@query
+def la_eigh_moments(spark, sf_dir):
+    """Sums of eigenvalues and of their squares, which SQL can tell from the matrix."""
+    e = _dense(spark, sf_dir).select("m", linalg.eigh("a")["w"].alias("w"))
+    add = lambda f: F.aggregate("w", F.lit(0.0), lambda s, x: s + f(x))
+    return tidy(e.select("m", add(lambda x: x).alias("trace"), add(lambda x: x * x).alias("square")), 5)
+
+
+def _general(scheme):
+    def run(spark, sf_dir):
+        e = _positive(spark, sf_dir).select("m", linalg.eigh_general(scheme)("a", "b").alias("e"))
+        return tidy(e.select("m", F.posexplode("e.w").alias("n", "w")))
+
+    return run
+
+
+_QUERIES |= {"la_eigh_general_chol": _general("chol"), "la_eigh_general_lowd": _general("lowd")}
+
+
+@query
+def la_eigh_vjp(spark, sf_dir):
+    """The gradient of the sum of all eigenvalues, an identity, for the seed w_bar = 1, v_bar = 0."""
+    a = _dense(spark, sf_dir)
+    ones = F.transform("a", lambda r: F.lit(1.0))
+    zeros = F.transform("a", lambda r: F.transform(r, lambda x: F.lit(0.0)))
+    g = a.select("m", F.posexplode(linalg.eigh_vjp()("a", ones, zeros)).alias("i", "r"))
+    return tidy(g.select("m", "i", F.posexplode("r").alias("j", "v")))
+
+
+@query
+def la_eig_sort_out(spark, sf_dir):
+    """Diagonal matrices as their own eigenproblem; every third diagonal entry is a ghost."""
+    s = matrices(spark, sf_dir).withColumn("v", F.when(F.col("i") != F.col("j"), F.lit(0.0)).when(F.col("i") % 3 == 1, F.lit(0.0)).otherwise(F.col("v")))
+    w = s.filter("i = j").groupBy("m").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("w"))
+    e = linalg.sort_out(w.withColumn("v", batch.eye(F.size("w"))))
+    return tidy(e.select("m", F.posexplode("w").alias("n", "w")))
+
+
+# differentiation ----------------------------------------------------------------------------
+
+
+@query
+def ad_cn_d3_jacobian(spark, sf_dir):
+    return tidy(autodiff.cn_d3_jacobian(atoms(spark, sf_dir)).select("sys_id", "i", "j", "gx", "gy", "gz"))
+
+
+@query
+def ad_enn_hessian(spark, sf_dir):
+    h = autodiff.enn_hessian(atoms(spark, sf_dir))
+    return tidy(h.select("sys_id", "i", "j", *[_signed_log(F.col(f"h{a}{b}")).alias(f"h{a}{b}") for a in "xyz" for b in "xyz"]), 5)
+
+
+@query
+def ad_gradcheck_cn_d3(spark, sf_dir):
+    return autodiff.gradcheck_cn_d3(atoms(spark, sf_dir)).select("sys_id", (F.col("max_error") < 1e-6).alias("ok"))
+
+
+# files --------------------------------------------------------------------------------------
+
+
+def _scan(render, ftype):
+    def run(spark, sf_dir):
+        texts = render(atoms(spark, sf_dir)).select(F.col("sys_id").cast("string").alias("path"), F.col("text").alias("value"))
+        rows = reader.parse(texts, ftype)
+        return tidy(rows.select(F.col("path").cast("long").alias("sys_id"), "frame", "atom_idx", elements.number(F.col("symbol")).alias("z"), "x", "y", "pz"))
+
+    return run
+
+
+_QUERIES |= {"scan_xyz_roundtrip": _scan(writer.xyz_text, "xyz"), "scan_qm9": _scan(writer.xyz_text, "qm9"), "scan_turbomole": _scan(writer.turbomole_text, "turbomole"), "scan_qcschema": _scan(writer.qcschema_text, "qcschema")}
+
+
+@query
+def sink_xyz_text(spark, sf_dir):
+    return writer.xyz_text(atoms(spark, sf_dir), fmt="%12.6f", comment="made by a query")
+
+
+@query
+def sink_turbomole_text(spark, sf_dir):
+    return writer.turbomole_text(padded(spark, sf_dir), fmt="%12.6f")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {n: s for n, s in sql.queries().items() if n in _QUERIES}
