@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import common
 
 DIM = 4096
-SAMPLE = 4000
+SAMPLE = 2400
 UNKNOWN = "und"
 FAMILY = dict.fromkeys("en de nl sv da nb no is af fy lb yi".split(), "germanic") | dict.fromkeys("fr es it pt ro ca gl oc la".split(), "romance") | dict.fromkeys("ru uk be pl cs sk bg sr hr sl mk".split(), "slavic")
 
@@ -43,17 +43,21 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30, seed: int = 1) -> np.ndarray:
-    """Weights (the last is the bias) of an L1-loss linear machine by dual coordinate descent; y is +1 or -1."""
-    x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
-    w, a, norm = np.zeros(x.shape[1], np.float32), np.zeros(len(x)), np.einsum("ij,ij->i", x, x)
+def svm(x: np.ndarray, rows: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 30, seed: int = 1) -> np.ndarray:
+    """Weights (the last is the bias) of an L1-loss linear machine by dual coordinate descent over some rows of x; y is +1 or -1.
+
+    Rows have unit length; the bias is a further feature of 1, which is not stored.
+    """
+    w, a = np.zeros(x.shape[1] + 1, np.float32), np.zeros(len(rows))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(x)):
-            new = min(max(a[i] - (y[i] * float(x[i] @ w) - 1) / norm[i], 0.0), c)
+        for i in rng.permutation(len(rows)):
+            row = x[rows[i]]
+            new = min(max(a[i] - (y[i] * float(row @ w[:-1] + w[-1]) - 1) / 2.0, 0.0), c)
             if (d := new - a[i]) != 0:
-                w += np.float32(d * y[i]) * x[i]
+                w[:-1] += np.float32(d * y[i]) * row
+                w[-1] += d * y[i]
                 a[i] = new
                 moved = max(moved, abs(d))
         if moved < 1e-3:
@@ -99,7 +103,7 @@ def fit(langs: list[str], x: np.ndarray) -> Model:
         for k, a in enumerate(ns):
             for b in ns[k + 1 :]:
                 rows = np.flatnonzero((labels == a) | (labels == b))
-                machines[mark + a, mark + b] = svm(x[rows], np.where(labels[rows] == a, 1, -1))
+                machines[mark + a, mark + b] = svm(x, rows, np.where(labels[rows] == a, 1, -1))
 
     pairs(fam, sorted(families), "#")
     for ns in families.values():
@@ -127,10 +131,13 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             rows = [(g, features(t).astype("<f2").tobytes()) for g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "x"])
 
-    rows = sorted(tuple(r) for r in chosen.mapInArrow(run, "lang string, x binary").limit(2 * sample).collect())
+    rows = sorted(tuple(r) for r in chosen.mapInArrow(run, "lang string, x binary").collect())  # about `sample` rows, by the rates
     if not rows:
         return Model([], {}, {})
-    return fit([r[0] for r in rows], np.stack([np.frombuffer(r[1], "<f2").astype(np.float32) for r in rows]))
+    x = np.empty((len(rows), DIM), np.float32)
+    for k, r in enumerate(rows):
+        x[k] = np.frombuffer(r[1], "<f2")
+    return fit([r[0] for r in rows], x)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
