@@ -55,9 +55,9 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def with_sketch(df: DataFrame, text: str, out: str, size: int = SKETCH) -> DataFrame:
-    """df with `out`: the least distinct 32-bit hashes of the text's anchors, ascending."""
+    """df with `out`: the least distinct 32-bit hashes (signed) of the text's anchors, ascending."""
     df = with_anchors(df, text, "__anchors")
-    values = F.transform("__anchors", lambda a: F.shiftrightunsigned(a["hash"], 32))
+    values = F.transform("__anchors", lambda a: F.shiftright(a["hash"], 32).cast("int"))
     return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(values)), 1, size)).drop("__anchors")
 
 
@@ -74,7 +74,7 @@ def matches(a: Column, b: Column) -> Column:
 
 
 def written(sketch: str) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
+    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -93,10 +93,10 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     visit = lambda to, rank: F.struct(to.cast("int").alias("bucket"), F.lit(rank).alias("guest"))
     places = F.array(visit(F.col("__own"), 0), F.when(F.array_contains(bounds, F.col("__id")), visit(F.col("__own") - 1, 1)), F.when(F.col("__id") == F.lit(low), visit(F.lit(len(cuts)), 2)))
     rows = docs.withColumn("__own", bucket).withColumn("__p", F.explode(F.filter(places, lambda p: p.isNotNull())))
-    order = Window.partitionBy("__p.bucket").orderBy("__p.guest", "__id", "__tie")
-    for c in carried:
-        rows = rows.withColumn(f"next_{c}", F.lead(c).over(order))
-    return rows.filter("__p.guest = 0").drop("__own", "__p")
+    rows = rows.withColumns({"__bucket": F.col("__p.bucket"), "__guest": F.col("__p.guest")}).drop("__own", "__p")
+    order = Window.partitionBy("__bucket").orderBy("__guest", "__id", "__tie")
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
+    return rows.filter("__guest = 0").drop("__bucket", "__guest")
 
 
 def edited(docs: DataFrame) -> DataFrame:
@@ -105,7 +105,7 @@ def edited(docs: DataFrame) -> DataFrame:
     The last quarter of a text gives way to as much of the beginning of the next document's.
     """
     rows = docs.select("doc_id", common.text_or_empty().alias("text"))
-    rows = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__tie", F.sha2("text", 256))
+    rows = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__tie", F.xxhash64("text"))
     rows = with_next(with_sketch(rows, "text", "sketch"), ["text", "sketch"])
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
