@@ -172,4 +172,5 @@ def referred(captures: DataFrame) -> DataFrame:
     """captures with `refers_to`: the page_id of the response whose payload a revisit shares."""
     captures = captures.withColumn("payload_digest", F.col("response.payload_digest"))
     origins = captures.filter("kind = 'response'").groupBy("payload_digest").agg(F.max("metadata.page_id").alias("origin"))
-    return captures.join(origins, "payload_digest", "left").withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("origin"))).drop("origin")
+    # sizes can't be estimated behind the archives' short list, so no side may be broadcast
+    return captures.join(origins.hint("merge"), "payload_digest", "left").withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("origin"))).drop("origin")
