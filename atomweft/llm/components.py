@@ -1,7 +1,8 @@
 """Connected components of a link table by alternating large and small stars.
 
 Every round is written to the shared folder and read again, so lineage stays short. Minima
-are combined before the shuffle; stars with a hot centre are joined, not collected.
+are combined before the shuffle; stars with a hot centre are joined, not collected, and the
+join's large partitions can be split at run time.
 """
 
 from __future__ import annotations
@@ -16,16 +17,26 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))"), F.expr("bit_xor(xxhash64(v, u, 1))")).first())
 
 
+def joined_anew(rows: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """rows joined with one row a key, grouped by that key just before.
+
+    The key goes in as its complement: an expression that the group-by isn't known to be dealt
+    by, so both sides have exchanges of their own and a hot key's rows can be split between tasks.
+    """
+    found = found.withColumn("__key", F.bitwise_not(F.col(key))).drop(key)
+    return rows.join(found, F.bitwise_not(F.col(key)) == F.col("__key")).drop("__key")
+
+
 def _large(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return joined_anew(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(least, "u")
+    hung = joined_anew(down, least, "u")
     return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .components import components
+from .components import components, joined_anew
 
 SHINGLE = 4
 DISTANCE = 4
@@ -208,7 +208,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -
     roots = components(links(distinct, distance)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.select("fp", "root").join(least, "root").select("fp", "component_id")
+    ids = joined_anew(rooted.select("fp", "root"), least, "root").select("fp", "component_id")
     return marked.join(ids, "fp").select("doc_id", "tag", "fp", "component_id")
 
 
