@@ -1,17 +1,20 @@
 """SimHash near-duplicates by anchor-point covering.
 
 A fingerprint's bit is set where over half the shingles' XXH64 (seed 42) have it. Two
-fingerprints that differ in at most 4 of 64 bits differ in at most 1 bit of one of the three
-blocks of 21, 21 and 22 bits. Each block has a covering code as anchors: the perfect Hamming
-(15, 11) code on 15 bits, with every value of the rest, so each block value has one anchor
-within the covering radius 1, its home. Every fingerprint is replicated to all anchors within
-radius plus threshold, 1 + 1 = 2 bits (14 to 29 a block, from the syndrome), so of two linked
-fingerprints one meets the other at its home. Per anchor, those at home are compared with all.
+fingerprints that differ in at most 4 of 64 bits differ in at most 1 of the first 31 bits or
+in at most 2 of the other 33. Each of these two blocks has a covering code as anchors: the
+perfect Hamming (31, 26) code on 31 bits, with every value of the rest, so each block value
+has one anchor within the covering radius 1, its home. Every fingerprint is replicated to all
+anchors within radius plus threshold (2 bits, 16 anchors, and 3 bits, 189 anchors, found from
+the syndrome), so of two linked fingerprints each meets the other at its home in one of the
+blocks. Per anchor, those at home are compared with all. There are 2^26 and 2^28 anchors, so
+an anchor's share of the fingerprints, and with it the comparisons, stay small at any size.
 
 Equal fingerprints are one before all this, so copies cost nothing. An anchor's task keeps a
-spanning forest of its links, never all pairs. An anchor with more than `group` fingerprints
-is cut into chunks, and each pair of chunks is a task of its own: no task has an unbounded
-group, and no link is lost. Components are found by alternating stars in shared storage.
+spanning forest of its links, never all pairs. Anchors with more than `group` fingerprints
+are cut into chunks, and each pair of chunks is a task of its own; which anchors are that
+large is estimated from one fingerprint in `PROBE`, which settles the tasks' sizes only: with
+any choice every pair meets. Components are found by alternating stars in shared storage.
 
 Null and empty texts have fingerprint zero and are linked like any other. Fewer words than a
 shingle: the whole sequence is the only shingle. Null doc_ids are kept, a component of only
@@ -20,6 +23,10 @@ nulls has a null id. An empty table gives no row. Only doc_id and text are read.
 
 from __future__ import annotations
 
+import functools
+import itertools
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,9 +38,12 @@ from .components import components, joined_anew
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
-GROUP = 4096
-BLOCKS = ((0, 21), (21, 21), (42, 22))  # first bit, bits
-HAMMING = 15
+GROUP = 131_072
+PROBE = 64
+BLOCKS = ((0, 31, 1), (31, 33, 2))  # first bit, bits, threshold; the thresholds, each plus one, add up to DISTANCE + 1
+HAMMING = 31
+TASK_ROWS = 400_000  #: gathered before they are compared
+CELLS = 4_000_000  #: comparisons made at once
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -82,43 +92,48 @@ def syndrome(v: np.ndarray) -> np.ndarray:
     return out
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the fingerprint, key of the anchor, whether it is the home) for all anchors within two bits in a block."""
-    one = np.uint64(1)
-    index, keys, homes = [], [], []
+@functools.cache
+def flips(most: int) -> list[np.ndarray]:
+    """By syndrome: the bit masks of the Hamming part that lead to a code word in at most `most` flips."""
+    out: list[list[int]] = [[] for _ in range(HAMMING + 1)]
+    for n in range(most + 1):
+        for chosen in itertools.combinations(range(1, HAMMING + 1), n):
+            out[functools.reduce(operator.xor, chosen, 0)].append(sum(1 << (c - 1) for c in chosen))
+    return [np.array(x, np.uint64) for x in out]
 
-    def put(which, block, anchor, home):
-        index.append(which)
-        keys.append(anchor | np.uint64(block << 40))
-        homes.append(np.full(len(which), home))
 
-    for block, (first, bits) in enumerate(BLOCKS):
+def anchors(fp: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the fingerprint, key of the anchor, whether it is the home) for all anchors within radius plus threshold in a block."""
+    if distance > sum(t + 1 for *_, t in BLOCKS) - 1:
+        raise ValueError(f"the blocks' thresholds cover at most {sum(t + 1 for *_, t in BLOCKS) - 1} bits")
+    index, keys, homes = [], [], []
+    for block, (first, bits, threshold) in enumerate(BLOCKS):
         v = (fp >> np.uint64(first)) & np.uint64((1 << bits) - 1)
-        s = syndrome(v)
-        on, off = np.flatnonzero(s == 0), np.flatnonzero(s > 0)
-        fixed = v.copy()
-        fixed[off] ^= one << (s[off] - one)
-        free = [one << np.uint64(b) for b in range(HAMMING, bits)]
-        put(np.arange(len(fp)), block, fixed, True)
-        for k, f in enumerate(free):
-            put(np.arange(len(fp)), block, fixed ^ f, False)  # one free bit, with the code bit if that is off
-            for g in free[:k]:
-                put(on, block, fixed[on] ^ f ^ g, False)
-        for c in range(1, HAMMING + 1):  # two code bits whose positions add up to the syndrome
-            d = s ^ np.uint64(c)
-            two = np.flatnonzero((s > 0) & (d > c))
-            put(two, block, v[two] ^ (one << np.uint64(c - 1)) ^ (one << (d[two] - one)), False)
+        s = syndrome(v).astype(np.int64)
+        home = v ^ np.where(s > 0, np.uint64(1) << np.maximum(s - 1, 0).astype(np.uint64), np.uint64(0))
+        for n_free in range(min(threshold + 1, bits - HAMMING) + 1):
+            ways = flips(threshold + 1 - n_free)
+            count = np.array([len(w) for w in ways])[s]
+            which = np.repeat(np.arange(len(fp)), count)
+            nth = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+            starts = np.cumsum([0, *map(len, ways)])
+            code = v[which] ^ np.concatenate(ways)[starts[s[which]] + nth]
+            for free in itertools.combinations(range(HAMMING, bits), n_free):
+                anchor = code ^ np.uint64(sum(1 << f for f in free))
+                index.append(which)
+                keys.append(anchor | np.uint64(block << 40))
+                homes.append(anchor == home[which])
     return np.concatenate(index), np.concatenate(keys), np.concatenate(homes)
 
 
-def replicate(distinct: DataFrame) -> DataFrame:
+def replicate(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """(anchor, home, fp) of distinct fingerprints."""
 
     def run(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             if len(fp):
-                i, key, home = anchors(fp)
+                i, key, home = anchors(fp, distance)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(home), pa.array(fp[i].view(np.int64))], names=["anchor", "home", "fp"])
 
     return distinct.select("fp").mapInArrow(run, "anchor long, home boolean, fp long")
@@ -153,20 +168,22 @@ def forest(fp: np.ndarray, group: np.ndarray, home: np.ndarray, distance: int) -
         near = (np.bitwise_count(fp[at] ^ fp[at + k]) <= distance) & (home[at] | home[at + k])
         join(at[near], at[near] + k)
     for a, n in zip(edges[sizes > 128].tolist(), sizes[sizes > 128].tolist()):
-        for c in range(a, a + n, 512):
-            x = np.arange(c, min(c + 512, a + n))
-            near = (np.bitwise_count(fp[x, None] ^ fp[None, a : a + n]) <= distance) & (home[x, None] | home[None, a : a + n])
-            i, j = np.nonzero(near)
+        at_home, step = a + np.flatnonzero(home[a : a + n]), max(1, CELLS // n)
+        for c in range(0, len(at_home), step):
+            x = at_home[c : c + step]
+            i, j = np.nonzero(np.bitwise_count(fp[x, None] ^ fp[None, a : a + n]) <= distance)
             join(x[i], a + j)
     hung = np.flatnonzero(label != np.arange(len(fp)))
     return fp[hung], fp[label[hung]]
 
 
-def links(distinct: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
+def links(distinct: DataFrame, distance: int = DISTANCE, group: int = GROUP, probe: int = PROBE) -> DataFrame:
     """Links (u, v) whose components are those of all links between distinct fingerprints."""
     spark = distinct.sparkSession
-    met = replicate(distinct)
-    hot = common.materialise(met.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > group), common.shared_dir(spark, "anchors"))
+    met = replicate(distinct, distance)
+    some = replicate(distinct.filter(F.pmod(F.xxhash64("fp", F.lit("probe")), F.lit(probe)) == 0), distance)
+    sized = some.groupBy("anchor").agg((F.count("*") * probe).alias("n")).filter(F.col("n") > max(probe, group // 2))
+    hot = common.materialise(sized, common.shared_dir(spark, "anchors"))
     if hot.isEmpty():
         met = met.select("anchor", F.lit(0).alias("i"), F.lit(0).alias("j"), "home", "fp")
     else:
@@ -175,17 +192,19 @@ def links(distinct: DataFrame, distance: int = DISTANCE, group: int = GROUP) ->
         met = met.select("anchor", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "home", "fp")
 
     def run(batches):
-        kept = None
+        held, n, most = [], 0, TASK_ROWS
         for batch in batches:
-            part = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            kept = part if kept is None else [np.concatenate(p) for p in zip(kept, part)]
-            if len(kept[0]) >= 400_000:
-                last = np.flatnonzero((kept[0] != kept[0][-1]) | (kept[1] != kept[1][-1]) | (kept[2] != kept[2][-1]))
-                cut = int(last[-1]) + 1 if len(last) else 0
-                yield from out([x[:cut] for x in kept])
-                kept = [x[cut:] for x in kept]
-        if kept is not None:
-            yield from out(kept)
+            held.append([batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)])
+            n += len(held[-1][0])
+            if n >= most:  # all groups but the last are whole
+                rows = [np.concatenate(p) for p in zip(*held)]
+                other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]) | (rows[2] != rows[2][-1]))
+                cut = int(other[-1]) + 1 if len(other) else 0
+                yield from out([x[:cut] for x in rows])
+                held, n = [[x[cut:] for x in rows]], n - cut
+                most = max(TASK_ROWS, 2 * n)
+        if held:
+            yield from out([np.concatenate(p) for p in zip(*held)])
 
     def out(rows):
         anchor, i, j, home, fp = rows

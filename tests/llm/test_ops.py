@@ -13,6 +13,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -396,23 +397,24 @@ def test_simhash(docs, rows, empty):
     assert sorted(ids) == sorted(set(least.values()))
 
 
-def test_all_anchors_within_two_bits():
+def test_all_anchors_within_radius_and_threshold():
     rng = np.random.default_rng(4)
     fp = rng.integers(0, 2**63, 20, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     index, keys, home = simhash.anchors(fp)
-    assert home.sum() == 3 * len(fp)
+    assert home.sum() == len(simhash.BLOCKS) * len(fp)
     for k in range(len(fp)):
         mine = keys[index == k]
         assert len(set(mine.tolist())) == len(mine)
-        for block, (first, bits) in enumerate(simhash.BLOCKS):
+        for block, (first, bits, threshold) in enumerate(simhash.BLOCKS):
             v = int(fp[k]) >> first & (1 << bits) - 1
-            near = {v} | {v ^ 1 << a for a in range(bits)} | {v ^ 1 << a ^ 1 << b for a in range(bits) for b in range(a)}
-            code = {x for x in near if simhash.syndrome(np.array([x], np.uint64))[0] == 0}
+            near = {v ^ sum(1 << b for b in flipped) for n in range(threshold + 2) for flipped in combinations(range(bits), n)}
+            near = np.array(sorted(near), np.uint64)
+            code = set(near[simhash.syndrome(near) == 0].tolist())
             assert code == {int(x) & (1 << 40) - 1 for x in mine if int(x) >> 40 == block}
 
 
-@pytest.mark.parametrize("group", [4, 4096])
-def test_links_lose_nothing(spark, group):
+@pytest.mark.parametrize(("group", "probe"), [(4, 1), (40, 4), (simhash.GROUP, simhash.PROBE)])
+def test_links_lose_nothing(spark, group, probe):
     """Dense groups of near fingerprints, and chains at exactly four bits; hot anchors are cut where `group` is small."""
     rng = random.Random(7)
     values = [rng.getrandbits(64) for _ in range(60)]
@@ -424,7 +426,7 @@ def test_links_lose_nothing(spark, group):
             values.append(c)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(v),) for v in set(values)], "fp long")
-    edges = [(r["u"] & 2**64 - 1, r["v"] & 2**64 - 1) for r in simhash.links(df, group=group).collect()]
+    edges = [(r["u"] & 2**64 - 1, r["v"] & 2**64 - 1) for r in simhash.links(df, group=group, probe=probe).collect()]
     assert all((u ^ v).bit_count() <= 64 for u, v in edges)
     root = classes_of(values)
     again = {x: x for x in root}
