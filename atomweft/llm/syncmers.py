@@ -25,7 +25,8 @@ CHARS = (8, 3)
 SHORT = 400
 SKETCH = 128
 BUCKET_DOCS = 4096
-MOST_BUCKETS = 4096
+BUCKET_PROBES = 64  #: ids a bucket that the bounds are chosen from
+MOST_BUCKETS = 65_536
 
 
 def _smers(h: Column, n: Column, s: int) -> Column:
@@ -80,18 +81,22 @@ def written(sketch: str) -> Column:
 def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     """docs (with __id, never null) plus next_<c> of the next row by __id; after the last comes the first.
 
-    One shuffle: rows go to contiguous buckets of ids, bounded by ids that occur. A bucket's
-    first id also visits the bucket before, the least id visits the last. Equal ids are in
-    the order of their text's hash.
+    One shuffle: rows go to contiguous buckets of ids, bounded by ids that occur (from a
+    hash sample, as bounds settle the buckets' sizes only). A bucket's first id also visits
+    the bucket before, the least id visits the last. Equal ids are in the order of their
+    text's hash.
     """
     ids = docs.select("__id")
     low, n = ids.agg(F.min("__id"), F.count("*")).first()
     parts = max(1, min(MOST_BUCKETS, -(-n // BUCKET_DOCS)))
-    cuts = sorted({*ids.agg(F.percentile_approx("__id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0]} - {low}) if parts > 1 else []
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>")
-    bucket = F.size(F.filter(bounds, lambda c: c <= F.col("__id")))
+    some = ids.filter(F.pmod(F.xxhash64("__id", F.lit("cut")), F.lit(max(1, n // (parts * BUCKET_PROBES)))) == 0)  # any bounds will do, these are even
+    found = some.agg(F.percentile_approx("__id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else None
+    cuts = sorted({*(found or [])} - {low})
+    bounds = (F.split(F.lit(",".join(map(str, cuts))), ",") if cuts else F.array()).cast("array<bigint>")
+    halves = F.array(*[F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))]).cast("array<int>")
+    bucket = F.aggregate(halves, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) <= F.col("__id"), at + step).otherwise(at))
     visit = lambda to, rank: F.struct(to.cast("int").alias("bucket"), F.lit(rank).alias("guest"))
-    places = F.array(visit(F.col("__own"), 0), F.when(F.array_contains(bounds, F.col("__id")), visit(F.col("__own") - 1, 1)), F.when(F.col("__id") == F.lit(low), visit(F.lit(len(cuts)), 2)))
+    places = F.array(visit(F.col("__own"), 0), F.when(F.get(bounds, F.col("__own") - 1) == F.col("__id"), visit(F.col("__own") - 1, 1)), F.when(F.col("__id") == F.lit(low), visit(F.lit(len(cuts)), 2)))
     rows = docs.withColumn("__own", bucket).withColumn("__p", F.explode(F.filter(places, lambda p: p.isNotNull())))
     rows = rows.withColumns({"__bucket": F.col("__p.bucket"), "__guest": F.col("__p.guest")}).drop("__own", "__p")
     order = Window.partitionBy("__bucket").orderBy("__guest", "__id", "__tie")
