@@ -36,7 +36,7 @@ DISCOUNT = 0.8
 SHARD_BYTES = 16 << 20
 END = b"\n"  # no word has white space
 CACHE_WORDS = 700_000
-FLUSH = 4_000_000
+FLUSH = 2_000_000
 STEP = 1024.0  # codes a power of two
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
