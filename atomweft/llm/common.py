@@ -54,5 +54,5 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Documents can be long, so an Arrow batch is bounded by its bytes too."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
