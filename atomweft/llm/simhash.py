@@ -150,9 +150,7 @@ def forest(fp: np.ndarray, group: np.ndarray, home: np.ndarray, distance: int) -
             la, lb = label[a], label[b]
             m = np.minimum(la, lb)
             np.minimum.at(label, la, m)
-            np.minimum.at(label, lb, m)
-            np.minimum.at(label, a, m)
-            np.minimum.at(label, b, m)
+            np.minimum.at(label, lb, m)  # roots only: a member keeps to its root, which may have gone to a lesser one
             while (label != label[label]).any():
                 label[:] = label[label]
             left = label[a] != label[b]

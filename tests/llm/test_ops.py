@@ -13,7 +13,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pytest
@@ -442,6 +442,39 @@ def test_links_lose_nothing(spark, group, probe):
     assert {x: find(x) for x in root} == root
 
 
+def test_forest_spans_chains_in_any_order():
+    """Chains of four-bit steps within one anchor, small and large, against union-find."""
+    rng = random.Random(11)
+
+    def spans(values, distance=4):
+        fp = np.array(values, np.uint64)
+        again = {x: x for x in values}
+
+        def find(x):
+            while again[x] != x:
+                x = again[x]
+            return x
+
+        for u, v in zip(*(p.tolist() for p in simhash.forest(fp, np.zeros(len(fp), np.int64), np.ones(len(fp), bool), distance))):
+            x, y = sorted((find(u), find(v)))
+            again[y] = x
+        return {x: find(x) for x in values} == classes_of(values)
+
+    def chain(n):
+        c = [rng.getrandbits(64)]
+        while len(c) < n:
+            c.append(c[-1] ^ sum(1 << b for b in rng.sample(range(64), 4)))
+        return c
+
+    four = [0, 0xF, 0xFF, 0xFFF]
+    assert all(spans(list(p)) for p in permutations(four))
+    for n, times in ((4, 40), (12, 20), (60, 2)):
+        for _ in range(times):
+            values = list(dict.fromkeys(chain(n) + chain(n) + chain(n)))
+            rng.shuffle(values)
+            assert spans(values)
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(k, k + 1) for k in range(100, 140)] + [(500, x) for x in range(501, 560)] + [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(40)] + [(9, 9)]
