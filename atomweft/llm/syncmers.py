@@ -2,13 +2,14 @@
 
 A k-mer is chosen if the least of its inner s-mers, by hash, is its first or its last. That
 depends on the k-mer alone, so texts that share a passage choose the same anchors in it,
-wherever it stands. K-mers are of 5 words with inner pairs; texts of at most `SHORT` code
-points take 8 code points with inner triples. A fingerprint is the `SKETCH` least 32-bit
-hashes of the anchors; likeness is the Jaccard estimate from two of them. Anchors with their
-places serve positional matching.
-
-A text with units but no anchor has one for the whole. Null and empty texts (and those of
-white space, if long) have none: an empty fingerprint, like another empty one by 1 and any
+wherever it stands. Fingerprints take k-mers of 8 code points with inner triples, whatever
+the length, so any two can be compared, also of texts without white space. A fingerprint is
+the `SKETCH` least 32-bit hashes of the anchors; likeness is the Jaccard estimate from two of
+them. Anchors with their places, by default of 5 words with inner pairs, serve positional
+matching.
+
+A text with units but no anchor has one for the whole. Null and empty texts have
+none: an empty fingerprint, like another empty one by 1 and any
 other by 0. Only doc_id and text are read.
 """
 
@@ -22,7 +23,6 @@ from . import common
 
 WORDS = (5, 2)
 CHARS = (8, 3)
-SHORT = 400
 SKETCH = 128
 BUCKET_DOCS = 4096
 BUCKET_PROBES = 64  #: ids a bucket that the bounds are chosen from
@@ -42,14 +42,12 @@ def _anchors(h: Column, g: Column, n: Column, k: int, s: int) -> Column:
     return F.when(n >= k, placed)
 
 
-def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: array of structs (at, hash), `at` counted in words, or in code points of a short text."""
-    h, g, short = F.col("__h"), F.col("__g"), F.char_length(text) <= SHORT
-    units = F.when(short, F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))).otherwise(F.filter(F.split(F.col(text), common.SPACE), lambda x: x != ""))
+def with_anchors(df: DataFrame, text: str, out: str, kind: tuple[int, int] = WORDS) -> DataFrame:
+    """df with `out`: array of structs (at, hash), `at` counted in words, or in code points if `kind` is CHARS."""
+    h, n, (k, s) = F.col("__h"), F.col("__n"), kind
+    units = F.filter(F.split(F.col(text), common.SPACE), lambda x: x != "") if kind == WORDS else F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))
     df = df.withColumn("__h", F.transform(units, lambda x: F.xxhash64(x))).withColumn("__n", F.size("__h"))
-    n = F.col("__n")
-    df = df.withColumn("__g", F.when(short, _smers(h, n, CHARS[1])).otherwise(_smers(h, n, WORDS[1])))
-    df = df.withColumn("__a", F.when(short, _anchors(h, g, n, *CHARS)).otherwise(_anchors(h, g, n, *WORDS)))
+    df = df.withColumn("__g", _smers(h, n, s)).withColumn("__a", _anchors(h, F.col("__g"), n, k, s))
     whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(h).alias("hash")))
     none = F.array().cast("array<struct<at:int,hash:bigint>>")
     return df.withColumn(out, F.when(n == 0, none).when(F.coalesce(F.size("__a"), F.lit(0)) > 0, F.col("__a")).otherwise(whole)).drop("__h", "__n", "__g", "__a")
@@ -57,7 +55,7 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
 
 def with_sketch(df: DataFrame, text: str, out: str, size: int = SKETCH) -> DataFrame:
     """df with `out`: the least distinct 32-bit hashes (signed) of the text's anchors, ascending."""
-    df = with_anchors(df, text, "__anchors")
+    df = with_anchors(df, text, "__anchors", CHARS)
     values = F.transform("__anchors", lambda a: F.shiftright(a["hash"], 32).cast("int"))
     return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(values)), 1, size)).drop("__anchors")
 

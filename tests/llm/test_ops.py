@@ -276,6 +276,20 @@ def test_anchors_do_not_depend_on_context(spark):
     assert {x["at"] for x in inside} <= {m["other"] for m in out["m"]}
 
 
+def test_fingerprints_of_all_lengths_compare(spark):
+    """Pairs on both sides of 400 code points, and a long text without white space."""
+    rng = random.Random(3)
+    prose = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(200))
+    solid = "".join(rng.choice("abcdefgh") for _ in range(2000))
+    pairs = {"edit": (prose[:440], prose[:330]), "near": (prose[:398], prose[:403]), "solid": (solid, solid[:1500] + "x" * 500), "none": (prose[:440], solid[:440])}
+    df = spark.createDataFrame([(n, *p) for n, p in pairs.items()], "n string, a string, b string")
+    df = syncmers.with_sketch(syncmers.with_sketch(df, "a", "p"), "b", "q")
+    got = {r["n"]: r["x"] for r in df.select("n", syncmers.likeness("p", "q").alias("x")).collect()}
+    assert got["edit"] > 0.55 and got["near"] > 0.9 and got["solid"] > 0.5 and got["none"] < 0.1
+    found = syncmers.digest(spark.createDataFrame([(1, prose[:440]), (2, "")], "doc_id long, text string")).filter("doc_id = 1").first()
+    assert found["near_edited"] > 0.55
+
+
 def test_syncmers_over_many_buckets(spark, docs, monkeypatch):
     want = Counter(map(tuple, syncmers.digest(docs).collect()))
     monkeypatch.setattr(syncmers, "BUCKET_DOCS", 7)
