@@ -4,8 +4,8 @@ A k-mer is chosen if the least of its inner s-mers, by hash, is its first or its
 depends on the k-mer alone, so texts that share a passage choose the same anchors in it,
 wherever it stands. Fingerprints take k-mers of 8 code points with inner triples, whatever
 the length, so any two can be compared, also of texts without white space. A fingerprint is
-the `SKETCH` least 32-bit hashes of the anchors; likeness is the Jaccard estimate from two of
-them. Anchors with their places, by default of 5 words with inner pairs, serve positional
+all distinct 32-bit hashes of the anchors; likeness is the Jaccard index of two of them.
+Anchors with their places, by default of 5 words with inner pairs, serve positional
 matching.
 
 A text with units but no anchor has one for the whole. Null and empty texts have
@@ -15,6 +15,8 @@ other by 0. Only doc_id and text are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,7 +25,6 @@ from . import common
 
 WORDS = (5, 2)
 CHARS = (8, 3)
-SKETCH = 128
 BUCKET_DOCS = 4096
 BUCKET_PROBES = 64  #: ids a bucket that the bounds are chosen from
 MOST_BUCKETS = 65_536
@@ -53,18 +54,17 @@ def with_anchors(df: DataFrame, text: str, out: str, kind: tuple[int, int] = WOR
     return df.withColumn(out, F.when(n == 0, none).when(F.coalesce(F.size("__a"), F.lit(0)) > 0, F.col("__a")).otherwise(whole)).drop("__h", "__n", "__g", "__a")
 
 
-def with_sketch(df: DataFrame, text: str, out: str, size: int = SKETCH) -> DataFrame:
-    """df with `out`: the least distinct 32-bit hashes (signed) of the text's anchors, ascending."""
+def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with `out`: the distinct 32-bit hashes (signed) of all the text's anchors, ascending."""
     df = with_anchors(df, text, "__anchors", CHARS)
     values = F.transform("__anchors", lambda a: F.shiftright(a["hash"], 32).cast("int"))
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(values)), 1, size)).drop("__anchors")
+    return df.withColumn(out, F.sort_array(F.array_distinct(values))).drop("__anchors")
 
 
-def likeness(a: str, b: str, size: int = SKETCH) -> Column:
-    """The share of the least hashes of both that both have."""
-    least = F.slice(F.sort_array(F.array_union(a, b)), 1, size)
-    both = F.array_intersect(F.array_intersect(F.col(a), F.col(b)), least)
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(both) / F.greatest(F.size(least), F.lit(1)))
+def likeness(a: str, b: str) -> Column:
+    """The share of the distinct hashes of both that both have."""
+    both = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
 def matches(a: Column, b: Column) -> Column:
@@ -76,9 +76,11 @@ def written(sketch: str) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
 
 
-def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
+def with_next(docs: DataFrame, carried: list[str], dealt: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """docs (with __id, never null) plus next_<c> of the next row by __id; after the last comes the first.
 
+    `dealt` adds columns after the shuffle, so they are not shuffled.
+
     One shuffle: rows go to contiguous buckets of ids, bounded by ids that occur (from a
     hash sample, as bounds settle the buckets' sizes only). A bucket's first id also visits
     the bucket before, the least id visits the last. Equal ids are in the order of their
@@ -97,6 +99,7 @@ def with_next(docs: DataFrame, carried: list[str]) -> DataFrame:
     places = F.array(visit(F.col("__own"), 0), F.when(F.get(bounds, F.col("__own") - 1) == F.col("__id"), visit(F.col("__own") - 1, 1)), F.when(F.col("__id") == F.lit(low), visit(F.lit(len(cuts)), 2)))
     rows = docs.withColumn("__own", bucket).withColumn("__p", F.explode(F.filter(places, lambda p: p.isNotNull())))
     rows = rows.withColumns({"__bucket": F.col("__p.bucket"), "__guest": F.col("__p.guest")}).drop("__own", "__p")
+    rows = dealt(rows.repartition("__bucket"))
     order = Window.partitionBy("__bucket").orderBy("__guest", "__id", "__tie")
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in carried})
     return rows.filter("__guest = 0").drop("__bucket", "__guest")
@@ -109,7 +112,7 @@ def edited(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", common.text_or_empty().alias("text"))
     rows = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__tie", F.xxhash64("text"))
-    rows = with_next(with_sketch(rows, "text", "sketch"), ["text", "sketch"])
+    rows = with_next(rows, ["text", "sketch"], lambda df: with_sketch(df, "text", "sketch"))
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     text = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))

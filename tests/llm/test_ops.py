@@ -290,6 +290,20 @@ def test_fingerprints_of_all_lengths_compare(spark):
     assert found["near_edited"] > 0.55
 
 
+def test_all_anchors_reach_fingerprints_and_likeness(spark):
+    """A passage shared by two long texts counts exactly."""
+    rng = random.Random(4)
+    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
+    shared = text(80)
+    a, b = text(3000) + " " + shared + " " + text(3000), text(3000) + " " + shared + " " + text(3000)
+    rows = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    anchors = [{(x["hash"] >> 32) & 0xFFFFFFFF for x in r["p"]} for r in syncmers.with_anchors(rows, "text", "p", syncmers.CHARS).orderBy("doc_id").collect()]
+    got = syncmers.digest(rows).orderBy("doc_id").collect()
+    assert [r["fingerprint"] for r in got] == ["".join("%08x" % x for x in sorted(s, key=lambda x: x - (x >> 31 << 32))) for s in anchors]
+    want = len(anchors[0] & anchors[1]) / len(anchors[0] | anchors[1])
+    assert want > 0 and all(math.isclose(r["near_next"], want, rel_tol=1e-12) for r in got)
+
+
 def test_syncmers_over_many_buckets(spark, docs, monkeypatch):
     want = Counter(map(tuple, syncmers.digest(docs).collect()))
     monkeypatch.setattr(syncmers, "BUCKET_DOCS", 7)
