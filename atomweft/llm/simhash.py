@@ -218,25 +218,27 @@ def links(distinct: DataFrame, distance: int = DISTANCE, group: int = GROUP, pro
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, tag, fp and component_id: the smallest doc_id reachable over links."""
+    """doc_id, tag, fp, root (the component's least fingerprint) and component_id: the smallest doc_id reachable over links."""
     spark = docs.sparkSession
     marked = common.materialise(fingerprints(docs, shingle), common.shared_dir(spark, "fingerprints"))
     distinct = common.materialise(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), common.shared_dir(spark, "distinct"))
     roots = components(links(distinct, distance)).select(F.col("u").alias("fp"), F.col("v").alias("root"))
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = joined_anew(rooted.select("fp", "root"), least, "root").select("fp", "component_id")
-    return marked.join(ids, "fp").select("doc_id", "tag", "fp", "component_id")
+    ids = joined_anew(rooted.select("fp", "root"), least, "root").select("fp", "root", "component_id")
+    return marked.join(ids, "fp").select("doc_id", "tag", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """One document of each component: that whose id names it, of repeated ids the text with the least tag.
+    """One document of each component: the smallest doc_id (null last), of repeated ids the text with the least tag.
 
-    Rows without an id stay only where their whole component has none.
+    Survivors are chosen by component, so components of rows without ids, or whose ids occur
+    in others too, each keep one. Rows equal in id and text are one row afterwards.
     """
-    found = classes(docs, shingle, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.groupBy("doc_id").agg(F.min("tag").alias("__tag"), F.count("*").alias("__n")).select(F.col("doc_id").alias("__id"), "__tag", (F.col("__n") > 1).alias("__many"))
-    named = docs.withColumn("__own", F.xxhash64(common.text_or_empty()))
-    rows = named.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__id").isNull() | (F.col("__own") == F.col("__tag"))))
-    once, many = rows.filter(F.col("__id").isNull() | ~F.col("__many")), rows.filter(F.col("__id").isNotNull() & F.col("__many"))
-    return once.select(*docs.columns).unionByName(many.dropDuplicates(["doc_id"]).select(*docs.columns))
+    found = classes(docs, shingle, distance).groupBy("root", "doc_id", "tag").agg(F.count("*").alias("n"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tag", "n")).alias("k"))
+    kept = first.select(F.coalesce("k.doc_id", F.lit(0)).alias("__i"), F.col("k.last").alias("__null"), F.col("k.tag").alias("__t"), (F.col("k.n") > 1).alias("__many"))
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.withColumns({"__i": F.coalesce(id_, F.lit(0)), "__null": id_.isNull(), "__t": tag_of("text")}).join(kept, ["__i", "__null", "__t"])
+    once, many = rows.filter(~F.col("__many")), rows.filter(F.col("__many"))
+    return once.select(*docs.columns).unionByName(many.dropDuplicates(["__i", "__null", "__t"]).select(*docs.columns))

@@ -9,7 +9,7 @@ temporary name and renamed, so that a repeated task leaves one whole file.
 Of captures with equal payloads of at least `least` bytes, that with the largest page_id is a
 response and the others revisit it; repeated rows with that id are all responses. Null html
 counts as empty, null page_ids never are the largest unless all are null. A null url goes
-without a target. Revisits keep the HTTP head, so the payload's length is read back from it.
+without a target, one that can't be parsed is kept as it is, and "/" is asked for. Revisits keep the HTTP head, so the payload's length is read back from it.
 An empty table makes no archive and no row.
 """
 
@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, store
+from .components import joined_anew
 
 ARCHIVE_BYTES = 128 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -44,6 +45,15 @@ def _clean(value: str) -> str:
     return "".join(urllib.parse.quote(c) if c in "\r\n" else c for c in value)
 
 
+def target(url: str | None) -> tuple[str, str]:
+    """Host and path to ask for; of a url that can't be parsed no host and "/"."""
+    try:
+        where = urllib.parse.urlsplit(_clean(url or ""))
+    except ValueError:
+        return "", "/"
+    return where.netloc, (where.path or "/") + f"?{where.query}" * bool(where.query)
+
+
 def record(kind: str, record_id: str, block: bytes, content_type: str, **named: str | None) -> bytes:
     """One record as a gzip member; named headers have _ for -."""
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", f"WARC-Date: {DATE}"]
@@ -61,8 +71,8 @@ def capture(page_id: int | None, url: str | None, payload: bytes, origin: tuple
         main = record("response", ids[0], head + payload, "application/http; msgtype=response", Target_URI=url, Payload_Digest=digest)
     else:
         main = record("revisit", ids[0], head, "application/http; msgtype=response", Target_URI=url, Payload_Digest=digest, Profile=PROFILE, Refers_To_Target_URI=origin[0], Refers_To_Date=DATE)
-    where = urllib.parse.urlsplit(_clean(url or "")) if url else None
-    ask = f"GET {where.path or '/'} HTTP/1.1\r\nHost: {where.netloc}\r\n\r\n" if where else "GET / HTTP/1.1\r\n\r\n"
+    host, path = target(url)
+    ask = f"GET {path} HTTP/1.1\r\n" + f"Host: {host}\r\n" * bool(host) + "\r\n"
     request = record("request", ids[1], ask.encode(), "application/http; msgtype=request", Target_URI=url, Concurrent_To=ids[0])
     fields = "".join(f"{k}: {v}\r\n" for k, v in (("pageId", page_id),) if v is not None)
     return request + main + record("metadata", ids[2], fields.encode(), "application/warc-fields", Target_URI=url, Concurrent_To=ids[0])
@@ -71,14 +81,14 @@ def capture(page_id: int | None, url: str | None, payload: bytes, origin: tuple
 def planned(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, payload and `origin`: for a revisit, a struct with the url of the response.
 
-    The largest page_id of each payload digest is found before the join, combined map-side; the
-    join's large groups of copies can be split at run time.
+    The largest page_id of each payload digest is found before the join, combined map-side. The
+    join is dealt anew on both sides, so that a payload's many copies can be split at run time.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    first = rows.filter(F.octet_length("payload") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("most"))
-    rows = rows.join(first, "digest", "left")
-    other = F.col("most").isNotNull() & F.col("most.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("most.page_id"))
+    first = rows.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("most"))
+    rows = joined_anew(rows, first, "digest", anew=F.reverse)
+    other = (F.octet_length("payload") >= least) & F.col("most.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("most.page_id"))
     return rows.select("page_id", "url", "payload", F.when(other, F.struct(F.col("most.url").alias("url"))).alias("origin"))
 
 
@@ -173,4 +183,4 @@ def referred(captures: DataFrame) -> DataFrame:
     captures = captures.withColumn("payload_digest", F.col("response.payload_digest"))
     origins = captures.filter("kind = 'response'").groupBy("payload_digest").agg(F.max("metadata.page_id").alias("origin"))
     # sizes can't be estimated behind the archives' short list, so no side may be broadcast
-    return captures.join(origins.hint("merge"), "payload_digest", "left").withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("origin"))).drop("origin")
+    return joined_anew(captures, origins.hint("merge"), "payload_digest", "left", F.reverse).withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("origin"))).drop("origin")
