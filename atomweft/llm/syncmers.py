@@ -1,16 +1,18 @@
 """Document fingerprints from closed syncmers, with DataFrame functions only.
 
-A k-mer is chosen if the least of its inner s-mers, by hash, is its first or its last. That
-depends on the k-mer alone, so texts that share a passage choose the same anchors in it,
-wherever it stands. Fingerprints take k-mers of 8 code points with inner triples, whatever
-the length, so any two can be compared, also of texts without white space. A fingerprint is
-all distinct 32-bit hashes of the anchors; likeness is the Jaccard index of two of them.
-Anchors with their places, by default of 5 words with inner pairs, serve positional
-matching.
-
-A text with units but no anchor has one for the whole. Null and empty texts have
-none: an empty fingerprint, like another empty one by 1 and any
-other by 0. Only doc_id and text are read.
+A text is cut into units: words, in pieces of up to 4 code points, and single code points of
+scripts that write without spaces. A k-mer of 5 units is chosen as an anchor if the least of
+its units, by hash, is its first or its last. That depends on the k-mer alone, so texts that
+share a passage choose the same anchors in it, wherever it stands, and of any four k-mers in
+a row at least one is chosen. Texts of all lengths have the same units, so any two can be
+compared. A fingerprint is all of a text's anchors in order, each as the distance from the one
+before, in units, and a 32-bit hash: places and hashes can be read back from it. Likeness
+matches by position: an anchor counts with the next one and the distance to it, and the
+likeness is the Jaccard index of the distinct such links of two fingerprints.
+
+A text with units but no anchor (fewer than 5) has one for the whole. Null, empty and blank
+texts have none: an empty fingerprint, like another empty one by 1 and any other by 0. Ties of
+doc_id go by the text's hash; an empty table gives no row. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,57 +25,73 @@ from pyspark.sql.window import Window
 
 from . import common
 
-WORDS = (5, 2)
-CHARS = (8, 3)
+K = 5
+PIECE = 4
+_BLANK = r"\x20\x09-\x0D"
+#: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han: written without spaces.
+_SOLID = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+UNIT = f"[^{_BLANK}{_SOLID}]{{1,{PIECE}}}|[^{_BLANK}]"
 BUCKET_DOCS = 4096
 BUCKET_PROBES = 64  #: ids a bucket that the bounds are chosen from
-MOST_BUCKETS = 65_536
+MOST_BUCKETS = 262_144  #: the bounds are part of the plan; beyond a thousand million documents buckets grow
+LOW = 0xFFFFFFFF
 
 
-def _smers(h: Column, n: Column, s: int) -> Column:
-    hashed = F.transform(F.sequence(F.lit(0), n - s), lambda i: F.xxhash64(*[F.get(h, i + d) for d in range(s)]))
-    return F.when(n >= s, hashed).otherwise(F.array().cast("array<bigint>"))
+def _low(x: Column) -> Column:
+    return x.bitwiseAND(F.lit(LOW))
 
 
-def _anchors(h: Column, g: Column, n: Column, k: int, s: int) -> Column:
-    last = k - s
-    edge = lambda i: F.least(F.get(g, i), F.get(g, i + last)) <= F.least(*[F.get(g, i + d) for d in range(1, last)])
-    chosen = F.filter(F.sequence(F.lit(0), n - k), edge)
-    placed = F.transform(chosen, lambda i: F.struct(i.alias("at"), F.xxhash64(*[F.get(h, i + d) for d in range(k)]).alias("hash")))
-    return F.when(n >= k, placed)
+def _place(x: Column) -> Column:
+    return F.shiftright(x, 32)
 
 
-def with_anchors(df: DataFrame, text: str, out: str, kind: tuple[int, int] = WORDS) -> DataFrame:
-    """df with `out`: array of structs (at, hash), `at` counted in words, or in code points if `kind` is CHARS."""
-    h, n, (k, s) = F.col("__h"), F.col("__n"), kind
-    units = F.filter(F.split(F.col(text), common.SPACE), lambda x: x != "") if kind == WORDS else F.regexp_extract_all(F.col(text), F.lit("(?s)."), F.lit(0))
-    df = df.withColumn("__h", F.transform(units, lambda x: F.xxhash64(x))).withColumn("__n", F.size("__h"))
-    df = df.withColumn("__g", _smers(h, n, s)).withColumn("__a", _anchors(h, F.col("__g"), n, k, s))
-    whole = F.array(F.struct(F.lit(0).alias("at"), F.xxhash64(h).alias("hash")))
-    none = F.array().cast("array<struct<at:int,hash:bigint>>")
-    return df.withColumn(out, F.when(n == 0, none).when(F.coalesce(F.size("__a"), F.lit(0)) > 0, F.col("__a")).otherwise(whole)).drop("__h", "__n", "__g", "__a")
+def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
+    """df with `out`: the anchors of a text, in order, as longs: place << 32 | hash, places counted in units."""
+    h, n = F.col("__h"), F.col("__n")
+    inner = lambda i: F.least(*[F.get(h, i + d) for d in range(1, K - 1)])
+    chosen = F.filter(F.sequence(F.lit(0), n - K), lambda i: (F.get(h, i) <= inner(i)) | (F.get(h, i + (K - 1)) <= inner(i)))
+    df = df.withColumn("__h", F.transform(F.regexp_extract_all(F.col(text), F.lit(UNIT), F.lit(0)), lambda x: F.xxhash64(x))).withColumn("__n", F.size("__h"))
+    df = df.withColumn("__at", F.when(n >= K, chosen).otherwise(F.array().cast("array<int>")))
+    anchors = F.transform("__at", lambda at: F.shiftleft(at.cast("long"), 32).bitwiseOR(_low(F.xxhash64(*[F.get(h, at + d) for d in range(K)]))))
+    df = df.withColumn(out, F.when(F.size("__at") > 0, anchors).when(n > 0, F.array(_low(F.xxhash64(h)))).otherwise(F.array().cast("array<bigint>")))
+    return df.drop("__h", "__n", "__at")
 
 
-def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with `out`: the distinct 32-bit hashes (signed) of all the text's anchors, ascending."""
-    df = with_anchors(df, text, "__anchors", CHARS)
-    values = F.transform("__anchors", lambda a: F.shiftright(a["hash"], 32).cast("int"))
-    return df.withColumn(out, F.sort_array(F.array_distinct(values))).drop("__anchors")
+def links(fingerprint: str) -> Column:
+    """Distinct hashes of each anchor with the next and the distance to it; of a single anchor itself."""
+    f = F.col(fingerprint)
+    pair = lambda x, i: F.xxhash64(_low(x), F.get(f, i + 1) - F.shiftleft(_place(x), 32))
+    return F.when(F.size(f) < 2, f).otherwise(F.array_distinct(F.slice(F.transform(f, pair), F.lit(1), F.greatest(F.size(f) - 1, F.lit(0)))))
 
 
 def likeness(a: str, b: str) -> Column:
-    """The share of the distinct hashes of both that both have."""
+    """The share of the links of both (columns made by `links`) that both have."""
     both = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / F.greatest(F.size(a) + F.size(b) - both, F.lit(1)))
 
 
+def places(fingerprint: Column) -> Column:
+    """The anchors as structs (hash, at) by hash: of each hash the first place only."""
+    placed = F.sort_array(F.transform(fingerprint, lambda x: F.struct(_low(x).alias("hash"), _place(x).alias("at"))))
+    return F.filter(placed, lambda x, i: (i == 0) | (F.get(placed, i - 1)["hash"] != x["hash"]))
+
+
 def matches(a: Column, b: Column) -> Column:
-    """Anchors of a with the places of equal anchors of b: array of structs (at, other)."""
-    return F.filter(F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: y["hash"] == x["hash"]), lambda y: F.struct(x["at"].alias("at"), y["at"].alias("other"))))), lambda m: m["at"].isNotNull())
+    """Where two fingerprints have equal anchors: structs (at, other), of each hash the first places in both.
+
+    Both are sorted by hash together, so equal ones are neighbours.
+    """
+    side = lambda p, s: F.transform(places(p), lambda x: F.struct(x["hash"].alias("hash"), F.lit(s).alias("side"), x["at"].alias("at")))
+    both = F.sort_array(F.concat(side(a, 0), side(b, 1)))
+    found = F.transform(both, lambda x, i: F.when((i > 0) & (F.get(both, i - 1)["hash"] == x["hash"]), F.struct(F.get(both, i - 1)["at"].alias("at"), x["at"].alias("other"))))
+    return F.sort_array(F.filter(found, lambda m: m.isNotNull()))
 
 
-def written(sketch: str) -> Column:
-    return F.array_join(F.transform(sketch, lambda x: F.lower(F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))), "")
+def written(fingerprint: str) -> Column:
+    """Nine hexadecimal digits an anchor: one for the distance from the one before (of the first: from -1), which is 1 to 5, and eight for the hash."""
+    f = F.col(fingerprint)
+    before = lambda i: F.coalesce(_place(F.get(f, i - 1)), F.lit(-1))
+    return F.lower(F.array_join(F.transform(f, lambda x, i: F.hex(x - F.shiftleft(before(i), 32))), ""))
 
 
 def with_next(docs: DataFrame, carried: list[str], dealt: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -106,22 +124,24 @@ def with_next(docs: DataFrame, carried: list[str], dealt: Callable[[DataFrame],
 
 
 def edited(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, text, sketch, the edited text and next_sketch.
+    """doc_id, n_chars, fingerprint, links and next_links, and the edited text.
 
     The last quarter of a text gives way to as much of the beginning of the next document's.
     """
     rows = docs.select("doc_id", common.text_or_empty().alias("text"))
     rows = rows.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).withColumn("__tie", F.xxhash64("text"))
-    rows = with_next(rows, ["text", "sketch"], lambda df: with_sketch(df, "text", "sketch"))
+    made = lambda df: with_fingerprint(df, "text", "fingerprint").withColumn("links", links("fingerprint"))
+    rows = with_next(rows, ["text", "links"], made)
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     text = F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter))
-    return rows.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", text.alias("edited"))
+    return rows.select("doc_id", n.cast("long").alias("n_chars"), "fingerprint", "links", "next_links", text.alias("edited"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    rows = with_sketch(edited(docs), "edited", "edited_sketch")
+    rows = with_fingerprint(edited(docs), "edited", "edited_fingerprint")
+    rows = rows.withColumn("edited_links", links("edited_fingerprint"))
     return rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written("sketch").alias("fingerprint"), written("edited_sketch").alias("edited_fingerprint"),
-        likeness("sketch", "edited_sketch").alias("near_edited"), likeness("sketch", "next_sketch").alias("near_next"),
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), written("fingerprint").alias("fingerprint"), written("edited_fingerprint").alias("edited_fingerprint"),
+        likeness("links", "edited_links").alias("near_edited"), likeness("links", "next_links").alias("near_next"),
     )

@@ -277,62 +277,83 @@ def test_elias_fano(values):
 # 4 ------------------------------------------------------------------------------------------
 
 
-def test_syncmers(spark, docs, rows, empty):
-    got = syncmers.digest(docs).collect()
-    assert len(got) == len(rows)
-    ordered = sorted(rows, key=lambda r: -1 if r[0] is None else r[0])
-    by_id = defaultdict(set)
-    for n, (d, t, *_) in enumerate(ordered):
-        t, following = t or "", ordered[(n + 1) % len(ordered)][1] or ""
+def hashed(*parts):
+    """Spark's xxhash64 of strings and longs in a row."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p.encode() if isinstance(p, str) else (p % 2**64).to_bytes(8, "little"), h)
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_anchors(text):
+    """(distance, hash) of each closed syncmer of 5 units, by the definition."""
+    units, solid = [], "[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+    for word in words_of(text):
+        for part in re.findall(f"{solid}|(?:(?!{solid}).)+", word, re.DOTALL):
+            units += [part[k : k + 4] for k in range(0, len(part), 4)]
+    h, out, last = [hashed(u) for u in units], [], -1
+    for i in range(len(h) - 4):
+        if min(h[i], h[i + 4]) <= min(h[i + 1 : i + 4]):
+            out.append((i - last, hashed(*h[i : i + 5]) & 0xFFFFFFFF))
+            last = i
+    return out or ([(1, hashed(*h) & 0xFFFFFFFF)] if h else [])
+
+
+def brute_likeness(a, b):
+    links = [{(x[1], *y) for x, y in zip(f, f[1:])} if len(f) > 1 else set(f) for f in (a, b)]
+    return len(links[0] & links[1]) / len(links[0] | links[1]) if links[0] | links[1] else 1.0
+
+
+def brute_op4(rows):
+    """Rows of (doc_id, text), as the query returns them; ties of doc_id by the text's hash."""
+    ordered = sorted(((d, t or "") for d, t in rows), key=lambda r: (-(2**63) if r[0] is None else r[0], hashed(r[1])))
+    for n, (d, t) in enumerate(ordered):
+        following = ordered[(n + 1) % len(ordered)][1]
         q = len(t) // 4
-        by_id[d].add((len(t), hashlib.sha256((t[: len(t) - q] + following[:q]).encode()).hexdigest()))
-    prints = {}
-    for r in got:
-        if r["doc_id"] not in (None, 2, 3, len(rows) - 5):  # next to ties, which go by hash
-            assert (r["n_chars"], r["edited_sha256"]) in by_id[r["doc_id"]]
-        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
-    texts = {d: t or "" for d, t, *_ in rows if d is not None}
-    for r in got:
-        if r["doc_id"] is not None:
-            assert prints.setdefault(texts[r["doc_id"]], r["fingerprint"]) == r["fingerprint"]
-    assert prints[""] == "" and syncmers.digest(empty).count() == 0
+        e = t[: len(t) - q] + following[:q]
+        own, other, nxt = brute_anchors(t), brute_anchors(e), brute_anchors(following)
+        line = lambda f: "".join("%x%08x" % x for x in f)
+        yield d, len(t), hashlib.sha256(e.encode()).hexdigest(), line(own), line(other), round(brute_likeness(own, other), 9), round(brute_likeness(own, nxt), 9)
+
+
+def op4_rows(df):
+    return Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in df.collect())
+
+
+def test_syncmers(spark, docs, rows, empty):
+    assert op4_rows(syncmers.digest(docs)) == Counter(brute_op4([(d, t) for d, t, *_ in rows]))
+    assert syncmers.digest(empty).count() == 0
+    assert all(1 <= g <= 5 for _, t, *_ in rows for g, _ in brute_anchors(t))
 
 
-def test_anchors_do_not_depend_on_context(spark):
+def test_places_can_be_read_back_and_matched(spark):
     shared = " ".join("s%d" % i for i in range(60))
     df = spark.createDataFrame([("u v w " * 30 + shared, shared + " x y z" * 40)], "a string, b string")
-    out = syncmers.with_anchors(syncmers.with_anchors(df, "a", "p"), "b", "q").select("q", syncmers.matches(F.col("p"), F.col("q")).alias("m")).first()
-    inside = [x for x in out["q"] if x["at"] <= 55]
-    assert len(inside) > 10 and {m["at"] - m["other"] for m in out["m"] if m["other"] <= 55} == {90}
-    assert {x["at"] for x in inside} <= {m["other"] for m in out["m"]}
+    df = syncmers.with_fingerprint(syncmers.with_fingerprint(df, "a", "p"), "b", "q")
+    out = df.select("p", syncmers.places(F.col("p")).alias("at"), syncmers.matches(F.col("p"), F.col("q")).alias("m")).first()
+    at, want = -1, {}
+    for g, x in brute_anchors("u v w " * 30 + shared):
+        at += g
+        want.setdefault(x, at)
+    assert {r["hash"]: r["at"] for r in out["at"]} == want
+    inside = [m for m in out["m"] if m["other"] <= 55]
+    assert len(inside) > 10 and {m["at"] - m["other"] for m in inside} == {90}
 
 
 def test_fingerprints_of_all_lengths_compare(spark):
-    """Pairs on both sides of 400 code points, and a long text without white space."""
+    """Lengths on both sides of 400 code points, a long text before a short one, texts without white space."""
     rng = random.Random(3)
     prose = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(200))
-    solid = "".join(rng.choice("abcdefgh") for _ in range(2000))
-    pairs = {"edit": (prose[:440], prose[:330]), "near": (prose[:398], prose[:403]), "solid": (solid, solid[:1500] + "x" * 500), "none": (prose[:440], solid[:440])}
+    solid, han = "".join(rng.choice("abcdefgh") for _ in range(2000)), "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(500))
+    pairs = {"edit": (prose[:440], prose[:330]), "near": (prose[:398], prose[:403]), "solid": (solid, solid[:1500] + "x" * 500), "han": (han, "xy" + han), "none": (prose[:440], solid[:440])}
     df = spark.createDataFrame([(n, *p) for n, p in pairs.items()], "n string, a string, b string")
-    df = syncmers.with_sketch(syncmers.with_sketch(df, "a", "p"), "b", "q")
+    df = syncmers.with_fingerprint(syncmers.with_fingerprint(df, "a", "p"), "b", "q").select("n", syncmers.links("p").alias("p"), syncmers.links("q").alias("q"))
     got = {r["n"]: r["x"] for r in df.select("n", syncmers.likeness("p", "q").alias("x")).collect()}
-    assert got["edit"] > 0.55 and got["near"] > 0.9 and got["solid"] > 0.5 and got["none"] < 0.1
-    found = syncmers.digest(spark.createDataFrame([(1, prose[:440]), (2, "")], "doc_id long, text string")).filter("doc_id = 1").first()
-    assert found["near_edited"] > 0.55
-
-
-def test_all_anchors_reach_fingerprints_and_likeness(spark):
-    """A passage shared by two long texts counts exactly."""
-    rng = random.Random(4)
-    text = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n))
-    shared = text(80)
-    a, b = text(3000) + " " + shared + " " + text(3000), text(3000) + " " + shared + " " + text(3000)
-    rows = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
-    anchors = [{(x["hash"] >> 32) & 0xFFFFFFFF for x in r["p"]} for r in syncmers.with_anchors(rows, "text", "p", syncmers.CHARS).orderBy("doc_id").collect()]
-    got = syncmers.digest(rows).orderBy("doc_id").collect()
-    assert [r["fingerprint"] for r in got] == ["".join("%08x" % x for x in sorted(s, key=lambda x: x - (x >> 31 << 32))) for s in anchors]
-    want = len(anchors[0] & anchors[1]) / len(anchors[0] | anchors[1])
-    assert want > 0 and all(math.isclose(r["near_next"], want, rel_tol=1e-12) for r in got)
+    assert got["edit"] > 0.6 and got["near"] > 0.9 and got["solid"] > 0.55 and got["han"] > 0.9 and got["none"] < 0.1
+    for n in (399, 400, 401, 419):
+        text = [(1, prose[:n]), (2, "of course")]
+        found = syncmers.digest(spark.createDataFrame(text, "doc_id long, text string"))
+        assert op4_rows(found) == Counter(brute_op4(text)) and found.filter("doc_id = 1").first()["near_edited"] > 0.6
 
 
 def test_syncmers_over_many_buckets(spark, docs, monkeypatch):
