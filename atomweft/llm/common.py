@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -14,15 +15,24 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which driver and executors share.
+    """A fresh path below spark.checkpoint.dir, which driver and executors share."""
+    return f"{shared_base(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
-    Only where the setting is absent (tests on one machine) a temporary folder stands in.
-    """
+
+def shared_base(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary one; a cluster gets an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+    return base.rstrip("/")
+
+
+def kept_dir(spark: SparkSession, tag: str, of: str) -> str:
+    """A lasting path below the shared folder, one for each input `of`."""
+    return f"{shared_base(spark)}/{tag}-{hashlib.sha1(of.encode()).hexdigest()[:12]}"
 
 
 def materialise(df: DataFrame, path: str) -> DataFrame:

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from . import common, language, mixing, ngrams, packing, quality, secrets, simhash, syncmers, token_files, warc, wordpiece
 
 
-def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.documents(spark, sf_dir)
-    found = secrets.digest(secrets.scan(docs, common.shared_dir(spark, "ledger"))).drop("findings")
-    versions = docs.select("doc_id", secrets.blob_id(docs["text"]).alias("blob"))
-    return versions.join(found, "blob", "left").drop("blob")
+def op1_secrets(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """The ledger lasts, one for each input folder, so a second run scans only what is new."""
+    docs = common.documents(spark, sf_dir).select("doc_id", "text")
+    return secrets.digest(secrets.scan(docs, ledger or common.kept_dir(spark, "secrets", sf_dir)))
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix": mixing.SQL}
+    return {"op1_secrets": secrets.SQL, "op2_mix": mixing.SQL, "op5_warc": warc.SQL}

@@ -184,3 +184,11 @@ def referred(captures: DataFrame) -> DataFrame:
     origins = captures.filter("kind = 'response'").groupBy("payload_digest").agg(F.max("metadata.page_id").alias("origin"))
     # sizes can't be estimated behind the archives' short list, so no side may be broadcast
     return joined_anew(captures, origins.hint("merge"), "payload_digest", "left", F.reverse).withColumn("refers_to", F.when(F.col("kind") == "revisit", F.col("origin"))).drop("origin")
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+SQL = f"""WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS h, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS most FROM p),
+v AS (SELECT *, most IS NOT NULL AND page_id IS DISTINCT FROM most AS other FROM m)
+SELECT page_id, payload_bytes, array_to_string([substr('{_BASE32}', 1 + ((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31), 1) for i in range(32)], '') AS payload_digest,
+  CASE WHEN other THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN other THEN most END AS refers_to FROM v"""

@@ -11,6 +11,7 @@ import io
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations, permutations
@@ -71,34 +72,66 @@ def brute_spans(text):
 
 def test_secrets(spark, docs, rows, empty, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
-    found = {r["blob"]: r for r in secrets.digest(secrets.scan(docs, ledger)).collect()}
-    assert len(found) == len({r[1] or "" for r in rows})
-    for _, text, *_ in rows:
-        want, got = brute_spans(text), found[hashlib.sha256((text or "").encode()).hexdigest()]
-        line = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in want)
-        assert (got["n_assign"], got["n_access"], got["n_hex"]) == tuple(sum(k == n for _, k, _ in want) for n in range(3))
-        assert got["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
-        assert set(line.split(",")) <= set(got["spans"].split(",")) | {""}
+    scanned = secrets.scan(docs, ledger)
+    assert scanned.columns == [*docs.columns, "findings"]
+    want = Counter()
+    for d, text, *_ in rows:
+        found = brute_spans(text)
+        line = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in found)
+        want[d, *(sum(k == n for _, k, _ in found) for n in range(3)), hashlib.sha256(line.encode()).hexdigest()] += 1
+    got = secrets.digest(scanned).collect()
+    assert Counter(tuple(r)[:5] for r in got) == want
     assert secrets.scan(empty, f"file://{tmp_path}/none").count() == 0
 
 
-def test_ledger_scans_only_what_is_new(spark, docs, tmp_path):
+def test_ledger_scans_only_what_is_new(spark, docs, rows, tmp_path):
     ledger = f"file://{tmp_path}/ledger"
-    n = secrets.scan(docs, ledger).count()
-    assert secrets.scan(docs, ledger).count() == n
-    more = docs.limit(1).withColumn("text", F.lit("ghp_" + "a" * 36))
-    both = secrets.scan(docs.unionByName(more), ledger)
-    assert both.count() == n + 1 and both.filter(F.size("findings") > 0).filter("findings[0].kind = 5").count() == 1
-    assert secrets.scan(more, ledger, version="next").count() == 1
-    assert spark.read.parquet(f"{ledger}/ledger").count() == n + 2
-
-
-def test_redaction(docs, rows, tmp_path):
+    blobs = len({r[1] or "" for r in rows})
+    assert secrets.update(docs, ledger) == blobs
+    assert secrets.update(docs, ledger) == 0
+    more = docs.unionByName(docs.limit(1).withColumn("text", F.lit("ghp_" + "a" * 36)))
+    assert secrets.update(more, ledger) == 1
+    extra = (*secrets.RULES, secrets.Rule("same", "same line"))
+    assert secrets.update(more, ledger, extra) == blobs + 1
+    last = spark.read.parquet(f"{ledger}/ledger").filter(F.exists("rules", lambda r: r.startswith("same@")))
+    assert last.count() == blobs + 1 and last.filter(F.size("rules") != 1).count() == 0
+    assert secrets.findings(spark, ledger, extra).filter(F.exists("findings", lambda f: f["kind"] == 7)).count() == 1
+    before = Counter(map(str, secrets.findings(spark, ledger).collect()))
+    again = spark.read.parquet(f"{ledger}/ledger").collect()
+    spark.createDataFrame(again, secrets.LEDGER).write.mode("append").parquet(f"{ledger}/ledger")  # as if two runs had done the same
+    assert Counter(map(str, secrets.findings(spark, ledger).collect())) == before
+    turned = tuple(reversed(secrets.RULES))  # kinds go by the order of the rules that are asked for
+    kinds = {turned[f["kind"]].kind for r in secrets.findings(spark, ledger, turned).collect() for f in r["findings"]}
+    assert kinds == {"assign", "access", "hex", "forge"}
+
+
+def test_redaction(spark, docs, rows, tmp_path):
     out = secrets.redact(docs, f"file://{tmp_path}/ledger")
     assert out.columns == docs.columns and out.count() == len(rows)
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
     assert texts[45] == "[SECRET]" and texts[46] == "[SECRET] and [SECRET]" and texts[40] is None
     assert not any(brute_spans(t) for t in texts.values())
+    rng, made = random.Random(4), []
+    for k in range(40):
+        parts = [rng.choice(["é" * rng.randint(1, 900), "word ", "𝄞", "token=" + "b1" * rng.randint(6, 300), "0" * 20, "AKIA" + "Z9" * 9, "\n"]) for _ in range(rng.randint(0, 30))]
+        made.append((k, "".join(parts)))
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(spark.createDataFrame(made, "doc_id long, text string"), f"file://{tmp_path}/two").collect()}
+    for k, t in made:
+        want, at = "", 0
+        for a, _, b in brute_spans(t):
+            want += t[at:a] + "[SECRET]" if a >= at else ""
+            at = max(at, b)
+        assert got[k] == want + t[at:]
+
+
+def test_long_runs_take_linear_time(spark, tmp_path):
+    """Five million characters that begin rules again and again; findings in all of a long text."""
+    texts = [(1, "eyJ" * 1_700_000), (2, "token = abcdefghijklm " * 20_000), (3, "-----BEGIN " + "A" * 1_000_000)]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(df, f"file://{tmp_path}/ledger").collect()}
+    assert got[1] == texts[0][1] and got[3] == texts[2][1] and got[2] == "[SECRET] " * 20_000
+    assert time.perf_counter() - began < 90
 
 
 # 2 ------------------------------------------------------------------------------------------
@@ -388,6 +421,15 @@ def test_warc(spark, tmp_path):
     assert warc.referred(warc.assemble(warc.read(warc.write(warc.planned(none), f"file://{tmp_path}/e")))).count() == 0
 
 
+def test_odd_urls(spark, tmp_path):
+    urls = ["http://[x/", "http://[abc]/", "", "no url", None, "http://h?q=1"]
+    df = spark.createDataFrame([(k, u, "x%d" % k) for k, u in enumerate(urls)], "page_id long, url string, html string")
+    got = warc.assemble(warc.read(warc.write(warc.planned(df), f"file://{tmp_path}/w"))).select("metadata.page_id", "request.http", "response.uri").collect()
+    asked = {r["page_id"]: r["http"].split("\r\n")[0] for r in got}
+    assert asked == {0: "GET / HTTP/1.1", 1: "GET / HTTP/1.1", 2: "GET / HTTP/1.1", 3: "GET no url HTTP/1.1", 4: "GET / HTTP/1.1", 5: "GET /?q=1 HTTP/1.1"}
+    assert {r["page_id"]: r["uri"] for r in got} == dict(enumerate(urls)) | {2: ""}
+
+
 def test_small_payloads_are_all_responses(spark, tmp_path):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], "page_id long, url string, html string")
     plan = {r["page_id"]: r["origin"] is not None for r in warc.planned(df, least=3).collect()}
@@ -477,6 +519,17 @@ def test_simhash(docs, rows, empty):
     assert sorted(ids) == sorted(set(least.values()))
 
 
+@pytest.mark.parametrize("ids", [(None, None, None, 1), (1, 1, 1, 2), (None,) * 4, (4, 3, 2, 1)])
+def test_one_of_each_component_stays(spark, ids):
+    """Null ids, ids of several components, repeated rows: texts A, B, B, A."""
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight nine"
+    df = spark.createDataFrame([(d, t, "n") for d, t in zip(ids, (a, b, b, a))], "doc_id long, text string, n string")
+    got = simhash.keep_one(df).collect()
+    assert sorted(r["text"] for r in got) == [a, b]
+    least = lambda x: min((d for d, t in zip(ids, (a, b, b, a)) if t == x and d is not None), default=None)
+    assert {r["text"]: r["doc_id"] for r in got} == {a: least(a), b: least(b)}
+
+
 def test_all_anchors_within_radius_and_threshold():
     rng = np.random.default_rng(4)
     fp = rng.integers(0, 2**63, 20, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
