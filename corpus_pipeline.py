@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace every secret found; no document goes."""
-    return secrets.redact(docs, common.shared_dir(spark, "ledger"))
+    return secrets.redact(docs, common.kept_dir(spark, "secrets", sf_dir))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
