@@ -103,6 +103,13 @@ class EliasFano:
         rel = high | _unpack(self.low, at, self.width)
         return (rel + np.uint64(self.first & 0xFFFFFFFFFFFFFFFF)).view(np.int64)
 
+    def successor(self, value: int, lo: int, hi: int) -> int:
+        """The first place in [lo, hi) whose value is at least `value`, else hi; by selects, nothing is decoded."""
+        while lo < hi:
+            mid = (lo + hi) >> 1
+            lo, hi = (mid + 1, hi) if self[mid] < value else (lo, mid)
+        return lo
+
     def __len__(self) -> int:
         return self.n
 

@@ -1,44 +1,59 @@
 """Language-model scoring with an Elias-Fano n-gram trie in the shared folder.
 
-Tokens are the words of a text, A-Z lower-cased, and one end. The trie has two levels. Words
-are sorted by hash within shards, a word's id is its place; a shard file of the second level
-has, for each context, an Elias-Fano coded monotone pointer to the sorted ids that follow it,
-with their discounted probabilities and the context's back-off weight, quantised to 16 bits
-in logarithm. Levels are memory-mapped; a bigram is found by successor search within its
-context's range. Probability: max(c(h w) - D, 0) / c(h) + D n(h) / c(h) * p(w), where n(h)
-counts what follows h and p(w) is the additive unigram estimate; it sums to one over the
-vocabulary and one unknown word. Nothing is pruned.
-
-Tasks send sorted, counted keys, Elias-Fano coded, so counts are combined before the shuffle.
-A context with more than a shard's share of the tokens is spread over files by the following
-word, so a frequent word has no task of its own. Shards and files follow the input's size.
+Tokens are the words of a text, A-Z lower-cased, and one end. The trie has three levels, each
+cut into shard files. Level one: the words' hashes, sorted and Elias-Fano coded, and their
+counts; a word's id is its place. Levels two and three: for each context, which is an entry of
+the level above, a monotone Elias-Fano pointer to its range of following words. A following
+word is stored as its rank in the file's vocabulary plus the last value of the range before,
+so all values of a file are one monotone Elias-Fano sequence; a word is found by successor
+search for its rank, relative to its context, within the range. With it stand its discounted
+probability and the context's back-off weight, quantised to 16 bits in logarithm.
+
+p(w | u v) = max(c(u v w) - D, 0) / c(u v) + D n(u v) / c(u v) * p(w | v), where n counts the
+different words that follow; p(w | v) likewise down to the additive estimate of the word. It
+sums to one over the vocabulary and one unknown word; a context that was never followed hands
+over all. Nothing is pruned.
+
+Texts are tokenised once, into chunk files of some million tokens. For each level a chunk
+sends its distinct keys with their counts to the shards they belong to, Elias-Fano coded; a
+shard adds them up, writes its file, looks up each chunk's keys in it and sends the answers
+back. So no task opens more than its shard or its chunk, whatever the model's size, and equal
+n-grams of a chunk are one. Documents that are only scored send counts of zero. A context with
+more than a shard's share of the tokens is spread over files by the following word.
+
+Words are told apart by 63 bits of XXH64: with a thousand million different words the chance
+that any two of them meet is about one in eighteen, and then those two are counted as one.
 
 Null text is empty (one end). An empty training part gives the additive estimate with N = 0.
-Null doc_ids are hashed as empty text. Only doc_id and text are read.
+Repeated rows are scored each. Only doc_id, text and what `train` reads are read.
 """
 
 from __future__ import annotations
 
+import io
 import zlib
-from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, store
-from .elias_fano import EliasFano
+from .elias_fano import EliasFano, _pack, _unpack
 
 DISCOUNT = 0.8
 SHARD_BYTES = 16 << 20
+CHUNK_TOKENS = 1_500_000
+MOST_TASKS = 65_536
 END = b"\n"  # no word has white space
-CACHE_WORDS = 700_000
-FLUSH = 2_000_000
 STEP = 1024.0  # codes a power of two
+ZERO = 65_535
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+VALUES = np.append(2.0 ** (-np.arange(ZERO) / STEP), 0.0)
+BLOBS = "chunk long, file int, b binary"
+ANSWERS = "chunk long, file int, n long, a binary"
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -50,336 +65,519 @@ def tokens(text: bytes | None) -> list[bytes]:
 def quantise(p: np.ndarray) -> np.ndarray:
     """16-bit codes of probabilities; the last code stands for zero."""
     with np.errstate(divide="ignore"):
-        return np.where(p > 0, np.clip(np.rint(-np.log2(np.maximum(p, 1e-300)) * STEP), 0, 65_534), 65_535).astype("<u2")
+        return np.where(p > 0, np.clip(np.rint(-np.log2(np.maximum(p, 1e-300)) * STEP), 0, ZERO - 1), ZERO).astype("<u2")
 
 
-VALUES = np.append(2.0 ** (-np.arange(65_535) / STEP), 0.0)
+def word_key(word: bytes) -> int:
+    import xxhash
 
+    return xxhash.xxh64_intdigest(word) >> 1
 
-def _hashes(words) -> np.ndarray:
-    import xxhash
 
-    return np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+# files and blobs ----------------------------------------------------------------------------
 
 
-def _blob(keys: np.ndarray, counts: np.ndarray) -> dict:
-    """Sorted unsigned keys and their counts as two bytes objects; keys of 64 bits go as halves of the range."""
-    cut = int(np.searchsorted(keys, np.uint64(1 << 63)))
-    parts = [EliasFano.encode(part.view(np.int64)).to_bytes() for part in (keys[:cut], keys[cut:] ^ np.uint64(1 << 63))]
-    return {"k": b"".join(parts), "c": zlib.compress(counts.astype("<u4").tobytes(), 1)}
+def _save(uri: str, **arrays: np.ndarray) -> None:
+    held = io.BytesIO()
+    np.savez(held, **arrays)
+    store.write_atomic(uri, held.getvalue())
 
 
-def _unblob(k: bytes, c: bytes) -> tuple[np.ndarray, np.ndarray]:
-    low, at = EliasFano.from_buffer(k)
-    high, _ = EliasFano.from_buffer(k, at)
-    keys = np.concatenate([low.decode().view(np.uint64), high.decode().view(np.uint64) ^ np.uint64(1 << 63)])
-    return keys, np.frombuffer(zlib.decompress(c), "<u4").astype(np.int64)
+def _load(uri: str) -> dict[str, np.ndarray]:
+    with np.load(io.BytesIO(memoryview(store.mapped(uri)))) as z:
+        return {k: z[k] for k in z.files}
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, with their total counts."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    return keys[first], np.add.reduceat(counts[order], first)
+def _least_type(x: np.ndarray) -> str:
+    top = int(x.max(initial=0))
+    return "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8"
+
+
+def _numbers(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned numbers of equal length, compressed."""
+    kinds = [_least_type(x) for x in arrays]
+    return bytes(int(k[2]) for k in kinds) + zlib.compress(b"".join(x.astype(k).tobytes() for x, k in zip(arrays, kinds)), 1)
+
 
+def _unnumbers(b: bytes, n: int, count: int) -> list[np.ndarray]:
+    raw, at, out = zlib.decompress(b[count:]), 0, []
+    for width in b[:count]:
+        out.append(np.frombuffer(raw, f"<u{width}", n, at).astype(np.int64))
+        at += width * n
+    return out
 
-def _split(files: np.ndarray, keys: np.ndarray, counts: np.ndarray):
-    """Rows (file, blob) of counted keys; sums over equal keys of a file."""
+
+def blob(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys and their counts; a few keys go as they are."""
+    if len(keys) < 64:
+        return b"\0" + keys.astype("<i8").tobytes() + counts.astype("<i8").tobytes()
+    return b"\1" + EliasFano.encode(keys).to_bytes() + _numbers(counts)
+
+
+def unblob(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    if not b[0]:
+        both = np.frombuffer(b, "<i8", -1, 1)
+        return both[: len(both) // 2], both[len(both) // 2 :]
+    ef, at = EliasFano.from_buffer(b, 1)
+    keys = ef.decode()
+    return keys, _unnumbers(b[at:], len(keys), 1)[0]
+
+
+def blobs(chunk: int, files: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    """A row for each file; keys ascend within a file."""
     order = np.argsort(files, kind="stable")
     files, keys, counts = files[order], keys[order], counts[order]
-    edges = np.flatnonzero(np.concatenate([[True], files[1:] != files[:-1]])) if len(files) else []
-    for a, b in zip(edges, [*edges[1:], len(files)]):
-        yield {"file": int(files[a])} | _blob(*summed(keys[a:b], counts[a:b]))
+    edges = np.flatnonzero(np.concatenate([[True], files[1:] != files[:-1]])) if len(files) else np.zeros(0, np.int64)
+    ends = np.append(edges[1:], len(files))
+    rows = [blob(keys[a:b], counts[a:b]) for a, b in zip(edges.tolist(), ends.tolist())]
+    return pd.DataFrame({"chunk": np.full(len(rows), chunk), "file": files[edges].astype(np.int32), "b": rows})
 
 
-_ROWS = pa.schema([("file", pa.int32()), ("k", pa.binary()), ("c", pa.binary())])
-BLOBS = "file int, k binary, c binary"
+def merged(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The keys of each blob; all keys with a count, ascending, and their total counts."""
+    parts = [unblob(b) for b in pdf["b"]]
+    keys, counts = (np.concatenate(x) for x in zip(*[(k[c > 0], c[c > 0]) for k, c in parts]))
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return [k for k, _ in parts], keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
-def _merged(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    parts = [_unblob(k, c) for k, c in zip(pdf["k"], pdf["c"])]
-    return summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
+# levels -------------------------------------------------------------------------------------
 
 
 class Words:
-    """The first level: words of the training texts, their ids and counts, by memory map."""
-
-    def __init__(self, folder: str, bits: int, sizes: list[int]):
-        self.folder, self.bits = folder, bits
-        self.bases = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        self.size = int(self.bases[-1])
-        self._open: dict[int, tuple] = {}
-        self.cache: dict[bytes, int] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_open": {}, "cache": {}}
-
-    def shard(self, s: int) -> tuple[np.ndarray, np.ndarray]:
-        if s not in self._open:
-            n = int(self.bases[s + 1] - self.bases[s])
-            buf = store.mapped(f"{self.folder}/words-{s:06d}.bin") if n else b""
-            self._open[s] = np.frombuffer(buf, "<u8", n), np.frombuffer(buf, "<u8", n, 8 * n)
-        return self._open[s]
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Ids of hashed words, -1 where there is none."""
-        out = np.full(len(hashes), -1, np.int64)
-        shards = shard_of(hashes, self.bits)
-        order = np.argsort(shards, kind="stable")
-        for s, at in _groups(shards, order):
-            known = self.shard(s)[0]
-            if len(known):
-                k = np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)
-                out[at] = np.where(known[k] == hashes[at], self.bases[s] + k, -1)
-        return out
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        out = np.fromiter(map(self.cache.get, words, repeat(-2)), np.int64, len(words))
-        missing = np.flatnonzero(out == -2)
-        if len(missing):
-            new = list({words[i] for i in missing})
-            self.cache.update(zip(new, self.find(_hashes(new)).tolist()))
-            out[missing] = [self.cache[words[i]] for i in missing]
-        return out
-
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        """Training counts, 0 for -1."""
-        out = np.zeros(len(ids), np.int64)
-        shards = np.where(ids >= 0, np.searchsorted(self.bases, ids, side="right") - 1, -1)
-        for s, at in _groups(shards, np.argsort(shards, kind="stable")):
-            if s >= 0:
-                out[at] = self.shard(s)[1][ids[at] - self.bases[s]]
-        return out
-
-
-def shard_of(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-
-
-def _groups(files: np.ndarray, order: np.ndarray):
-    f = files[order]
-    edges = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]])) if len(f) else []
-    for a, b in zip(edges, [*edges[1:], len(f)]):
-        yield int(f[a]), order[a:b]
+    """A shard of the first level: sorted keys and counts."""
+
+    def __init__(self, buf):
+        self.keys, at = EliasFano.from_buffer(buf)
+        self.count = np.frombuffer(buf, "<u8", len(self.keys), at)
+
+    @staticmethod
+    def encode(keys: np.ndarray, counts: np.ndarray) -> bytes:
+        return EliasFano.encode(keys).to_bytes() + counts.astype("<u8").tobytes()
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (-1: none) and counts of many keys."""
+        known = self.keys.decode()
+        if not len(known):
+            return np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        hit = known[at] == keys
+        return np.where(hit, at, -1), np.where(hit, self.count[at].astype(np.int64), 0)
+
+
+class Level:
+    """A shard of a further level: pointers, vocabulary and words Elias-Fano coded, codes of probabilities and back-offs."""
+
+    def __init__(self, buf):
+        self.pointers, at = EliasFano.from_buffer(buf)
+        self.vocabulary, at = EliasFano.from_buffer(buf, at)
+        self.values, at = EliasFano.from_buffer(buf, at)
+        self.alpha = np.frombuffer(buf, "<u2", len(self.values), at)
+        self.backoff = np.frombuffer(buf, "<u2", len(self.pointers) - 1, at + 2 * len(self.values))
+
+    @staticmethod
+    def encode(contexts: int, context: np.ndarray, word: np.ndarray, counts: np.ndarray, discount: float, total: int | None = None) -> bytes:
+        """From entries sorted by context and word; `total` is the only context's count where other files have entries of it too."""
+        seen = np.bincount(context, minlength=contexts)
+        totals = np.bincount(context, counts, contexts) if total is None else np.full(contexts, float(total))
+        totals = np.maximum(totals, 1)
+        pointers = np.concatenate([[0], np.cumsum(seen)])
+        vocabulary, rank = np.unique(word, return_inverse=True)
+        used = np.flatnonzero(seen)
+        tops = rank[pointers[used + 1] - 1] if len(used) else np.zeros(0, np.int64)
+        base = np.zeros(contexts, np.int64)
+        base[used] = np.cumsum(tops) - tops
+        parts = [EliasFano.encode(x).to_bytes() for x in (pointers, vocabulary, rank + base[context])]
+        return b"".join([*parts, quantise(np.maximum(counts - discount, 0) / totals[context]).tobytes(), quantise(discount * seen / totals).tobytes()])
+
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places (-1: unseen), probability codes and back-off codes of many (context, word): successor search in each context's range."""
+        if not len(self.values):
+            return np.full(len(word), -1), np.full(len(word), ZERO), self.backoff[context]
+        values, vocabulary, pointers = self.values.decode(), self.vocabulary.decode(), self.pointers.decode()
+        lo, hi = pointers[context], pointers[context + 1]
+        rank = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
+        target = rank + np.where(lo > 0, values[np.maximum(lo, 1) - 1], 0)
+        at = np.minimum(np.maximum(np.searchsorted(values, target), lo), len(values) - 1)
+        hit = (vocabulary[rank] == word) & (at < hi) & (values[at] == target)
+        return np.where(hit, at, -1), np.where(hit, self.alpha[at], ZERO), self.backoff[context]
+
+    def one(self, context: int, word: int) -> tuple[int, float, float]:
+        """Place (-1: unseen), probability and back-off of one, by selects on the mapped file alone."""
+        lo, hi = self.pointers[context], self.pointers[context + 1]
+        rank, weight = self.vocabulary.successor(word, 0, len(self.vocabulary)), float(VALUES[self.backoff[context]])
+        if rank < len(self.vocabulary) and self.vocabulary[rank] == word:
+            target = rank + (self.values[lo - 1] if lo else 0)
+            at = self.values.successor(target, lo, hi)
+            if at < hi and self.values[at] == target:
+                return at, float(VALUES[self.alpha[at]]), weight
+        return -1, 0.0, weight
 
 
 class Layout:
-    """Which file has a bigram, and its key there. The begin of a text is the context after all words."""
+    """Which file of a level has an entry, and its key there. Contexts are entries of the level above, whose files start at `bases`; words go from 0 to size - 1."""
 
-    def __init__(self, bases: np.ndarray, heavy: dict[int, tuple[int, int]]):
-        self.bases, self.size = bases, int(bases[-1])
-        self.heavy = np.array(sorted(heavy), np.int64)
-        spread = [heavy[h][1] for h in self.heavy.tolist()]
-        self.spread = np.array(spread, np.int64)
-        self.first = len(bases) - 1 + np.concatenate([[0], np.cumsum(spread)])[: len(spread)].astype(np.int64)
-        self.files = len(bases) - 1 + sum(spread)
+    def __init__(self, bases: np.ndarray, size: int, heavy: dict[int, int], share: int):
+        self.bases, self.size, self.heavy = bases, size, heavy
+        self.hot = np.array(sorted(heavy), np.int64)
+        self.spread = np.array([max(1, -(-heavy[h] // share)) for h in self.hot.tolist()], np.int64)
+        self.plain = len(bases) - 1
+        self.first = self.plain + np.cumsum(self.spread) - self.spread
+        self.files = self.plain + int(self.spread.sum())
 
     def place(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        file = np.searchsorted(self.bases, context, side="right") - 1
-        key = (context - self.bases[np.minimum(file, len(self.bases) - 2)]) * self.size + word
-        k = np.minimum(np.searchsorted(self.heavy, context), len(self.heavy) - 1)
-        hot = self.heavy[k] == context
-        file = np.where(hot, self.first[k] + word * self.spread[k] // max(1, self.size), file)
-        return file, np.where(hot, word, key)
+        file = np.clip(np.searchsorted(self.bases, context, side="right") - 1, 0, max(0, self.plain - 1))
+        key = (context - self.bases[file]) * self.size + word
+        if len(self.hot):
+            k = np.minimum(np.searchsorted(self.hot, context), len(self.hot) - 1)
+            hot = self.hot[k] == context
+            file = np.where(hot, self.first[k] + word * self.spread[k] // self.size, file)
+            key = np.where(hot, word, key)
+        return file, key
 
     def context_of(self, file: int) -> int | None:
-        """The only context of a heavy context's file."""
-        if file < len(self.bases) - 1:
-            return None
-        return int(self.heavy[np.searchsorted(self.first, file, side="right") - 1])
-
-
-class Follow:
-    """A file of the second level: EF pointers, sorted words and probability codes, back-off codes."""
-
-    def __init__(self, uri: str, kind: str):
-        buf = store.mapped(uri)
-        n, m = np.frombuffer(buf, "<u8", 2).tolist()
-        self.pointers, at = EliasFano.from_buffer(buf, 16)
-        self.word = np.frombuffer(buf, kind, n, at)
-        at += self.word.nbytes
-        self.alpha = np.frombuffer(buf, "<u2", n, at)
-        self.backoff = np.frombuffer(buf, "<u2", m, at + 2 * n)
-
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Discounted probabilities of (context, word), contexts counted from the file's first; 0 if unseen."""
-        lo, hi = self.pointers.many(context), self.pointers.many(context + 1)
-        end, last = hi.copy(), len(self.word) - 1
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = open_ & (self.word[np.minimum(mid, last)] < word)
-            lo, hi = np.where(less, mid + 1, lo), np.where(open_ & ~less, mid, hi)
-        at = np.minimum(lo, last)
-        return np.where((lo < end) & (self.word[at] == word), VALUES[self.alpha[at]], 0.0)
-
-
-def write_follow(uri: str, contexts: int, counts: np.ndarray, context: np.ndarray, word: np.ndarray, c: np.ndarray, discount: float, kind: str) -> int:
-    """Write the level of `contexts` contexts (training counts `counts`) from sorted bigrams; returns their number."""
-    seen = np.bincount(context, minlength=contexts)
-    total = np.maximum(counts, 1)
-    pointers = EliasFano.encode(np.concatenate([[0], np.cumsum(seen)]))
-    alpha = quantise(np.maximum(c - discount, 0) / total[context])
-    store.write_atomic(uri, np.array([len(word), contexts], "<u8").tobytes(), pointers.to_bytes(), word.astype(kind).tobytes(), alpha.tobytes(), quantise(discount * seen / total).tobytes())
-    return len(word)
+        """The only context of a spread context's file."""
+        return None if file < self.plain else int(self.hot[np.searchsorted(self.first, file, side="right") - 1])
+
+    def split(self, file: int, keys: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, int | None]:
+        """Contexts of a file, the (local) context and the word of each key, and the total of an only context."""
+        only = self.context_of(file)
+        if only is not None:
+            return 1, np.zeros(len(keys), np.int64), keys, self.heavy[only]
+        return int(self.bases[file + 1] - self.bases[file]), keys // self.size, keys % self.size, None
 
 
 class Model:
-    def __init__(self, words: Words, layout: Layout, heavy: dict[int, tuple[int, int]], follow: dict[int, int], total: int, discount: float):
-        self.words, self.layout, self.total = words, layout, total
-        self.kind = "<u4" if words.size < 1 << 32 else "<u8"
-        self.known = set(follow)  # files there are
-        self.backoff = {h: discount * sum(follow.get(int(f) + k, 0) for k in range(n)) / max(1, heavy[h][0]) for h, f, n in zip(layout.heavy.tolist(), layout.first, layout.spread.tolist())}
-        self._open: dict[int, Follow] = {}
-
-    def __getstate__(self):
-        return self.__dict__ | {"_open": {}}
-
-    def file(self, f: int) -> Follow | None:
-        if f not in self._open:
-            self._open[f] = Follow(f"{self.words.folder}/follow-{f:06d}.bin", self.kind) if f in self.known else None
-        return self._open[f]
-
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return (counts + 0.5) / (self.total + 0.5 * (self.words.size + 1))
-
-    def score(self, context: np.ndarray, word: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probabilities of words (ids, -1 unknown; training counts) after contexts (ids, -1 unknown)."""
-        alpha, beta = np.zeros(len(word)), np.ones(len(word))
-        ask = np.flatnonzero(context >= 0)
-        files, _ = self.layout.place(context[ask], np.maximum(word[ask], 0))
-        for f, at in _groups(files, np.argsort(files, kind="stable")):
-            level, rows, only = self.file(f), ask[at], self.layout.context_of(f)
-            if only is not None:
-                beta[rows] = self.backoff[only]
-            if level is None:
+    """Where the files are, how many entries each has, and what holds for all of them: a few numbers a file."""
+
+    def __init__(self, folder: str, bits: int, total: int, discount: float):
+        self.folder, self.bits, self.total, self.discount = folder, bits, total, discount
+        self.share = max(1, total >> bits)
+        self.bases: list[np.ndarray] = []  #: by level
+        self.layouts: list[Layout] = []
+        self.backoff: list[dict[int, int]] = []  #: codes of spread contexts, by level
+        self.words = 0
+
+    def path(self, level: int, file: int) -> str:
+        return f"{self.folder}/level-{level}-{file:07d}.bin"
+
+    def chunk_path(self, folder: str, chunk: int, part: str = "tokens") -> str:
+        return f"{folder}/{part}-{chunk}.npz"
+
+    def unigram(self, counts):
+        return (counts + 0.5) / (self.total + 0.5 * (self.words + 1))
+
+    def sized(self, files: int, meta: list) -> tuple[np.ndarray, dict[int, int]]:
+        """The bases of a finished level's files, and its frequent entries with their counts."""
+        n = np.zeros(files, np.int64)
+        for r in meta:
+            n[r["file"]] = r["n"]
+        bases, heavy = np.concatenate([[0], np.cumsum(n)]), {}
+        for r in meta:
+            at, counts = np.frombuffer(r["a"], "<i8").reshape(2, -1)
+            heavy |= dict(zip((at + bases[r["file"]]).tolist(), counts.tolist()))
+        return bases, heavy
+
+    def probability(self, words: list[str]) -> float:
+        """Of the last word after at most two before it ("\\n" is the end, None the begin), by selects on the mapped files."""
+        keys = [None if w is None else word_key(w.encode().translate(_LOWER)) for w in words[-3:]]
+        ids, count = [], 0
+        for k in keys:
+            if k is None:
+                ids.append(self.words)
                 continue
-            local = context[rows] - (only if only is not None else self.layout.bases[f])
-            if only is None:
-                beta[rows] = VALUES[level.backoff[local]]
-            alpha[rows] = np.where(word[rows] >= 0, level.find(local, word[rows]), 0.0)
-        beta = np.where((beta == 0) & (alpha == 0), 1.0, beta)
-        return np.log10(alpha + beta * self.unigram(counts))
+            file = k >> (63 - self.bits)
+            place, counts = Words(store.mapped(self.path(1, file))).find(np.array([k])) if self.bases[0][file + 1] > self.bases[0][file] else ([-1], [0])
+            ids.append(int(place[0] + self.bases[0][file]) if place[0] >= 0 else -1)
+            count = int(counts[0])
+        p, word = float(self.unigram(count)), ids[-1] if ids[-1] >= 0 else self.words
+        context = ids[-2] if len(ids) > 1 else -1
+        if context >= 0:
+            alpha, beta, _ = self._step(2, context, word)
+            p = alpha + beta * p
+            if len(ids) > 2 and ids[-3] >= 0 and (pair := self._step(2, ids[-3], context)[2]) >= 0:
+                alpha, beta, _ = self._step(3, pair, word)
+                p = alpha + beta * p
+        return p
+
+    def _step(self, level: int, context: int, word: int) -> tuple[float, float, int]:
+        layout = self.layouts[level - 2]
+        file = int(layout.place(np.array([context]), np.array([word]))[0][0])
+        only, place, alpha = layout.context_of(file), -1, 0.0
+        beta = float(VALUES[self.backoff[level - 2].get(context, ZERO)])
+        if self.bases[level - 1][file + 1] > self.bases[level - 1][file]:
+            place, alpha, own = Level(store.mapped(self.path(level, file))).one(0 if only is not None else context - int(layout.bases[file]), word)
+            beta = beta if only is not None else own
+        return alpha, beta or 1.0, place + int(self.bases[level - 1][file]) if place >= 0 else -1
+
+
+# chunks -------------------------------------------------------------------------------------
+
+
+def cut(docs: DataFrame, folder: str, chunk_tokens: int) -> DataFrame:
+    """Tokenise rows (doc_id, text, train) into chunk files; a row a chunk: chunk, docs, tokens (both of training)."""
 
+    def run(batches):
+        from pyspark import TaskContext
+
+        part, seq, n = TaskContext.get().partitionId(), 0, 0
+        local: dict[bytes, int] = {}
+        index, doc, train, size = [], [], [], []
+
+        def flush():
+            keys, place = np.unique(np.fromiter(map(word_key, local), np.int64, len(local)), return_inverse=True)
+            chunk, width = part << 24 | seq, max(1, (len(keys) - 1).bit_length())
+            sizes, known = np.array(size), np.array([d is not None for d in doc])
+            _save(
+                f"{folder}/tokens-{chunk}.npz", keys=keys, index=_pack(place[np.concatenate(index)].astype(np.uint64), width), width=np.array(width), size=sizes,
+                doc=np.array([d or 0 for d in doc], np.int64), known=known, train=np.array(train, bool),
+            )
+            mine = np.array(train, bool)
+            return pa.RecordBatch.from_pydict({"chunk": [chunk], "docs": [int(mine.sum())], "tokens": [int(sizes[mine].sum())]})
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+        for batch in batches:
+            for d, text, t in zip(*[c.to_pylist() for c in batch.columns]):
+                words = tokens(text)
+                got = np.fromiter(map(local.get, words, repeat(-1)), np.int64, len(words))
+                for k in np.flatnonzero(got < 0).tolist():
+                    got[k] = local.setdefault(words[k], len(local))
+                index.append(got.astype(np.uint32))
+                doc.append(d)
+                train.append(bool(t))
+                size.append(len(words))
+                n += len(words)
+                if n >= chunk_tokens:
+                    yield flush()
+                    seq, n, local, index, doc, train, size = seq + 1, 0, {}, [], [], [], []
+        if doc:
+            yield flush()
+
+    return common.materialise(docs.mapInArrow(run, "chunk long, docs long, tokens long"), f"{folder}/chunks")
+
+
+class Chunk:
+    """The tokens of a chunk: local words (their keys ascend), and after the first level's answers their ids and counts."""
+
+    def __init__(self, folder: str, chunk: int):
+        z = _load(f"{folder}/tokens-{chunk}.npz")
+        self.folder, self.chunk, self.keys, self.size, self.train = folder, chunk, z["keys"], z["size"], z["train"]
+        self.doc = [int(d) if k else None for d, k in zip(z["doc"], z["known"])]
+        self.index = _unpack(z["index"], np.arange(int(self.size.sum())), int(z["width"])).astype(np.int64)
+        self.starts = np.cumsum(self.size) - self.size
+        self.trained = np.repeat(self.train, self.size)
+
+    def named(self, words: int) -> None:
+        """ids and counts of the local words; a last one stands for all unknown words, one more for the begin of a text."""
+        z = _load(f"{self.folder}/words-{self.chunk}.npz")
+        n = len(self.keys)
+        self.ids, self.counts = np.concatenate([z["ids"], [words, words]]), z["counts"]
+        self.word = np.where(z["ids"][self.index] >= 0, self.index, n)
+        self.before = np.concatenate([[n + 1], self.word[:-1]])
+        self.before[self.starts] = n + 1
+
+    def pairs(self) -> None:
+        """Distinct (context, word) of local words with a known context; `pair` has each token's, -1 without one."""
+        m = len(self.keys) + 2
+        ask = np.flatnonzero(self.before != m - 2)
+        found, back = np.unique(self.before[ask] * m + self.word[ask], return_inverse=True)
+        self.pair = np.full(len(self.word), -1)
+        self.pair[ask] = back
+        self.pair_context, self.pair_word = self.ids[found // m], self.ids[found % m]
+        self.pair_count = np.bincount(back[self.trained[ask]], minlength=len(found))
+
+    def triples(self, entry: np.ndarray) -> None:
+        """Distinct (pair, word) whose pair has an entry of level two; `triple` has each token's, -1 without one."""
+        m = len(self.keys) + 2
+        before = np.concatenate([[-1], self.pair[:-1]])
+        before[self.starts] = -1
+        ask = np.flatnonzero(before >= 0)
+        ask = ask[entry[before[ask]] >= 0]
+        found, back = np.unique(before[ask] * m + self.word[ask], return_inverse=True)
+        self.triple = np.full(len(self.word), -1)
+        self.triple[ask] = back
+        self.triple_context, self.triple_word = entry[found // m], self.ids[found % m]
+        self.triple_count = np.bincount(back[self.trained[ask]], minlength=len(found))
+
+
+def _answered(pdf: pd.DataFrame, files: np.ndarray, count: int) -> list[np.ndarray]:
+    """Numbers of a chunk's answers in the order in which its keys went out to `files`."""
+    order = np.argsort(files, kind="stable")
+    sizes = dict(zip(*[x.tolist() for x in np.unique(files, return_counts=True)])) if len(files) else {}
+    got = pdf[pdf["file"] >= 0].sort_values("file")
+    parts = [_unnumbers(a, sizes[f], count) for f, a in zip(got["file"], got["a"])]
+    out = [np.zeros(len(files), np.int64) for _ in range(count)]
+    for k in range(count):
+        if parts:
+            out[k][order] = np.concatenate([p[k] for p in parts])
+    return out
 
 
-def train(docs: DataFrame, folder: str, discount: float = DISCOUNT, shard_bytes: int = SHARD_BYTES) -> Model:
-    """Build the trie of all documents given."""
-    spark = docs.sparkSession
-    size, n_docs = docs.agg(F.sum(F.octet_length(common.text_or_empty())), F.count("*")).first()
-    bits = max(0, ((size or 0) // shard_bytes).bit_length())
+def _spread(model: Model, level: int, contexts: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    """Back-off codes with those of spread contexts put in."""
+    for h, code in model.backoff[level - 2].items():
+        beta = np.where(contexts == h, code, beta)
+    return beta
 
-    def count_words(batches):
-        counts: Counter = Counter()
 
-        def rows():
-            h, c = _hashes(counts), np.fromiter(counts.values(), np.int64, len(counts))
-            return pa.RecordBatch.from_pylist(list(_split(shard_of(h, bits), h, c)), schema=_ROWS)
+# the whole ----------------------------------------------------------------------------------
 
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update(tokens(text))
-            if len(counts) > FLUSH // 4:
-                yield rows()
-                counts.clear()
-        if counts:
-            yield rows()
-
-    def write_words(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _merged(pdf)
-        s = int(pdf["file"].iloc[0])
-        store.write_atomic(f"{folder}/words-{s:06d}.bin", keys.astype("<u8").tobytes(), counts.astype("<u8").tobytes())
-        return pd.DataFrame({"file": [s], "n": [len(keys)], "tokens": [int(counts.sum())]})
-
-    blobs = _texts(docs).select("text").mapInArrow(count_words, BLOBS)
-    made = common.materialise(blobs.groupBy("file").applyInPandas(write_words, "file int, n long, tokens long"), f"{folder}/made-words")
-    sizes, total = [0] * (1 << bits), 0
-    for r in made.collect():  # a row a shard
-        sizes[r["file"]] = r["n"]
-        total += r["tokens"]
-    words = Words(folder, bits, sizes)
-    share = max(1, total >> bits)
-
-    def frequent(batches):
-        for batch in batches:
-            for s in batch.column(0).to_pylist():
-                counts = words.shard(s)[1]
-                at = np.flatnonzero(counts > share)
-                yield pa.RecordBatch.from_arrays([pa.array(at + words.bases[s]), pa.array(counts[at].astype(np.int64))], names=["id", "c"])
 
-    heavy = {r["id"]: (r["c"], -(-r["c"] // share)) for r in made.select("file").mapInArrow(frequent, "id long, c long").collect()}  # fewer than shards
-    heavy[words.size] = (n_docs, max(1, -(-n_docs // share)))
-    layout = Layout(words.bases, heavy)
+def _tasks(n: int) -> int:
+    """How many tasks share n shards or chunks."""
+    return max(1, min(n, MOST_TASKS))
 
-    def count_pairs(batches):
-        held, n = [], 0
 
-        def rows():
-            pairs = np.concatenate(held, axis=1)
-            files, keys = layout.place(pairs[0], pairs[1])
-            return pa.RecordBatch.from_pylist(list(_split(files, keys.view(np.uint64), np.ones(len(keys), np.int64))), schema=_ROWS)
+def _packed(at: np.ndarray, counts: np.ndarray) -> bytes:
+    return np.stack([at, counts]).astype("<i8").tobytes()
 
-        for batch in batches:
-            texts = [tokens(t) for t in batch.column(0).to_pylist()]
-            if not texts:
-                continue
-            ids = words.ids([w for t in texts for w in t])
-            before = np.concatenate([[words.size], ids[:-1]])
-            before[np.concatenate([[0], np.cumsum([len(t) for t in texts])[:-1]])] = words.size
-            held.append(np.stack([before, ids]))
-            n += len(ids)
-            if n > FLUSH:
-                yield rows()
-                held, n = [], 0
-        if held:
-            yield rows()
-
-    kind = "<u4" if words.size < 1 << 32 else "<u8"
-
-    def write_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, counts = _merged(pdf)
-        f, keys = int(pdf["file"].iloc[0]), keys.view(np.int64)
-        only = layout.context_of(f)
-        if only is None:
-            context, word = keys // words.size, keys % words.size
-            known = words.shard(f)[1].astype(np.int64)
-        else:
-            context, word, known = np.zeros(len(keys), np.int64), keys, np.array([heavy[only][0]], np.int64)
-        n = write_follow(f"{folder}/follow-{f:06d}.bin", len(known), known, context, word, counts, discount, kind)
-        return pd.DataFrame({"file": [f], "n": [n]})
-
-    blobs = _texts(docs).select("text").mapInArrow(count_pairs, BLOBS)
-    follow = common.materialise(blobs.groupBy("file").applyInPandas(write_pairs, "file int, n long"), f"{folder}/made-pairs")
-    return Model(words, layout, heavy, {r["file"]: r["n"] for r in follow.collect()}, total, discount)
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # sizes and bounds, a few numbers a shard
-    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
-    def run(batches):
-        m = shared.value
+def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, shard_bytes: int, chunk_tokens: int):
+    """(model, answers of the last level, chunk list) for rows (doc_id, text, train); a model that is given is looked up, not built."""
+    spark = docs.sparkSession
+    built = model is None
+    size = docs.filter("train").agg(F.sum(F.octet_length("text"))).first()[0] or 0 if built else 0
+    chunks = cut(docs, folder, chunk_tokens)
+    n_chunks, n_docs, total = chunks.agg(F.count("*"), F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    if built:
+        model = Model(folder, max(0, size // shard_bytes).bit_length(), total, discount)
+    bits, share = model.bits, model.share
+    stub = chunks.select("chunk", F.lit(-1).alias("file"), F.lit(b"").alias("a"))
+
+    def words_out(batches):
         for batch in batches:
-            texts = [tokens(t) for t in batch.column(1).to_pylist()]
-            if not texts:
-                continue
-            n = np.array([len(t) for t in texts])
-            starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-            ids = m.words.ids([w for t in texts for w in t])
-            counts = m.words.counts(ids)
-            before = np.concatenate([[-1], ids[:-1]])
-            before[starts] = m.words.size
-            base = np.log10(m.unigram(counts))
-            got = m.score(before, ids, counts)
-            add = lambda x: pa.array(np.add.reduceat(x, starts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), add((counts > 0).astype(np.int64)), pa.array(np.full(len(n), m.total)), add(base), add(got)], names=names)
-
-    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            for c in batch.column(0).to_pylist():
+                it = Chunk(folder, c)
+                counts = np.bincount(it.index[it.trained], minlength=len(it.keys))
+                yield pa.RecordBatch.from_pandas(blobs(c, it.keys >> (63 - bits), it.keys, counts), preserve_index=False)
+
+    def word_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+        f = int(pdf["file"].iloc[0])
+        asked, keys, counts = merged(pdf)
+        if built:
+            store.write_atomic(made.path(1, f), Words.encode(keys, counts))
+        level, hot = Words(store.mapped(made.path(1, f)) if built or made.bases[0][f + 1] > made.bases[0][f] else Words.encode(keys[:0], counts[:0])), np.flatnonzero(counts > share)
+        rows = [(-1, f, len(keys), _packed(hot, counts[hot]))]
+        for c, k in zip(pdf["chunk"], asked):
+            at, n = level.find(k)
+            rows.append((c, f, len(k), _numbers(at + 1, n)))
+        return pd.DataFrame(rows, columns=["chunk", "file", "n", "a"])
+
+    def ended(answers: DataFrame, level: int, files: int) -> dict[int, int]:
+        """Take up a finished level's sizes; returns its frequent entries."""
+        if not built:
+            return {}
+        bases, heavy = model.sized(files, answers.filter("chunk < 0").select("file", "n", "a").collect())  # a row a file
+        model.bases.append(bases)
+        if level > 1:
+            layout, codes = model.layouts[level - 2], {}
+            for h, first, n in zip(layout.hot.tolist(), layout.first.tolist(), layout.spread.tolist()):
+                types = int(bases[first + n] - bases[first])
+                codes[h] = int(quantise(np.array([discount * types / max(1, layout.heavy[h])]))[0])
+            model.backoff.append(codes)
+        return heavy
+
+    def by_chunk(answers: DataFrame) -> DataFrame:
+        return answers.filter("chunk >= 0").select("chunk", "file", "a").unionByName(stub).repartition(_tasks(n_chunks), "chunk").groupBy("chunk")
+
+    def by_file(sent: DataFrame, files: int) -> DataFrame:
+        return sent.repartition(_tasks(files), "file").groupBy("file")
+
+    def level_shard(level: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            f = int(pdf["file"].iloc[0])
+            layout = made.layouts[level - 2]
+            asked, keys, counts = merged(pdf)
+            if built:
+                contexts, context, word, whole = layout.split(f, keys)
+                store.write_atomic(made.path(level, f), Level.encode(contexts, context, word, counts, discount, whole))
+            have = built or made.bases[level - 1][f + 1] > made.bases[level - 1][f]
+            table, hot = Level(store.mapped(made.path(level, f))) if have else None, np.flatnonzero(counts > share)
+            rows = [(-1, f, len(keys), _packed(hot, counts[hot]))]
+            for c, k in zip(pdf["chunk"], asked):
+                contexts, context, word, _ = layout.split(f, k)
+                at, alpha, beta = table.find(context, word) if have else (np.full(len(k), -1), np.full(len(k), ZERO), np.full(len(k), ZERO))
+                rows.append((c, f, len(k), _numbers(at + 1, alpha, beta) if level == 2 else _numbers(alpha, beta)))
+            return pd.DataFrame(rows, columns=["chunk", "file", "n", "a"])
+
+        return run
+
+    def pairs_out(pdf: pd.DataFrame) -> pd.DataFrame:
+        it = Chunk(folder, int(pdf["chunk"].iloc[0]))
+        files = it.keys >> (63 - bits)
+        at, counts = _answered(pdf, files, 2)
+        _save(f"{folder}/words-{it.chunk}.npz", ids=np.where(at > 0, at - 1 + made.bases[0][files], -1), counts=counts)
+        it.named(made.words)
+        it.pairs()
+        return blobs(it.chunk, *made.layouts[0].place(it.pair_context, it.pair_word), it.pair_count)
+
+    def triples_out(pdf: pd.DataFrame) -> pd.DataFrame:
+        it = Chunk(folder, int(pdf["chunk"].iloc[0]))
+        it.named(made.words)
+        it.pairs()
+        files, _ = made.layouts[0].place(it.pair_context, it.pair_word)
+        at, alpha, beta = _answered(pdf, files, 3)
+        entry, beta = np.where(at > 0, at - 1 + made.bases[1][files], -1), _spread(made, 2, it.pair_context, beta)
+        it.triples(entry)
+        _save(f"{folder}/pairs-{it.chunk}.npz", codes=np.frombuffer(_numbers(entry + 1, alpha, beta), np.uint8), n=np.array(len(entry)))
+        return blobs(it.chunk, *made.layouts[1].place(it.triple_context, it.triple_word), it.triple_count)
+
+    files, made = 1 << bits, model
+    sent = chunks.select("chunk").repartition(_tasks(n_chunks)).mapInArrow(words_out, BLOBS)
+    answers = common.materialise(by_file(sent, files).applyInPandas(word_shard, ANSWERS), f"{folder}/answers-1")
+    for level, out in ((2, pairs_out), (3, triples_out)):
+        heavy = ended(answers, level - 1, files)
+        if built:
+            if level == 2:
+                model.words = int(model.bases[0][-1])
+                heavy[model.words] = n_docs
+            model.layouts.append(Layout(model.bases[level - 2], model.words + 1, heavy, share))
+        files = model.layouts[level - 2].files
+        previous, answers = answers, common.materialise(by_file(by_chunk(answers).applyInPandas(out, BLOBS), files).applyInPandas(level_shard(level), ANSWERS), f"{folder}/answers-{level}")
+        del previous
+        common.remove(spark, f"{folder}/answers-{level - 1}")
+    ended(answers, 3, files)
+    return model, by_chunk(answers)
+
+
+def _rows(docs: DataFrame, train: Column) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
+
+
+def train_and_score(docs: DataFrame, train: Column, folder: str, discount: float = DISCOUNT, shard_bytes: int = SHARD_BYTES, chunk_tokens: int = CHUNK_TOKENS) -> tuple[Model, DataFrame]:
+    """The model of the documents where `train` is true, and the scores of all: doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+    return _scored(*_run(_rows(docs, train), folder, None, discount, shard_bytes, chunk_tokens), folder)
+
+
+def train(docs: DataFrame, folder: str, **how) -> Model:
+    """The model of all documents given."""
+    return train_and_score(docs, F.lit(True), folder, **how)[0]
+
+
+def score(docs: DataFrame, model: Model, folder: str, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
+    """Scores of documents by a model that exists; `folder` takes the chunks."""
+    return _scored(*_run(_rows(docs, F.lit(False)), folder, model, model.discount, SHARD_BYTES, chunk_tokens), folder)[1]
+
+
+def _scored(model: Model, answers, folder: str) -> tuple[Model, DataFrame]:
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        it = Chunk(folder, int(pdf["chunk"].iloc[0]))
+        it.named(model.words)
+        it.pairs()
+        z = _load(f"{folder}/pairs-{it.chunk}.npz")
+        entry, *codes2 = _unnumbers(z["codes"].tobytes(), int(z["n"]), 3)
+        it.triples(entry - 1)
+        alpha, beta = _answered(pdf, model.layouts[1].place(it.triple_context, it.triple_word)[0], 2)
+        codes3 = alpha, _spread(model, 3, it.triple_context, beta)
+        p = model.unigram(it.counts)[it.index]
+        base = np.log10(p)
+        for which, (alpha, beta) in ((it.pair, codes2), (it.triple, codes3)):
+            ask = np.flatnonzero(which >= 0)
+            a, b = VALUES[alpha[which[ask]]], VALUES[beta[which[ask]]]
+            p[ask] = a + np.where(b > 0, b, 1.0) * p[ask]
+        add = lambda x: np.add.reduceat(x, it.starts)
+        known = add((it.counts > 0)[it.index].astype(np.int64))
+        return pd.DataFrame({"doc_id": pd.array(it.doc, "Int64"), "n_tokens": it.size, "n_known": known, "train_tokens": model.total, "base_score": add(base), "score": add(np.log10(p))})
+
+    return model, answers.applyInPandas(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

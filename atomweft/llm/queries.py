@@ -63,8 +63,7 @@ def op9_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     common.small_batches(spark)
     docs = common.documents(spark, sf_dir)
     held = language.fold(F.col("doc_id"), 5) == 1
-    model = ngrams.train(docs.select("doc_id", "text").filter(~held), common.shared_dir(spark, "trie"))
-    scored = ngrams.score(docs, model)
+    scored = ngrams.train_and_score(docs, ~held, common.shared_dir(spark, "trie"))[1]
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

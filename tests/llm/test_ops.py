@@ -622,46 +622,69 @@ def test_components(spark):
 # 9 ------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("shard_bytes", [2000, 1 << 24])
-def test_ngrams(spark, docs, rows, empty, shard_bytes):
-    held = language.fold(F.col("doc_id"), 5) == 1
-    model = ngrams.train(docs.filter(~held), common.shared_dir(spark, "trie"), shard_bytes=shard_bytes)
-    got = Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 1)) for r in ngrams.score(docs, model).collect())
+def brute_op9(rows, discount=0.8):
+    """Rows (doc_id, text) as the query returns them, and the probability of a word after two."""
     toks = lambda t: (t or "").encode().translate(LOWER).split() + [b"\n"]
-    c, pairs, after = Counter(), Counter(), Counter()
-    for d, t, *_ in rows:
+    c, pairs, triples = Counter(), Counter(), Counter()
+    for d, t in rows:
         if zlib.crc32(str("" if d is None else d).encode()) % 5 != 1:
-            c.update(toks(t))
-            pairs.update(zip([None, *toks(t)], toks(t)))
-    total, seen = sum(c.values()), Counter()
-    for (h, _), n in pairs.items():
-        seen[h] += n
-        after[h] += 1
-    want = Counter()
-    for d, t, *_ in rows:
-        w = toks(t)
-        p = lambda x: (c[x] + 0.5) / (total + 0.5 * (len(c) + 1))
-        s = sum(math.log10(max(pairs[h, x] - 0.8, 0) / seen[h] + 0.8 * after[h] / seen[h] * p(x) if seen[h] else p(x)) for h, x in zip([None, *w], w))
-        want[d, len(w), sum(c[x] > 0 for x in w), total, round(sum(math.log10(p(x)) for x in w), 6), s] += 1
-    assert sum(got.values()) == len(rows)
-    assert Counter(k[:5] for k in got.elements()) == Counter(k[:5] for k in want.elements())
-    exact = defaultdict(set)
-    for k in want:
-        exact[k[0]].add(k[5])
-    assert all(any(abs(k[5] - s) < 0.06 + 0.0004 * k[1] for s in exact[k[0]]) for k in got)
-    assert ngrams.score(empty, model).count() == 0
-    nothing = ngrams.train(empty, common.shared_dir(spark, "trie"))
-    assert {r["train_tokens"] for r in ngrams.score(docs, nothing).collect()} == {0}
-
-
-def test_the_model_is_a_distribution(spark):
-    df = spark.createDataFrame([(0, "a b a c a b"), (1, "b b c"), (2, None)], "doc_id long, text string")
-    m = ngrams.train(df, common.shared_dir(spark, "trie"))
-    ids = m.words.ids([b"a", b"b", b"c", b"\n", b"never"])
-    assert ids[-1] == -1 and sorted(ids[:-1]) == [0, 1, 2, 3]
-    for context in [*ids[:3], m.words.size]:
-        p = 10 ** m.score(np.full(5, context), ids, m.words.counts(ids))
-        assert abs(p.sum() - 1) < 2e-3
+            w = toks(t)
+            c.update(w)
+            pairs.update(zip([None, *w], w))
+            triples.update(zip([None, *w], w, w[1:]))
+    total, seen, after = sum(c.values()), Counter(), Counter()
+    for (*h, _), n in [*pairs.items(), *triples.items()]:
+        seen[tuple(h)] += n
+        after[tuple(h)] += 1
+    uni = lambda x: (c[x] + 0.5) / (total + 0.5 * (len(c) + 1))
+
+    def p(u, v, x):
+        """u is "" where there is no such word."""
+        out = uni(x)
+        for h, n in (((v,), pairs[v, x]), ((u, v), triples[u, v, x])):
+            if seen[h]:
+                out = max(n - discount, 0) / seen[h] + discount * after[h] / seen[h] * out
+        return out
+
+    def scored():
+        for d, t in rows:
+            w = toks(t)
+            s = sum(math.log10(p(u, v, x)) for u, v, x in zip(["", None, *w], [None, *w], w))
+            yield d, len(w), sum(c[x] > 0 for x in w), total, round(sum(math.log10(uni(x)) for x in w), 6), s
+
+    return list(scored()), p, c
+
+
+def same_scores(got, want):
+    """Base columns exactly, scores within what 16-bit codes lose."""
+    assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == Counter(w[:5] for w in want)
+    exact = defaultdict(list)
+    for w in want:
+        exact[w[0]].append(w[5])
+    assert all(any(abs(r["score"] - s) < 0.01 + 0.0004 * r["n_tokens"] for s in exact[r["doc_id"]]) for r in got)
+
+
+@pytest.mark.parametrize(("shard_bytes", "chunk_tokens"), [(2000, 900), (1 << 24, 1 << 22)])
+def test_ngrams(spark, docs, rows, empty, shard_bytes, chunk_tokens):
+    held = language.fold(F.col("doc_id"), 5) == 1
+    folder = common.shared_dir(spark, "trie")
+    model, scored = ngrams.train_and_score(docs, ~held, folder, shard_bytes=shard_bytes, chunk_tokens=chunk_tokens)
+    want, p, c = brute_op9([(d, t) for d, t, *_ in rows])
+    got = scored.collect()
+    same_scores(got, want)
+    again = ngrams.score(docs, model, common.shared_dir(spark, "chunks"), chunk_tokens=chunk_tokens).collect()
+    assert Counter((r["doc_id"], r["n_tokens"], round(r["score"], 9)) for r in again) == Counter((r["doc_id"], r["n_tokens"], round(r["score"], 9)) for r in got)
+    assert ngrams.score(empty, model, common.shared_dir(spark, "chunks")).count() == 0
+    nothing, scored = ngrams.train_and_score(docs, F.lit(False), common.shared_dir(spark, "trie"))
+    assert {r["train_tokens"] for r in scored.collect()} == {0} and nothing.words == 0
+    rng = random.Random(6)
+    vocab = rng.sample(sorted(w.decode() for w in c), 12) + ["the", "of", "never-seen"]
+    for _ in range(60):
+        u, v, x = rng.choice([None, *vocab]), rng.choice(vocab), rng.choice([*vocab, "\n"])
+        enc = lambda w: None if w is None else w.encode()
+        assert math.isclose(model.probability([u, v, x]), p(enc(u), enc(v), enc(x)), rel_tol=0.002)
+    mass = sum(model.probability([None, "the", w.decode()]) for w in c) + model.probability([None, "the", "never-seen"])
+    assert math.isclose(mass, 1, rel_tol=0.002)
 
 
 # 10 -----------------------------------------------------------------------------------------
