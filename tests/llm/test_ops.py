@@ -256,6 +256,21 @@ def test_packing(docs, rows, empty):
     assert packing.best_fit(empty, wordpiece.default_path()).count() == 0
 
 
+def test_packing_over_groups(spark):
+    """Many small groups: their half empty sequences are packed again until one is left."""
+    rng = random.Random(9)
+    rows_ = [(k, 0, 0, rng.choice([3, 17, 40, 61]) + rng.randint(0, 9), k) for k in range(3000)]
+    df = spark.createDataFrame(rows_, packing.PIECES)
+    got = packing.pack(df, capacity=100, group_pieces=50).collect()
+    fill, spans = Counter(), defaultdict(list)
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+        spans[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert sorted(r["doc_id"] for r in got) == list(range(3000)) and max(fill.values()) <= 100
+    assert sum(f <= 50 for f in fill.values()) <= 1
+    assert all(o == sum(n for _, n in sorted(s)[:k]) for s in spans.values() for k, (o, _) in enumerate(sorted(s)))
+
+
 def test_local_search_empties_bins():
     size = [6, 5, 4, 3, 2]
     bins = packing.local_search([[0, 3], [1, 4], [2]], size, 10)  # 9 7 4: the 4 is exchanged for the 3, which then moves
@@ -263,13 +278,55 @@ def test_local_search_empties_bins():
     assert len(packing.local_search([[0], [1], [2]], [4, 3, 3], 10)) == 1
 
 
+def test_local_search_where_best_fit_falls_short():
+    """Lengths around a third of a bin: the search loses no item, saves bins, and ends where no step is left."""
+    rng, better, met, short = random.Random(5), 0, 0, 0
+    for low, high, n in [(200, 420, 80), (150, 400, 120), (100, 360, 200), (260, 500, 60)] * 5:
+        size = sorted((rng.randint(low, high) for _ in range(n)), reverse=True)
+        first, need = packing.best_fit_decreasing(size, 1000), packing.least_bins(size, 1000)
+        bins = packing.local_search(first, size, 1000)
+        assert sorted(i for b in bins for i in b) == list(range(n)) and all(sum(size[i] for i in b) <= 1000 for b in bins)
+        assert need <= len(bins) <= len(first)
+        short += len(first) > need
+        better += len(bins) < len(first)
+        met += len(bins) == need
+        under = [[size[i] for i in b] for b in bins if sum(size[i] for i in b) < 1000]
+        if len(bins) > need:  # no step is left between any two underfull bins
+            for a, b in permutations(under, 2):
+                gap = 1000 - sum(b)
+                if sum(a) <= sum(b):
+                    outs = [*[(x,) for x in a], *combinations(a, 2)]
+                    backs = [(), *[(x,) for x in b], *combinations(b, 2)]
+                    assert not any(0 < sum(o) - sum(k) <= gap for o in outs for k in backs if len(o) + len(k) <= 3)
+    assert short >= 15 and better >= 0.8 * short and met >= 2
+
+
+def test_least_bins():
+    rng = random.Random(2)
+    for _ in range(200):
+        sizes = [rng.randint(1, 10) for _ in range(rng.randint(1, 7))]
+
+        def fewest(left, room):
+            if not left:
+                return len(room)
+            tried, best = set(), 99
+            for k, r in enumerate(room):
+                if r >= left[0] and r not in tried:
+                    tried.add(r)
+                    best = min(best, fewest(left[1:], room[:k] + [r - left[0]] + room[k + 1 :]))
+            return min(best, fewest(left[1:], [*room, 10 - left[0]]))
+
+        assert packing.least_bins(sizes, 10) <= fewest(sorted(sizes, reverse=True), [])
+    assert packing.least_bins([6] * 5, 10) == 5
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=80))
 def test_pack_lengths(sizes):
     bins = packing.pack_lengths(np.array(sizes), 100)
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 100 for b in bins)
-    assert len(bins) <= 11 / 9 * -(-sum(sizes) // 100) * 1.5 + 1
+    assert packing.least_bins(sizes, 100) <= len(bins) <= 11 / 9 * packing.least_bins(sizes, 100) * 1.5 + 1
 
 
 def test_token_files(spark, docs, rows, empty, tmp_path):
