@@ -86,9 +86,11 @@ class EliasFano:
 
     def many(self, at: np.ndarray) -> np.ndarray:
         """The values at many places, by vectorised select; nothing is decoded as a whole."""
-        if self._samples is None and self.n:
-            self._select(0)
         at = np.asarray(at, np.int64)
+        if not len(at):
+            return np.zeros(0, np.int64)
+        if self._samples is None:
+            self._select(0)
         word = np.searchsorted(self._ranks, at, side="right")
         left = at - np.where(word > 0, self._ranks[np.maximum(word - 1, 0)], 0)
         w, pos = np.asarray(self.high)[word], word * 64

@@ -2,9 +2,9 @@
 
 First the language family, then one-versus-one machines between the languages within it.
 Features are hashed byte trigrams of the lower-cased whole text, square-rooted and of unit
-length. Machines are fitted on at most `SAMPLE` labelled documents, drawn by a hash and
-shared evenly among the languages (a documented bound on training; prediction covers all
-documents). Ties go to the language first in code-point order.
+length. Machines are fitted on at most `SAMPLE` labelled documents, drawn by a hash of id
+and text and shared evenly among the languages (a documented bound on training, at most twice
+as many where equal rows are drawn together; prediction covers all documents). Ties go to the language first in code-point order.
 
 Null text, or text without a letter: `und` with score 0. The same holds for all documents if
 nothing is labelled. One known language is predicted wherever there is a letter. Null lang is
@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from . import common
 DIM = 4096
 SAMPLE = 2400
 UNKNOWN = "und"
+LEAST = 0.25
 FAMILY = dict.fromkeys("en de nl sv da nb no is af fy lb yi".split(), "germanic") | dict.fromkeys("fr es it pt ro ca gl oc la".split(), "romance") | dict.fromkeys("ru uk be pl cs sk bg sr hr sl mk".split(), "slavic")
 
 
@@ -117,14 +119,16 @@ def fold(doc_id: Column, n: int) -> Column:
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on rows (doc_id, text, lang). Languages are counted first, then each is sampled at its own rate."""
-    known = labelled.filter(F.col("lang").isNotNull())
+    known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], {}, {})
     share = max(1, sample // len(counts))
-    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.lit("language"), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     rates = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, share / n))])
     chosen = known.filter(draw < rates[F.col("lang")]).select("lang", F.col("text").cast("string").alias("text"))
+    if sum(counts.values()) > sample:  # equal rows are drawn together, so the bound on what the driver gets is set apart
+        chosen = chosen.orderBy(F.xxhash64("text", "lang")).limit(2 * sample)
 
     def run(batches):
         for batch in batches:
@@ -153,12 +157,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not `und`, with all their columns."""
+def accepted(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
+    """The documents that are not `und` and whose score is at least `least`, with all their columns.
+
+    A family, and a language within it, that beats all others has at least a half each; so what
+    goes besides documents without a letter are those for which the machines contradict each
+    other. Where nothing was labelled, all documents with a letter stay.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def language(text):
-        return text.map(lambda t: shared.value.predict(t)[0])
+    def keeps(text: str | None) -> bool:
+        if not shared.value.languages:
+            return has_letter(text)
+        lang, score = shared.value.predict(text)
+        return lang != UNKNOWN and score >= least
+
+    @F.pandas_udf("boolean")
+    def kept(text: pd.Series) -> pd.Series:
+        return text.map(keeps).astype(bool)
 
-    return docs.filter(language(F.col("text").cast("string")) != UNKNOWN)
+    return docs.filter(kept(F.col("text").cast("string")))

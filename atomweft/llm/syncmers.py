@@ -31,7 +31,7 @@ _BLANK = r"\x20\x09-\x0D"
 #: Thai, Lao, Tibetan, Burmese, Khmer, kana, Han: written without spaces.
 _SOLID = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 UNIT = f"[^{_BLANK}{_SOLID}]{{1,{PIECE}}}|[^{_BLANK}]"
-BUCKET_DOCS = 4096
+BUCKET_DOCS = 1024
 BUCKET_PROBES = 64  #: ids a bucket that the bounds are chosen from
 MOST_BUCKETS = 262_144  #: the bounds are part of the plan; beyond a thousand million documents buckets grow
 LOW = 0xFFFFFFFF

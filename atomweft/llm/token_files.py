@@ -1,6 +1,6 @@
 """Token-id files with Elias-Fano document boundaries.
 
-Documents go by ascending doc_id (null first; repeated ids in any order) into shards, each a
+Documents go by ascending doc_id (null first; repeated ids in the input's order) into shards, each a
 contiguous range of doc_ids. A shard file holds a header, the Elias-Fano coded doc_ids, the
 Elias-Fano coded end offsets of its documents and the concatenated ids (16 bits each while
 the vocabulary allows). Select on the offsets gives a document's place without a table of
@@ -27,6 +27,7 @@ from .elias_fano import EliasFano
 MAGIC = b"EFTOKEN1"
 _HEAD = struct.Struct("<8sB7xQQ")  # magic, bytes an id, null doc_ids in front, ids
 SHARD_BYTES = 256 << 20
+READ_DOCS = 4096  #: documents whose places are looked up at once
 MANIFEST = "part int, seq int, path string, n_docs long, n_ids long"
 
 
@@ -61,14 +62,19 @@ class Shard:
         a, b = self.bounds(i)
         return self.ids[a:b]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + self.known.decode().tolist()
+    def several(self, a: int, b: int) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+        """doc_ids, starts and ends of documents a to b (exclusive), by select: no table of all of them is made."""
+        ends = self.ends.many(np.arange(a, b))
+        first = self.ends[a - 1] if a else 0
+        known = self.known.many(np.arange(max(a, self.nulls), max(b, self.nulls)) - self.nulls).tolist()
+        return [None] * (b - a - len(known)) + known, np.concatenate([[first], ends[:-1]]).astype(np.int64), ends
 
 
 def write(docs: DataFrame, out_dir: str, tokenizer: str, shard_limit: int = SHARD_BYTES) -> DataFrame:
     """Encode and write all documents; returns the manifest (one row per shard), in `MANIFEST`'s columns.
 
-    One range shuffle by doc_id; a task keeps at most one shard of `shard_limit` bytes.
+    One range shuffle by doc_id, and by the row's place in the input, so that rows of equal or
+    null ids are dealt to as many tasks; a task keeps at most one shard of `shard_limit` bytes.
     """
 
     def run(batches):
@@ -96,8 +102,8 @@ def write(docs: DataFrame, out_dir: str, tokenizer: str, shard_limit: int = SHAR
 
     schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    return common.materialise(ranged.mapInArrow(run, MANIFEST), f"{out_dir}/manifest")
+    ranged = rows.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange("doc_id", "__row").sortWithinPartitions("doc_id", "__row")
+    return common.materialise(ranged.select("doc_id", "text").mapInArrow(run, MANIFEST), f"{out_dir}/manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
@@ -113,9 +119,9 @@ def read(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 shard = Shard(uri)
-                ends = shard.ends.decode()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids(), pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                for first in range(0, len(shard), READ_DOCS):
+                    doc_ids, starts, ends = shard.several(first, min(first + READ_DOCS, len(shard)))
+                    crc = [zlib.crc32(shard.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return based.select("path", "base").repartition(n, "path").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")

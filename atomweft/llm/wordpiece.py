@@ -1,13 +1,15 @@
-"""Exact, fast encoding with a public word-level BPE through the tokenizers library.
+"""Exact, fast encoding with a tokenizer file through the tokenizers library.
 
-The tokenizer's normaliser and pre-tokeniser never join characters across ASCII white
-space, so a text's ids are the ids of its words in a row. Words repeat, hence a bounded
-cache from word to id bytes; a new Latin word goes through the library's BPE model by
-pre-token, any other word through the library's whole encode().
+Where the file's normaliser and pre-tokeniser are those of `WORDS`, they never join
+characters across ASCII white space, so a text's ids are the ids of its words in a row. Words
+repeat, hence a bounded cache from word to id bytes; a new Latin word goes through the
+library's BPE model by pre-token, any other word through the library's whole encode(). With
+any other file each whole text goes through encode().
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 import numpy as np
@@ -21,6 +23,26 @@ _PLAIN = re.compile("[!-~\xa1-ɏ]+")
 _PRE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+#: What a file must say for words to be encoded one by one: a fixed value.
+WORDS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": _PRE.pattern}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file encodes each word by itself, and its model has nothing random."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    return all(made.get(k) == v for k, v in WORDS.items()) and made["model"]["type"] == "BPE" and not made["model"].get("dropout") and all(t["special"] for t in made.get("added_tokens", []))
+
+
 def _byte_letters() -> dict[int, str]:
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(keep)]
@@ -42,6 +64,7 @@ class WordEncoder(dict):
         self.packed = [np.array([i], self.kind).tobytes() for i in range(self.tokenizer.get_vocab_size())]
         self.letters = _byte_letters()
         self.parts: dict[str, bytes] = {}
+        self.words = by_words(path)
 
     def part(self, s: str) -> bytes:
         if (found := self.parts.get(s)) is None:
@@ -66,6 +89,9 @@ class WordEncoder(dict):
 
     def encode(self, text: bytes | None) -> bytes:
         """The ids of a whole UTF-8 text (null: empty) and the end id."""
+        if not self.words:
+            ids = self.tokenizer.encode((text or b"").decode("utf-8", "replace"), add_special_tokens=False).ids
+            return np.array(ids, self.kind).tobytes() + self.end
         if len(self) > CACHE_WORDS:
             self.clear()
         if len(self.parts) > CACHE_WORDS:

@@ -341,7 +341,16 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
         at += r["n_tokens"]
     want = Counter((d, len(i), crc(i)) for d, t, *_ in rows for i in [ids_of(t)])
     assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    same = spark.createDataFrame([(None, "a b"), (7, "c")] * 200, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would put these few rows into one task
+    try:
+        parts = token_files.write(same, f"file://{tmp_path}/s", wordpiece.default_path())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert parts.count() > 1 and parts.agg(F.max("n_docs")).first()[0] < 300  # equal ids are dealt to several tasks
+    assert [r["doc_id"] for r in sorted(token_files.read(parts).collect(), key=lambda r: r["start"])] == [None] * 200 + [7] * 200
     shard = token_files.Shard(manifest.orderBy("part", "seq").first()["path"])
+    assert [shard.several(k, k + 1)[1:] for k in range(len(shard))] == [tuple(np.array([x]) for x in shard.bounds(k)) for k in range(len(shard))]
     assert shard.document(len(shard) - 1)[-1] == 1
     assert token_files.read(token_files.write(empty, f"file://{tmp_path}/e", wordpiece.default_path())).count() == 0
 
@@ -353,6 +362,16 @@ def test_words_encode_as_the_whole_text(text):
     assert np.frombuffer(enc.encode(text.encode()), enc.kind).tolist() == ids_of(text)
 
 
+def test_other_tokenizer_files():
+    """A byte-level BPE: nothing is encoded word by word."""
+    import public_tokenizers
+
+    enc = wordpiece.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not enc.words and wordpiece.encoder(wordpiece.default_path()).words
+    text = "Two  words,\n\nÉté 日本  end "
+    assert np.frombuffer(enc.encode(text.encode()), enc.kind).tolist() == [*enc.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(-(2**40), 2**40), max_size=600))
 def test_elias_fano(values):
@@ -525,6 +544,9 @@ def test_language(spark, empty):
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert {r["doc_id"] for r in language.accepted(df, model).collect()} == set(got) - {900, 901, 902}
     none = language.train(empty)
+    assert {r["doc_id"] for r in language.accepted(df, none).collect()} == set(got) - {900, 901, 902}
+    same = spark.createDataFrame([(None, "der und ein " * 3, "de")] * 300 + [(None, "the and ing", "en")] * 300, "doc_id long, text string, lang string")
+    assert language.train(same, sample=20).languages in (["de", "en"], ["de"], ["en"], [])  # all rows of a language are drawn, or none
     assert {r["lang_pred"] for r in language.predict(df, none).collect()} == {"und"} and language.predict(empty, model).count() == 0
 
 
