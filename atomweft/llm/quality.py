@@ -1,10 +1,12 @@
 """Quality rules: whole-text statistics and a learned decision list over them.
 
 Sequential covering: a rule is a conjunction of thresholds, grown greedily by information
-gain on two thirds of the labelled documents, pruned on the rest, and kept if it is precise
-on both; what it covers is set aside and the next rule is sought. The list becomes one
-ordered Spark conditional expression; a document that no rule covers is kept. Learning uses
-at most `SAMPLE` labelled documents, drawn by a hash (a documented bound on training only).
+gain on two thirds of the labelled documents until it covers no good one there or no test
+helps, pruned on the rest, and kept if it is precise on both (`PRECISION`) and covers at least
+`LEAST` bad documents; what it covers is set aside and the next rule is sought, until one
+isn't kept. The list becomes one ordered Spark conditional expression; a document that no
+rule covers is kept. Learning uses about `SAMPLE` labelled documents, at most twice as many,
+drawn by a hash (a documented bound on training only).
 
 Null text has no words. Null or repeated labels: null quality is no label, of several labels
 of a document the least counts. Without labels the list is empty and keeps everything.
@@ -101,11 +103,11 @@ def _covers(rule, x: dict, n: int) -> np.ndarray:
     return out
 
 
-def _grow(x: dict, bad: np.ndarray, most: int = 3) -> list[Test]:
+def _grow(x: dict, bad: np.ndarray) -> list[Test]:
     """Add the threshold with the highest gain until no good document is covered."""
     rule: list[Test] = []
     at = np.ones(len(bad), bool)
-    while len(rule) < most and (at & ~bad).any():
+    while (at & ~bad).any():
         p, n = int((at & bad).sum()), int(at.sum())
         best, gain = None, 1e-9
         for name in x:
@@ -126,12 +128,12 @@ def _grow(x: dict, bad: np.ndarray, most: int = 3) -> list[Test]:
     return rule
 
 
-def learn(x: dict, bad: np.ndarray, precision: float = PRECISION, least: int = LEAST, most: int = 12) -> list[list[Test]]:
+def learn(x: dict, bad: np.ndarray, precision: float = PRECISION, least: int = LEAST) -> list[list[Test]]:
     """Ordered rules for bad documents; rows must be in a random order."""
     n = len(bad)
     prune = np.arange(n) % 3 == 2
     left, rules = np.ones(n, bool), []
-    while len(rules) < most and (left & bad).sum() >= least:
+    while (left & bad).sum() >= least:
         grow = left & ~prune
         rule = _grow({k: v[grow] for k, v in x.items()}, bad[grow])
         check = left & prune
