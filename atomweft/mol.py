@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import checks, geometry
 from .operators import ncoord as nc
@@ -18,13 +19,24 @@ class Mol:
 
     atoms: DataFrame
     name: str | None = None
+    charges: DataFrame | None = None  #: sys_id, charge, uhf (unpaired electrons); without it all are 0
 
     def __post_init__(self):
         checks.schema(self.atoms)
 
     @classmethod
     def from_path(cls, spark: SparkSession, path: str, ftype: str | None = None, name: str | None = None) -> Mol:
-        return cls(reader.as_atoms(reader.read(spark, path, ftype)), name)
+        """Structures below a path, with the charges and unpaired electrons in the .CHRG and .UHF beside each file."""
+        atoms = reader.as_atoms(reader.read(spark, path, ftype))
+        systems = atoms.select("sys_id", "path").distinct()
+        charges = reader.dotfiles(reader.dotfiles(systems), ".UHF", "uhf").select("sys_id", "charge", "uhf")
+        return cls(atoms, name, charges)
+
+    def charge(self) -> DataFrame:
+        """sys_id, charge and uhf of every system."""
+        if self.charges is None:
+            return self.atoms.select("sys_id").distinct().withColumns({"charge": F.lit(0), "uhf": F.lit(0)})
+        return self.charges
 
     def with_atoms(self, atoms: DataFrame) -> Mol:
         return replace(self, atoms=atoms)

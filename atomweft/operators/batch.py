@@ -34,12 +34,81 @@ def deflate(a: Column, pad: float = 0.0) -> Column:
     return F.slice(a, 1, keep)
 
 
-def deflate2(a: Column, pad: float = 0.0) -> Column:
-    """A two-dimensional array without trailing rows and columns of padding."""
-    used = lambda r: F.size(deflate(r, pad))
-    rows = F.coalesce(F.array_max(F.transform(a, lambda r, i: F.when(used(r) > 0, i + 1).otherwise(0))), F.lit(0))
-    cols = F.coalesce(F.array_max(F.transform(a, used)), F.lit(0))
-    return F.transform(F.slice(a, 1, rows), lambda r: F.slice(r, 1, cols))
+def _any(x: Column, dims: int, pad: float) -> Column:
+    """Whether a nested array holds anything but padding."""
+    return x != pad if dims == 0 else F.exists(x, lambda y: _any(y, dims - 1, pad))
+
+
+def _extent(a: Column, dims: int, axis: int, pad: float) -> Column:
+    """The size along an axis without trailing padding."""
+    per = (lambda x, i: F.when(_any(x, dims - 1, pad), i + 1).otherwise(0)) if axis == 0 else (lambda x, i: _extent(x, dims - 1, axis - 1, pad))
+    return F.coalesce(F.array_max(F.transform(a, per)), F.lit(0))
+
+
+def deflate_nd(a: Column, dims: int, pad: float = 0.0, axis: int | None = None) -> Column:
+    """A nested array of `dims` dimensions without trailing padding along any axis; `axis` is spared. One dimension can't be spared."""
+    if axis is not None and dims == 1:
+        raise ValueError("a one-dimensional array has no other axis to deflate")
+    spared = None if axis is None else axis % dims
+
+    def cut(x: Column, left: int, at: int) -> Column:
+        x = x if at == spared else F.slice(x, 1, _extent(a, dims, at, pad))
+        return x if left == 1 else F.transform(x, lambda y: cut(y, left - 1, at + 1))
+
+    return cut(a, dims, 0)
+
+
+def deflate2(a: Column, pad: float = 0.0, axis: int | None = None) -> Column:
+    """A two-dimensional array without trailing rows and columns of padding; one axis can be spared."""
+    return deflate_nd(a, 2, pad, axis)
+
+
+def _filled(sizes: list[Column], pad: float, kind: str) -> Column:
+    out = F.lit(pad).cast(kind)
+    for n in reversed(sizes):
+        out = F.array_repeat(out, n)
+    return out
+
+
+def pad_nd(a: Column, sizes: list[Column], pad: float = 0.0, kind: str = "double") -> Column:
+    """A nested array padded to the sizes, one a dimension."""
+    n, *rest = sizes
+    inner = F.transform(a, lambda x: pad_nd(x, rest, pad, kind)) if rest else a
+    gap = F.greatest(n - F.size(a), F.lit(0))
+    return F.concat(inner, F.array_repeat(_filled(rest, pad, kind), gap))
+
+
+def pack_nd(rows: DataFrame, value: str, dims: int, pad: float = 0.0, kind: str = "double") -> DataFrame:
+    """rows with `packed`: nested arrays of `dims` dimensions, all padded to the largest size along each."""
+    size = lambda a, k: F.size(a) if k == 0 else F.coalesce(F.array_max(F.transform(a, lambda x: size(x, k - 1))), F.lit(0))
+    most = rows.agg(*[F.coalesce(F.max(size(F.col(value), k)), F.lit(0)).alias(f"__n{k}") for k in range(dims)])  # one row
+    return rows.crossJoin(F.broadcast(most)).withColumn("packed", pad_nd(F.col(value), [F.col(f"__n{k}") for k in range(dims)], pad, kind)).drop(*[f"__n{k}" for k in range(dims)])
+
+
+def last_axis(packed: DataFrame, value: str = "packed") -> DataFrame:
+    """Packed rows with systems along the last axis: at, packed (an array over the systems in order). Each row is as long as the batch has systems."""
+    long = packed.select("sys_id", F.posexplode(value).alias("at", "v"))
+    return long.groupBy("at").agg(F.transform(F.sort_array(F.collect_list(F.struct("sys_id", "v"))), lambda s: s["v"]).alias("packed"))
+
+
+def merge_packed(*batches: DataFrame, pad: float = 0.0, axis: int = 0) -> DataFrame:
+    """Packed batches (sys_id from 0, packed) as one: along axis 0 systems follow one another, padded to one width; along axis 1 rows of equal number are joined end to end, those that a batch lacks as padding."""
+    if axis not in (0, 1, -1):
+        raise ValueError(f"no axis {axis} in packed batches")
+    if axis == 0:
+        both = merge(*[b.select("sys_id", F.col("packed").alias("own")) for b in batches])
+        return pack_nd(both, "own", 1, pad, _element(batches[0])).select("sys_id", "packed")
+    out = None
+    for n, b in enumerate(batches):
+        width = b.agg(F.coalesce(F.max(F.size("packed")), F.lit(0)).alias(f"w{n}"))  # one row
+        b = b.select("sys_id", F.col("packed").alias(f"p{n}"))
+        out = (b if out is None else out.join(b, "sys_id", "full")).crossJoin(F.broadcast(width))
+    kind = _element(batches[0])
+    return out.select("sys_id", F.concat(*[F.coalesce(f"p{n}", _filled([F.col(f"w{n}")], pad, kind)) for n in range(len(batches))]).alias("packed"))
+
+
+def _element(b: DataFrame) -> str:
+    return b.schema["packed"].dataType.elementType.simpleString()
 
 
 def unpack(packed: DataFrame, pad: float = 0.0) -> DataFrame:
@@ -85,8 +154,9 @@ def reshape_fortran(a: Column, rows: int, cols: int) -> Column:
 
 
 def symmetrize(coo: DataFrame, force: bool = False, tol: float = 10 * 2.220446049250313e-16) -> DataFrame:
-    """(m, i, j, v) averaged with its transpose; unless forced, an asymmetric matrix raises when read."""
-    both = coo.join(coo.select("m", F.col("i").alias("j"), F.col("j").alias("i"), F.col("v").alias("t")), ["m", "i", "j"])
+    """(m, i, j, v) averaged with its transpose; unless forced, an asymmetric matrix raises when read. An entry that a sparse list lacks is zero."""
+    both = coo.select("m", "i", "j", "v", F.lit(0.0).alias("t")).unionByName(coo.select("m", F.col("j").alias("i"), F.col("i").alias("j"), F.lit(0.0).alias("v"), F.col("v").alias("t")))
+    both = both.groupBy("m", "i", "j").agg(F.sum("v").alias("v"), F.sum("t").alias("t"))
     mean = (F.col("v") + F.col("t")) / 2.0
     if not force:
         close = F.abs(F.col("v") - F.col("t")) <= F.lit(tol) + F.lit(tol) * F.abs(F.col("t"))

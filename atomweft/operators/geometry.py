@@ -6,11 +6,12 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import kernels as k
 from ..functions import units
 from ..functions.elements import lookup, symbol
-from .pairs import isclose, pairs, real_atoms
+from .pairs import isclose, near, pairs, real_atoms
 
 
 def bond_angles(atoms: DataFrame) -> DataFrame:
@@ -24,13 +25,33 @@ def bond_angles(atoms: DataFrame) -> DataFrame:
     return both.select("sys_id", "i", "j", "k", F.degrees(F.acos(cosine)).alias("angle"))
 
 
+def _bent(angle: Column, atol: float, rtol: float) -> Column:
+    return ~(isclose(angle, F.lit(0.0), atol, rtol) | isclose(angle, F.lit(180.0), atol, rtol))
+
+
+def _cosine(ax, ay, az, bx, by, bz) -> Column:
+    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+    a, b = (ax, ay, az), (bx, by, bz)
+    return k.clamp(k.divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), -1.0, 1.0)
+
+
 def is_linear(atoms: DataFrame, atol: float = 1e-8, rtol: float = 1e-5) -> DataFrame:
-    """sys_id, is_linear: all angles close to 0 or 180; one or two atoms are linear."""
-    a = F.col("angle")
-    bad = ~(isclose(a, F.lit(0.0), atol, rtol) | isclose(a, F.lit(180.0), atol, rtol))
-    bent = bond_angles(atoms).groupBy("sys_id").agg(F.count_if(bad).alias("bent"))
-    systems = real_atoms(atoms).select("sys_id").distinct()
-    return systems.join(bent, "sys_id", "left").select("sys_id", (F.coalesce("bent", F.lit(0)) == 0).alias("is_linear"))
+    """sys_id, is_linear: all angles close to 0 or 180; one or two atoms are linear.
+
+    The angles at the first atom between the second and each other one are looked at first:
+    one look an atom tells all bent systems. Only those that pass have all their angles made.
+    """
+    real = real_atoms(atoms)
+    order = Window.partitionBy("sys_id").orderBy("atom_idx")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    one, two = ([F.nth_value(c, n).over(whole) for c in ("x", "y", "pz")] for n in (1, 2))
+    seen = real.select("sys_id", "x", "y", "pz", F.row_number().over(order).alias("n"), *[c.alias(f"{s}{n}") for n, cs in ((1, one), (2, two)) for s, c in zip("xyz", cs)])
+    arms = [F.col(f"{s}2") - F.col(f"{s}1") for s in "xyz"] + [F.col(c) - F.col(f"{s}1") for c, s in zip(("x", "y", "pz"), "xyz")]
+    bad = (F.col("n") > 2) & _bent(F.degrees(F.acos(_cosine(*arms))), atol, rtol)
+    first = seen.groupBy("sys_id").agg(F.bool_or(bad).alias("bent"), F.max("n").alias("n"))
+    passed = first.filter(~F.col("bent") & (F.col("n") > 2)).select("sys_id")
+    rest = bond_angles(real.join(passed, "sys_id", "left_semi")).groupBy("sys_id").agg(F.bool_or(_bent(F.col("angle"), atol, rtol)).alias("late"))
+    return first.join(rest, "sys_id", "left").select("sys_id", (~F.col("bent") & ~F.coalesce("late", F.lit(False))).alias("is_linear"))
 
 
 def with_mass(atoms: DataFrame, atomic_units: bool = True) -> DataFrame:
@@ -82,13 +103,14 @@ def rotational_constants(massed: DataFrame) -> DataFrame:
     return moments.select("sys_id", rot("w0").alias("rot_a"), rot("w1").alias("rot_b"), rot("w2").alias("rot_c"))
 
 
-def nuclear_repulsion(atoms: DataFrame, cutoff: float = 25.0) -> DataFrame:
+def nuclear_repulsion(atoms: DataFrame, cutoff: float = 25.0, grid: bool | None = None) -> DataFrame:
     """sys_id, enn: half the sum of Zi Zj / d over pairs within the cutoff."""
     if cutoff is None:
         raise TypeError("cutoff must be a number")
-    both = pairs(atoms, diagonal=True)
     term = k.divide((F.col("zi") * F.col("zj")).cast("double"), F.col("d"))
-    return both.groupBy("sys_id").agg((F.lit(0.5) * F.sum(F.when((F.col("i") != F.col("j")) & (F.col("d") <= cutoff), term).otherwise(F.lit(0.0)))).alias("enn"))
+    terms = near(atoms, cutoff, grid=grid).select("sys_id", term.alias("e"))
+    none = real_atoms(atoms).select("sys_id", F.lit(0.0).alias("e"))  # systems without a pair
+    return terms.unionByName(none).groupBy("sys_id").agg((F.lit(0.5) * F.sum("e")).alias("enn"))
 
 
 def total_mass(atoms: DataFrame, atomic_units: bool = False) -> DataFrame:

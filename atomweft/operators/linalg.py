@@ -21,11 +21,20 @@ METHODS = ("cond", "lorn", "none")
 def einsum(spec: str, *operands: DataFrame, order: str = "greedy") -> DataFrame:
     """Contract coordinate lists by a spec such as "bij,bjk->bik"; columns are the index letters and `v`.
 
-    Joins go pairwise: the pair that shares most indices first ("greedy"), or as written
+    An operand has its columns in the order of its letters, `v` apart. A letter twice in an
+    operand takes its diagonal ("ii->" is the trace; the columns are then `i` and `i_2`).
+    Operands that share no letter give their outer product, last of all joins. Joins go pairwise: the pair that shares most indices first ("greedy"), or as written
     ("left"). An index is summed away as soon as no later operand or the result has it.
     """
     ins, out = spec.replace(" ", "").split("->")
-    terms = [(set(t), df.select(*t, "v")) for t, df in zip(ins.split(","), operands, strict=True)]
+    terms = []
+    for t, df in zip(ins.split(","), operands, strict=True):
+        named = [c if c not in t[:n] else f"{c}_{t[: n + 1].count(c)}" for n, c in enumerate(t)]
+        for c, twin in zip(t, named):
+            df = df if c == twin else df.filter(F.col(c) == F.col(twin))
+        terms.append((set(t), df.select(*sorted(set(t)), "v")))
+    if not set(out) <= set(ins):
+        raise ValueError(f"{out!r} has indices that no operand has")
 
     def reduced(letters: set, df: DataFrame, rest: set) -> tuple[set, DataFrame]:
         keep = [c for c in sorted(letters) if c in rest]
@@ -37,9 +46,8 @@ def einsum(spec: str, *operands: DataFrame, order: str = "greedy") -> DataFrame:
         (la, da), (lb, db) = terms[-a], terms[-b]
         terms = [t for n, t in enumerate(terms) if n not in (-a, -b)]
         shared = sorted(la & lb)
-        if not shared:
-            raise ValueError("operands without a shared index would be a cross join")
-        both = da.withColumnRenamed("v", "va").join(db.withColumnRenamed("v", "vb"), shared)
+        da, db = da.withColumnRenamed("v", "va"), db.withColumnRenamed("v", "vb")
+        both = da.join(db, shared) if shared else da.crossJoin(db)  # an outer product is one by definition
         both = both.select(*sorted(la | lb), (F.col("va") * F.col("vb")).alias("v"))
         terms.append(reduced(la | lb, both, set(out).union(*[t[0] for t in terms])))
     letters, df = terms[0]
@@ -72,24 +80,69 @@ def eigh(a: pd.Series) -> pd.DataFrame:
 
 
 def _array(m) -> np.ndarray:
-    return np.array([list(r) for r in m], float)
+    return np.array([list(r) for r in m], float).reshape(len(m), -1 if len(m) else 0)
 
 
-def eigh_general(scheme: str = "chol", direct_inv: bool = False):
-    """A UDF of (a, b) for a z = w b z, by Cholesky reduction or symmetric orthogonalisation."""
+def _padding(m: np.ndarray) -> np.ndarray:
+    """Which rows and columns are all zero."""
+    return (m == 0).all(0) & (m == 0).all(1)
+
+
+def _whole(n: int, real: np.ndarray, w: np.ndarray, v: np.ndarray) -> dict:
+    """Results of the part that isn't padding, with ghosts last: eigenvalue 0 and a unit vector each."""
+    full, at, rest = np.zeros((n, n)), np.flatnonzero(real), np.flatnonzero(~real)
+    full[np.ix_(at, range(len(at)))] = v
+    full[rest, len(at) + np.arange(len(rest))] = 1.0
+    return {"w": [*w.tolist(), *[0.0] * len(rest)], "v": full.tolist()}
+
+
+@F.pandas_udf(EIGEN)
+def eigh_padded(a: pd.Series) -> pd.DataFrame:
+    """eigh of matrices packed with zeros: the padding takes no part, its ghosts come last. Null gives null."""
+
+    def one(m):
+        if m is None:
+            return {"w": None, "v": None}
+        m = _array(m)
+        real = ~_padding(m) if len(m) else np.zeros(0, bool)
+        w, v = np.linalg.eigh(m[np.ix_(real, real)]) if real.any() else (np.zeros(0), np.zeros((0, 0)))
+        return _whole(len(m), real, w, _signed(v) if real.any() else v)
+
+    return pd.DataFrame([one(m) for m in a], columns=["w", "v"])
+
+
+def _reduction(b: np.ndarray, scheme: str, direct_inv: bool) -> np.ndarray:
+    """back with back' b back = 1."""
+    if scheme == "chol":
+        low = np.linalg.cholesky(b)
+        return (np.linalg.inv(low) if direct_inv else np.linalg.solve(low, np.eye(len(low)))).T
+    w, u = np.linalg.eigh(b)
+    return (u * w**-0.5) @ u.T
+
+
+def eigh_general(scheme: str = "chol", direct_inv: bool = False, is_posdef: bool = False):
+    """A UDF of (a, b) for a z = w b z, by Cholesky reduction or symmetric orthogonalisation.
+
+    Unless `is_posdef` says that b has none, rows and columns of b that are all zero are
+    padding: they take no part, and their ghosts (eigenvalue 0, a unit vector) come last. A
+    null matrix gives null; matrices of different sizes, or a b that isn't positive definite
+    beside its padding, are an error.
+    """
     if scheme not in ("chol", "lowd"):
         raise ValueError(f"unknown scheme {scheme!r}")
 
     def one(a, b):
+        if a is None or b is None:
+            return {"w": None, "v": None}
         a, b = _array(a), _array(b)
-        if scheme == "chol":
-            low = np.linalg.cholesky(b)
-            back = (np.linalg.inv(low) if direct_inv else np.linalg.solve(low, np.eye(len(low)))).T
-        else:
-            w, u = np.linalg.eigh(b)
-            back = (u * w**-0.5) @ u.T
-        w, y = np.linalg.eigh(back.T @ a @ back)
-        return {"w": w.tolist(), "v": _signed(back @ y).tolist()}
+        if a.shape != b.shape:
+            raise ValueError(f"matrices of {len(a)} and {len(b)} rows")
+        real = np.ones(len(b), bool) if is_posdef or not len(b) else ~_padding(b)
+        if not real.any():
+            return _whole(len(b), real, np.zeros(0), np.zeros((0, 0)))
+        back = _reduction(b[np.ix_(real, real)], scheme, direct_inv)
+        w, y = np.linalg.eigh(back.T @ a[np.ix_(real, real)] @ back)
+        return _whole(len(b), real, w, _signed(back @ y))
 
     @F.pandas_udf(EIGEN)
     def solve(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -98,24 +151,31 @@ def eigh_general(scheme: str = "chol", direct_inv: bool = False):
     return solve
 
 
+def _broadened(w: np.ndarray, method: str, factor: float) -> np.ndarray:
+    """1 / (w_j - w_i), kept from blowing up where eigenvalues are (nearly) equal; 0 on the diagonal."""
+    d = w[None, :] - w[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if method == "cond":
+            f = np.sign(d) / np.maximum(np.abs(d), factor)
+        elif method == "lorn":
+            f = d / (d * d + factor)
+        else:
+            f = 1 / d
+    np.fill_diagonal(f, 0.0)
+    return f
+
+
 def eigh_vjp(method: str = "cond", factor: float = 1e-12):
-    """A UDF of (a, w_bar, v_bar): the gradient by a, with broadened differences of eigenvalues."""
+    """A UDF of (a, w_bar, v_bar): the gradient by a, with broadened differences of eigenvalues. Null gives null."""
     if method not in METHODS:
         raise ValueError(f"unknown broadening method {method!r}")
 
     def one(a, w_bar, v_bar):
+        if a is None or w_bar is None or v_bar is None:
+            return None
         w, v = np.linalg.eigh(_array(a))
         v = _signed(v)
-        d = w[None, :] - w[:, None]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            if method == "cond":
-                f = np.sign(d) / np.where(np.abs(d) > factor, d, factor)
-            elif method == "lorn":
-                f = d / (d * d + factor)
-            else:
-                f = 1 / d
-        f = np.triu(f, 1)
-        t = (f - f.T) * (v.T @ _array(v_bar))
+        t = _broadened(w, method, factor) * (v.T @ _array(v_bar))
         return (v @ (np.diag(np.asarray(w_bar, float)) + (t + t.T) / 2) @ v.T).tolist()
 
     @F.pandas_udf(MATRIX)
@@ -125,6 +185,38 @@ def eigh_vjp(method: str = "cond", factor: float = 1e-12):
     return gradient
 
 
+PAIR = T.StructType([T.StructField("a", MATRIX), T.StructField("b", MATRIX)])
+
+
+def eigh_general_vjp(method: str = "cond", factor: float = 1e-12):
+    """A UDF of (a, b, w_bar, v_bar): the symmetric gradients by a and by b of the problem a z = w b z.
+
+    With z' b z = 1: dw_i = z_i' (da - w_i db) z_i, and dz_i has the parts z_j' (da - w_i db) z_i / (w_i - w_j)
+    along the other z_j and -z_i' db z_i / 2 along itself. Null gives null.
+    """
+    if method not in METHODS:
+        raise ValueError(f"unknown broadening method {method!r}")
+
+    def one(a, b, w_bar, v_bar):
+        if a is None or b is None or w_bar is None or v_bar is None:
+            return {"a": None, "b": None}
+        a, b, bar = _array(a), _array(b), _array(v_bar)
+        back = _reduction(b, "chol", False)
+        w, y = np.linalg.eigh(back.T @ a @ back)
+        z = _signed(back @ y)
+        own = z.T @ bar  # (j, i): what moving z_i along z_j is worth
+        m = _broadened(w, method, factor) * own + np.diag(np.asarray(w_bar, float))
+        by_b = m * w[None, :] + np.diag(np.diag(own)) / 2
+        even = lambda x: ((x + x.T) / 2).tolist()
+        return {"a": even(z @ m @ z.T), "b": even(-(z @ by_b @ z.T))}
+
+    @F.pandas_udf(PAIR)
+    def gradients(a: pd.Series, b: pd.Series, w_bar: pd.Series, v_bar: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(*x) for x in zip(a, b, w_bar, v_bar)], columns=["a", "b"])
+
+    return gradients
+
+
 def sort_out(df: DataFrame, w: str = "w", v: str = "v", ghost: bool = True) -> DataFrame:
     """Move ghosts last, in their order: eigenvalues of exactly 0 (1 if not `ghost`, then set to 0) with a unit vector."""
     mark = 0.0 if ghost else 1.0

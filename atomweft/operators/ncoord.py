@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..functions.elements import lookup
-from .pairs import pairs, within_grid
+from .pairs import near, needs_grid, pairs, within_grid
 
 #: Count name -> (kernel, its keyword for the steepness).
 _ERF = {k.erf_count}
@@ -22,16 +22,17 @@ def with_count(df: DataFrame, count, out: str, r: str = "d", r0: str = "r0", **k
     return df.withColumn(out, count(F.col(r), F.col(r0), **kw))
 
 
-def coordination_number(atoms: DataFrame, *, count=k.exp_count, rcov: Column | None = None, cutoff: float | None = None, cn_max: float | None = None, weight: Column | None = None, grid: bool = False, **kw) -> DataFrame:
+def coordination_number(atoms: DataFrame, *, count=k.exp_count, rcov: Column | None = None, cutoff: float | None = None, cn_max: float | None = None, weight: Column | None = None, grid: bool | None = None, **kw) -> DataFrame:
     """sys_id, atom_idx, z, cn for every real atom.
 
     `weight` is a Column over the pair (en_i, en_j, zi, zj, d). `cutoff` is inclusive, None
-    is no gate. `grid` takes the cell join, for systems of thousands of atoms; it needs a cutoff.
+    is no gate. `grid` takes the cell join, by default where a system has more than
+    `pairs.GRID_ATOMS` atoms; it needs a cutoff.
     """
     held = atoms.withColumns({"r": lookup("r_cov", F.col("z")) if rcov is None else rcov, "en": lookup("en", F.col("z"))})
-    if grid:
-        if cutoff is None:
-            raise ValueError("the grid join needs a cutoff")
+    if grid and cutoff is None:
+        raise ValueError("the grid join needs a cutoff")
+    if cutoff is not None and (needs_grid(atoms) if grid is None else grid):
         near = within_grid(held, cutoff, ("r", "en"))
         own = held.filter("z <> 0").select("sys_id", F.col("atom_idx").alias("i"), F.col("z").alias("zi"), F.lit(0.0).alias("f"))
         counted = with_count(near.withColumn("r0", F.col("r_i") + F.col("r_j")), count, "f", **kw)
@@ -75,11 +76,9 @@ def cn_gfn2(atoms: DataFrame, count=k.gfn2_count, **kw) -> DataFrame:
     return coordination_number(atoms, count=count, cutoff=k.CUTOFF_GFN2, **kw)
 
 
-def cn_d3_gradient(atoms: DataFrame, dcount=k.dexp_count, cutoff: float | None = k.CUTOFF_D3, rcov: Column | None = None, **kw) -> DataFrame:
-    """sys_id, i, j and d CN_i / d R_j (gx, gy, gz) for i <> j; the term i = j is zero and left out."""
+def cn_d3_gradient(atoms: DataFrame, dcount=k.dexp_count, cutoff: float | None = k.CUTOFF_D3, rcov: Column | None = None, grid: bool | None = None, **kw) -> DataFrame:
+    """sys_id, i, j and d CN_i / d R_j (gx, gy, gz) for i <> j; the term i = j and pairs beyond the cutoff are zero and left out."""
     held = atoms.withColumn("r", lookup("r_cov", F.col("z")) if rcov is None else rcov)
-    both = pairs(held, carried=("r",)).withColumn("f", dcount(F.col("d"), F.col("r_i") + F.col("r_j"), **kw))
-    f = k.divide(F.col("f"), F.col("d"))
-    if cutoff is not None:
-        f = F.when(F.col("d") <= cutoff, f).otherwise(F.lit(0.0))
-    return both.select("sys_id", "i", "j", *[(f * F.col(c)).alias(g) for c, g in (("dx", "gx"), ("dy", "gy"), ("dz", "gz"))])
+    both = pairs(held, carried=("r",)) if cutoff is None else near(held, cutoff, ("r",), grid)
+    f = k.divide(dcount(F.col("d"), F.col("r_i") + F.col("r_j"), **kw), F.col("d"))
+    return both.withColumn("f", f).select("sys_id", "i", "j", *[(F.col("f") * F.col(c)).alias(g) for c, g in (("dx", "gx"), ("dy", "gy"), ("dz", "gz"))])

@@ -59,24 +59,49 @@ def within(atoms: DataFrame, cutoff: float, carried: tuple[str, ...] = ()) -> Da
     return pairs(atoms, carried=carried).filter(F.col("d") <= cutoff)
 
 
+#: Half of a cell's surroundings: itself and those of its 26 neighbours that come after it.
+HALF = [(a, b, c) for a in (0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if (a, b, c) >= (0, 0, 0)]
+
+
 def within_grid(atoms: DataFrame, cutoff: float, carried: tuple[str, ...] = ()) -> DataFrame:
     """The same pairs by an equi-join on grid cells of the cutoff's size.
 
-    One side stays in its cell, the other visits its 27 neighbours; work grows with an atom's
-    surroundings and not with the square of the system, and a large system is many keys.
+    One side stays in its cell, the other visits its own and 13 neighbours, so each pair meets
+    once and is given both ways; work grows with an atom's surroundings and not with the square
+    of the system, and a large system is many keys.
     """
     real = real_atoms(atoms)
-    cell = [F.floor(F.col(c) / F.lit(float(cutoff))) for c in ("x", "y", "pz")]
-    home = _side(real, "j", carried).withColumns(dict(zip(("cx", "cy", "cz"), [F.floor(F.col(c) / F.lit(float(cutoff))) for c in ("xj", "yj", "pj")])))
-    step = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)])
-    visit = real.withColumns(dict(zip(("cx", "cy", "cz"), cell))).withColumn("s", F.explode(step))
-    visit = visit.withColumns({"cx": F.col("cx") + F.col("s.a"), "cy": F.col("cy") + F.col("s.b"), "cz": F.col("cz") + F.col("s.c")})
-    left = visit.select("cx", "cy", "cz", "sys_id", F.col("atom_idx").alias("i"), F.col("z").alias("zi"), F.col("x").alias("xi"), F.col("y").alias("yi"), F.col("pz").alias("pi"), *[F.col(c).alias(f"{c}_i") for c in carried])
-    both = left.join(home, ["sys_id", "cx", "cy", "cz"]).filter("i <> j")
+    at = lambda names: dict(zip(("cx", "cy", "cz"), [F.floor(F.col(c) / F.lit(float(cutoff))) for c in names]))
+    home = _side(real, "j", carried).withColumns(at(("xj", "yj", "pj")))
+    step = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a, b, c in HALF])
+    visit = _side(real, "i", carried).withColumns(at(("xi", "yi", "pi"))).withColumn("s", F.explode(step))
+    visit = visit.withColumns({"cx": F.col("cx") + F.col("s.a"), "cy": F.col("cy") + F.col("s.b"), "cz": F.col("cz") + F.col("s.c"), "own": (F.col("s.a") == 0) & (F.col("s.b") == 0) & (F.col("s.c") == 0)}).drop("s")
+    both = visit.join(home, ["sys_id", "cx", "cy", "cz"]).filter(~F.col("own") | (F.col("i") < F.col("j")))
     both = both.withColumns({"dx": F.col("xj") - F.col("xi"), "dy": F.col("yj") - F.col("yi"), "dz": F.col("pj") - F.col("pi")})
     square = F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")
-    keep = ["sys_id", "i", "j", "zi", "zj", "dx", "dy", "dz", *[f"{c}_{s}" for c in carried for s in "ij"]]
-    return both.select(*keep, F.sqrt(F.greatest(square, F.lit(EPS))).alias("d")).filter(F.col("d") <= cutoff)
+    both = both.withColumn("d", F.sqrt(F.greatest(square, F.lit(EPS)))).filter(F.col("d") <= cutoff)
+    turned = {"i": "j", "j": "i", "zi": "zj", "zj": "zi"} | {f"{c}_{s}": f"{c}_{t}" for c in carried for s, t in ("ij", "ji")}
+    keep = ["i", "j", "zi", "zj", "dx", "dy", "dz", *[f"{c}_{s}" for c in carried for s in "ij"]]
+    one = F.struct(*[F.col(c).alias(c) for c in keep])
+    other = F.struct(*[(-F.col(c) if c in ("dx", "dy", "dz") else F.col(turned[c])).alias(c) for c in keep])
+    return both.select("sys_id", "d", F.explode(F.array(one, other)).alias("p")).select("sys_id", *[f"p.{c}" for c in keep], "d")
+
+
+GRID_ATOMS = 500  #: from this size of the largest system on the grid join is taken
+
+
+def needs_grid(atoms: DataFrame) -> bool:
+    """Whether the largest system has more than `GRID_ATOMS` atoms: a count by system; a stream isn't counted."""
+    if atoms.isStreaming:
+        return False
+    most = atoms.groupBy("sys_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    return (most or 0) > GRID_ATOMS
+
+
+def near(atoms: DataFrame, cutoff: float, carried: tuple[str, ...] = (), grid: bool | None = None) -> DataFrame:
+    """Ordered pairs with d <= cutoff, by the grid where the systems are large (or as told)."""
+    grid = needs_grid(atoms) if grid is None else grid
+    return within_grid(atoms, cutoff, carried) if grid else within(atoms, cutoff, carried)
 
 
 def isclose(a: Column, b: Column, atol: float = 1e-8, rtol: float = 1e-5) -> Column:

@@ -112,6 +112,36 @@ _SCAN = f"WITH {A} SELECT sys_id, CAST(0 AS INTEGER) AS frame, atom_idx, z, {r('
 _F = "(CASE WHEN i <> j AND d <= 25e0 THEN " + dexp_count("d", "r0", 16.0) + " / d ELSE 0e0 END)"
 
 
+def _two() -> str:
+    """CTE t(m, a, b, c): symmetric 2 x 2 matrices."""
+    return f"{_m(2)}, t AS (SELECT m, max(CASE WHEN i = 0 AND j = 0 THEN v END) AS a, max(CASE WHEN i = 0 AND j = 1 THEN v END) AS b, max(CASE WHEN i = 1 AND j = 1 THEN v END) AS c FROM s GROUP BY 1)"
+
+
+def _entries(source: str, **cols: tuple[str, str, str]) -> str:
+    """Rows m, i, j and columns from symmetric 2 x 2 results, each given as (00, 01, 11)."""
+    at = lambda x: f"CASE i + j WHEN 0 THEN {x[0]} WHEN 1 THEN {x[1]} ELSE {x[2]} END"
+    return f"SELECT m, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {', '.join(f'{at(x)} AS {n}' for n, x in cols.items())} FROM {source}, (SELECT unnest(range(2)) AS i) p, (SELECT unnest(range(2)) AS j) q"
+
+
+def _vjp2() -> str:
+    """The gradient in closed form, for the seeds w = (0.3, -0.7), v = ((0.2, 0.5), (-0.4, 0.1))."""
+    return f"""WITH {_two()}, e AS (SELECT *, (a + c) / 2e0 - sqrt((a - c) * (a - c) / 4e0 + b * b) AS lo, (a + c) / 2e0 + sqrt((a - c) * (a - c) / 4e0 + b * b) AS hi FROM t),
+h AS (SELECT *, CASE WHEN a >= c THEN hi - c ELSE b END AS hx, CASE WHEN a >= c THEN b ELSE hi - a END AS hy FROM e),
+n AS (SELECT m, lo, hi, hx / sqrt(hx * hx + hy * hy) AS x, hy / sqrt(hx * hx + hy * hy) AS y FROM h),
+u AS (SELECT *, CASE WHEN abs(x) >= abs(y) THEN -y ELSE y END AS lx, CASE WHEN abs(x) >= abs(y) THEN x ELSE -x END AS ly FROM n),
+q AS (SELECT *, ((x * 0.2e0 - y * 0.4e0) - (lx * 0.5e0 + ly * 0.1e0)) / (lo - hi) AS q FROM u),
+g AS (SELECT m, 0.3e0 * lx * lx - 0.7e0 * x * x + q * x * lx AS g0, 0.3e0 * lx * ly - 0.7e0 * x * y + q * (x * ly + y * lx) / 2e0 AS g1, 0.3e0 * ly * ly - 0.7e0 * y * y + q * y * ly AS g2 FROM q)
+{_entries("g", v=(r("g0", 5), r("g1", 5), r("g2", 5)))}"""
+
+
+def _general_vjp2() -> str:
+    """b^-1 and -b^-1 a b^-1."""
+    return f"""WITH {_two()}, b AS (SELECT *, 10e0 + a * 0.1e0 AS p, b * 0.1e0 AS o, 10e0 + c * 0.1e0 AS s FROM t),
+n AS (SELECT m, a, b, c, s / (p * s - o * o) AS x, -o / (p * s - o * o) AS y, p / (p * s - o * o) AS z FROM b),
+g AS (SELECT m, x, y, z, -(x * x * a + 2e0 * x * y * b + y * y * c) AS g0, -(x * y * a + (x * z + y * y) * b + y * z * c) AS g1, -(y * y * a + 2e0 * y * z * b + z * z * c) AS g2 FROM n)
+{_entries("g", by_a=(r("x"), r("y"), r("z")), by_b=(r("g0"), r("g1"), r("g2")))}"""
+
+
 def queries() -> dict[str, str]:
     gap = f"(abs(ei - ej) + {num(k.D4_K5)})"
     e8 = num(2.718281828459045**8.0)
@@ -188,7 +218,19 @@ def queries() -> dict[str, str]:
         "la_gershgorin": f"WITH {_m(8)}, g AS (SELECT m, i, sum(abs(v)) AS t, sum(CASE WHEN i = j THEN v ELSE 0e0 END) AS c FROM s GROUP BY 1, 2) SELECT m, {r('min(c - (t - abs(c)))')} AS low, {r('max(c + (t - abs(c)))')} AS high FROM g GROUP BY 1",
         "la_eigvals3": f"WITH {_m(3)}, six AS (SELECT m AS key, " + ", ".join(f"max(CASE WHEN i = {i} AND j = {j} THEN v END) AS {n}" for i, j, n in ((0, 0, "xx"), (1, 1, "yy"), (2, 2, "zz"), (0, 1, "xy"), (0, 2, "xz"), (1, 2, "yz"))) + f" FROM s GROUP BY 1), {_eigen3('six')} SELECT key AS m, {r('w0')} AS w0, {r('w1')} AS w1, {r('w2')} AS w2 FROM w",
         "la_eigh_moments": f"WITH {_m(8)} SELECT m, {r('sum(CASE WHEN i = j THEN v ELSE 0e0 END)', 5)} AS trace, {r('sum(v * v)', 5)} AS square FROM s GROUP BY 1",
-        "la_eigh_vjp": f"WITH {_m(8)} SELECT m, i, j, CASE WHEN i = j THEN 1e0 ELSE 0e0 END AS v FROM s",
+        "la_eigh_vjp": _vjp2(),
+        "la_eigh_general_vjp": _general_vjp2(),
+        "la_eigh_padded": f"WITH {_m(8)}, t AS (SELECT m, sum(CASE WHEN i = j AND i < 6 THEN v ELSE 0e0 END) AS t FROM s GROUP BY 1) SELECT s.m, i, {r('t')} AS trace, 0e0 AS w6, 0e0 AS w7, CASE WHEN i = 6 THEN 1e0 ELSE 0e0 END AS v6, CASE WHEN i = 7 THEN 1e0 ELSE 0e0 END AS v7 FROM s JOIN t USING (m) WHERE j = 0",
+        "la_einsum_trace": f"WITH {_m(8)} SELECT m, {r('sum(v)')} AS v FROM m WHERE i = j GROUP BY 1",
+        "la_einsum_outer": "SELECT n_nationkey AS i, r_regionkey AS j, (n_regionkey + 0.5e0) * (r_regionkey - 1.5e0) AS v FROM nation, region",
+        "batch_deflate_axis": "SELECT vec_id AS m, CAST(6 AS INTEGER) AS rows, CAST(4 AS INTEGER) AS cols, CAST(8 AS INTEGER) AS rows0, CAST(4 AS INTEGER) AS cols0, CAST(6 AS INTEGER) AS rows1, CAST(8 AS INTEGER) AS cols1 FROM embeddings",
+        "batch_merge_axis": f"WITH {A}, n AS (SELECT max(atom_idx) + 1 AS n, max(CASE WHEN sys_id % 3 = 0 THEN atom_idx END) + 1 AS k FROM a), g AS (SELECT s.sys_id, CAST(t.at AS INTEGER) AS at, n, k FROM (SELECT DISTINCT sys_id FROM a) s, (SELECT unnest(range(n + k)) AS at, n, k FROM n) t) SELECT g.sys_id, g.at, {r('coalesce(CASE WHEN g.at < n THEN CAST(o.z AS DOUBLE) ELSE o.x END, -1e0)')} AS v FROM g LEFT JOIN a o ON o.sys_id = g.sys_id AND ((g.at < n AND o.atom_idx = g.at) OR (g.at >= n AND o.sys_id % 3 = 0 AND o.atom_idx = g.at - n))",
+        "conv_version_tuple": "SELECT p_partkey, CAST(p_partkey % 5 AS INTEGER) AS major, CAST(p_size AS INTEGER) AS minor, CAST(p_partkey AS INTEGER) AS patch FROM part",
+        "unit_constants": "SELECT name, " + r("sign(v) * log10(1e0 + abs(v * 1e20))", 9) + " AS value FROM (VALUES " + ", ".join(f"('{n}', CAST({num(float(v))} AS DOUBLE))" for n, v in sorted((units.CONSTANTS | units.FACTORS).items())) + ") AS t(name, v)",
+        "scan_xyz_frames": f"WITH {A}, f AS (SELECT sys_id, sys_id // 40 AS file, CAST(dense_rank() OVER (PARTITION BY sys_id // 40 ORDER BY sys_id) - 1 AS INTEGER) AS frame, atom_idx, z, x, y, pz FROM a) SELECT file, frame, atom_idx, z, {r('x')} AS x, {r('y')} AS y, {r('pz')} AS pz FROM f",
+        "scan_turbomole_energy": f"WITH {A} SELECT sys_id, {r('sum(x)')} AS energy FROM a GROUP BY 1",
+        "scan_orca_engrad": f"WITH {A} SELECT sys_id, atom_idx, {r('sum(x) OVER (PARTITION BY sys_id)')} AS energy, {r('x')} AS gx, {r('y')} AS gy, {r('pz')} AS gz FROM a",
+        "scan_tblite_engrad": f"WITH {A} SELECT sys_id, atom_idx, {r('x')} AS energy, {r('x')} AS gx, {r('y')} AS gy, {r('pz')} AS gz FROM a",
         "la_eig_sort_out": f"WITH {_m(8)}, d AS (SELECT m, i, CASE WHEN i % 3 = 1 THEN 0e0 ELSE v END AS w FROM m WHERE i = j) SELECT m, CAST(row_number() OVER (PARTITION BY m ORDER BY w = 0, i) - 1 AS INTEGER) AS n, {r('w')} AS w FROM d",
         "ad_cn_d3_jacobian": f"WITH {P}, g AS (SELECT sys_id, i, j, {_F} * dx AS gx, {_F} * dy AS gy, {_F} * dz AS gz FROM p), t AS (SELECT * FROM g WHERE i <> j UNION ALL SELECT sys_id, i, i, -sum(gx), -sum(gy), -sum(gz) FROM g GROUP BY 1, 2) SELECT sys_id, i, j, {r('gx')} AS gx, {r('gy')} AS gy, {r('gz')} AS gz FROM t",
         "ad_gradcheck_cn_d3": f"WITH {A} SELECT sys_id, true AS ok FROM a GROUP BY 1 HAVING count(*) > 1",
@@ -197,6 +239,8 @@ def queries() -> dict[str, str]:
         "sink_turbomole_text": f"WITH {EL}, {PAD} SELECT sys_id, '$coord' || chr(10) || string_agg(" + " || '  ' || ".join(f"printf('%12.6f', {c})" for c in ("x", "y", "pz")) + " || '      ' || lower(CASE WHEN z = 0 THEN 'q' ELSE symbol END) || ' ', chr(10) ORDER BY atom_idx) || chr(10) || '$end' || chr(10) AS text FROM pad JOIN el USING (z) GROUP BY 1",
     }
     out["pairs_within_grid"] = out["pairs_within_cutoff"]
+    for name in ("la_eigh", "la_eigh_general_chol", "la_eigh_general_lowd"):  # eigenvectors leave nothing over and are orthonormal
+        out[name] = "SELECT vec_id AS m, CAST(i AS INTEGER) AS i, CAST(k AS INTEGER) AS k, 0e0 AS residual, CASE WHEN i = k THEN 1e0 ELSE 0e0 END AS gram FROM embeddings, (SELECT unnest(range(8)) AS i) a, (SELECT unnest(range(8)) AS k) b"
     for name, gate in (("mask_triples", "y.atom_idx <> t.atom_idx AND x.atom_idx <> y.atom_idx AND x.atom_idx <> t.atom_idx"), ("mask_triples_noself", "y.atom_idx <> t.atom_idx")):
         out[name] = f"WITH {PAD} SELECT x.sys_id, x.atom_idx AS i, y.atom_idx AS j, count(*) AS n, CAST(sum(t.atom_idx) AS BIGINT) AS k FROM pad x JOIN pad y USING (sys_id) JOIN pad t USING (sys_id) WHERE x.z <> 0 AND y.z <> 0 AND t.z <> 0 AND {gate} GROUP BY 1, 2, 3"
     blocks = ", ".join(f"zi * zj * (3e0 * d{a} * d{b}{' - d * d' if a == b else ''}) / (d * d * d * d * d) AS h{a}{b}" for a in "xyz" for b in "xyz")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import elements, units
+from ..functions import elements, units, versions
 from ..functions import kernels as k
 from ..operators import autodiff, batch, bond, checks, distance, geometry, linalg, pairs
 from ..operators import ncoord as nc
@@ -347,6 +347,34 @@ def batch_pargsort(spark, sf_dir):
     return batch.pargsort(padded(spark, sf_dir), "y", F.col("z") == 0)
 
 
+@query
+def batch_deflate_axis(spark, sf_dir):
+    """8 x 8 matrices with padding behind row 5 and column 3: sizes after deflating all axes, and with one spared."""
+    kept = matrices(spark, sf_dir).withColumn("v", F.when((F.col("i") <= 5) & (F.col("j") <= 3), F.lit(1.0)).otherwise(F.lit(0.0)))
+    a = linalg.dense(kept)
+    size = lambda axis, n: [F.size(batch.deflate2(F.col("a"), axis=axis)).alias(f"rows{n}"), F.size(F.get(batch.deflate2(F.col("a"), axis=axis), 0)).alias(f"cols{n}")]
+    return a.select("m", *size(None, ""), *size(0, "0"), *size(1, "1"))
+
+
+@query
+def batch_merge_axis(spark, sf_dir):
+    """Orders' numbers and every third order's positions, packed each, end to end."""
+    a = atoms(spark, sf_dir).select("sys_id", "atom_idx", F.col("z").cast("double").alias("z"), "x")
+    both = batch.merge_packed(batch.pack(a, "z", pad=-1.0), batch.pack(a.filter("sys_id % 3 = 0"), "x", pad=-1.0), pad=-1.0, axis=1)
+    return tidy(both.select("sys_id", F.posexplode("packed").alias("at", "v")))
+
+
+@query
+def conv_version_tuple(spark, sf_dir):
+    text = F.concat_ws(".", F.col("p_partkey") % 5, F.col("p_size"), F.concat(F.col("p_partkey").cast("string"), F.lit("a0+git7")))
+    return table(spark, sf_dir, "part").select("p_partkey", versions.version_tuple(text).alias("v")).select("p_partkey", *[F.get("v", n).alias(c) for n, c in enumerate(("major", "minor", "patch"))])
+
+
+@query
+def unit_constants(spark, sf_dir):
+    return units.frame(spark).select("name", _signed_log(F.col("value") * 1e20).alias("value")).select("name", rounded("value", 9).alias("value"))
+
+
 # distances and linear algebra ---------------------------------------------------------------
 
 
@@ -418,17 +446,46 @@ def _dense(spark, sf_dir):
     return linalg.dense(_symmetric(spark, sf_dir))
 
 
-def _positive(spark, sf_dir):
+def _positive(spark, sf_dir, n=8):
     """a, and b = 10 on the diagonal plus a small symmetric part."""
-    s = _symmetric(spark, sf_dir)
+    s = _symmetric(spark, sf_dir, n)
     b = s.withColumn("v", F.when(F.col("i") == F.col("j"), F.lit(10.0)).otherwise(F.lit(0.0)) + F.col("v") * 0.1)
     return linalg.dense(s).join(linalg.dense(b).withColumnRenamed("a", "b"), "m")
 
 
+def _matmul(a, b):
+    """Rows of a times rows of b, as nested arrays."""
+    add = lambda r, k: F.aggregate(F.sequence(F.lit(0), F.size(r) - 1), F.lit(0.0), lambda s, j: s + F.get(r, j) * F.get(F.get(b, j), k))
+    return F.transform(a, lambda r: F.transform(F.sequence(F.lit(0), F.size(F.get(b, 0)) - 1), lambda k: add(r, k)))
+
+
+def _turned(a):
+    return F.transform(F.sequence(F.lit(0), F.size(F.get(a, 0)) - 1), lambda k: F.transform(a, lambda r: F.get(r, k)))
+
+
+def _eigen_rows(e, b=None):
+    """m, i, k, residual of (a - w b) v and the Gram entry v' b v, from columns m, a, w, v (and b)."""
+    v = F.col("v")
+    e = e.withColumn("av", _matmul(F.col("a"), v)).withColumn("bv", v if b is None else _matmul(F.col(b), v))
+    e = e.withColumn("gram", _matmul(_turned(v), F.col("bv")))
+    residual = F.transform("av", lambda r, i: F.transform(r, lambda x, k: x - F.get(F.col("w"), k) * F.get(F.get(F.col("bv"), i), k)))
+    e = e.withColumn("residual", residual).select("m", F.posexplode(F.arrays_zip("residual", "gram")).alias("i", "r"))
+    return tidy(e.select("m", "i", F.posexplode(F.arrays_zip("r.residual", "r.gram")).alias("k", "x")).select("m", "i", "k", "x.residual", "x.gram"))
+
+
 @query
 def la_eigh(spark, sf_dir):
-    e = _dense(spark, sf_dir).select("m", linalg.eigh("a").alias("e"))
-    return tidy(e.select("m", F.posexplode("e.w").alias("n", "w")))
+    return _eigen_rows(_dense(spark, sf_dir).withColumn("e", linalg.eigh("a")).select("m", "a", "e.w", "e.v"))
+
+
+@query
+def la_eigh_padded(spark, sf_dir):
+    """Matrices packed with two rows and columns of zeros: the ghosts' eigenvalues and vectors, and the sum of the others."""
+    s = _symmetric(spark, sf_dir).withColumn("v", F.when((F.col("i") % 8 >= 6) | (F.col("j") >= 6), F.lit(0.0)).otherwise(F.col("v")))
+    e = linalg.dense(s).select("m", linalg.eigh_padded("a").alias("e")).select("m", "e.w", "e.v")
+    e = e.withColumn("trace", F.aggregate(F.slice("w", 1, 6), F.lit(0.0), lambda t, x: t + x))
+    e = e.select("m", "trace", F.slice("w", 7, 2).alias("ghosts"), F.posexplode(F.transform("v", lambda r: F.slice(r, 7, 2))).alias("i", "r"))
+    return tidy(e.select("m", "i", "trace", F.get("ghosts", 0).alias("w6"), F.get("ghosts", 1).alias("w7"), F.get("r", 0).alias("v6"), F.get("r", 1).alias("v7")))
 
 
 @query
@@ -441,23 +498,43 @@ def la_eigh_moments(spark, sf_dir):
 
 def _general(scheme):
     def run(spark, sf_dir):
-        e = _positive(spark, sf_dir).select("m", linalg.eigh_general(scheme)("a", "b").alias("e"))
-        return tidy(e.select("m", F.posexplode("e.w").alias("n", "w")))
+        e = _positive(spark, sf_dir).withColumn("e", linalg.eigh_general(scheme)("a", "b"))
+        return _eigen_rows(e.select("m", "a", "b", "e.w", "e.v"), "b")
 
     return run
 
 
 _QUERIES |= {"la_eigh_general_chol": _general("chol"), "la_eigh_general_lowd": _general("lowd")}
+#: Seeds of the gradient by 2 x 2 matrices.
+W_BAR, V_BAR = (0.3, -0.7), ((0.2, 0.5), (-0.4, 0.1))
 
 
 @query
 def la_eigh_vjp(spark, sf_dir):
-    """The gradient of the sum of all eigenvalues, an identity, for the seed w_bar = 1, v_bar = 0."""
-    a = _dense(spark, sf_dir)
-    ones = F.transform("a", lambda r: F.lit(1.0))
-    zeros = F.transform("a", lambda r: F.transform(r, lambda x: F.lit(0.0)))
-    g = a.select("m", F.posexplode(linalg.eigh_vjp()("a", ones, zeros)).alias("i", "r"))
-    return tidy(g.select("m", "i", F.posexplode("r").alias("j", "v")))
+    a = linalg.dense(_symmetric(spark, sf_dir, 2))
+    g = a.select("m", F.posexplode(linalg.eigh_vjp()("a", F.array(*map(F.lit, W_BAR)), F.array(*[F.array(*map(F.lit, r)) for r in V_BAR]))).alias("i", "r"))
+    return tidy(g.select("m", "i", F.posexplode("r").alias("j", "v")), 5)
+
+
+@query
+def la_eigh_general_vjp(spark, sf_dir):
+    """The gradients of the sum of all eigenvalues, tr(b^-1 a), by a and by b, for 2 x 2 matrices."""
+    ones, zeros = F.array(F.lit(1.0), F.lit(1.0)), F.array(*[F.array(F.lit(0.0), F.lit(0.0))] * 2)
+    g = _positive(spark, sf_dir, 2).withColumn("g", linalg.eigh_general_vjp()("a", "b", ones, zeros))
+    g = g.select("m", F.posexplode(F.arrays_zip("g.a", "g.b")).alias("i", "r")).select("m", "i", F.posexplode(F.arrays_zip("r.a", "r.b")).alias("j", "x"))
+    return tidy(g.select("m", "i", "j", F.col("x.a").alias("by_a"), F.col("x.b").alias("by_b")))
+
+
+@query
+def la_einsum_trace(spark, sf_dir):
+    return tidy(linalg.einsum("mii->m", matrices(spark, sf_dir).toDF("m", "i", "i_2", "v")))
+
+
+@query
+def la_einsum_outer(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("i"), (F.col("n_regionkey") + 0.5).alias("v"))
+    r = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("j"), (F.col("r_regionkey") - 1.5).alias("v"))
+    return linalg.einsum("i,j->ij", n, r)
 
 
 @query
@@ -500,7 +577,54 @@ def _scan(render, ftype):
     return run
 
 
-_QUERIES |= {"scan_xyz_roundtrip": _scan(writer.xyz_text, "xyz"), "scan_qm9": _scan(writer.xyz_text, "qm9"), "scan_turbomole": _scan(writer.turbomole_text, "turbomole"), "scan_qcschema": _scan(writer.qcschema_text, "qcschema")}
+_QUERIES |= {"scan_xyz_roundtrip": _scan(writer.xyz_text, "xyz"), "scan_turbomole": _scan(writer.turbomole_text, "turbomole"), "scan_qcschema": _scan(writer.qcschema_text, "qcschema")}
+
+
+def _qm9_text(atoms):
+    """Files as the QM9 set has them: properties, charges, *^ for e, and trailing lines."""
+    number = lambda c: F.regexp_replace(F.format_string("%.17e", F.col(c) * F.lit(units.AU2AA)), "e", "*^")
+    line = F.concat_ws("\t", elements.symbol(F.col("z")), number("x"), number("y"), number("pz"), F.lit("-2.5*^-6"))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("atom_idx", line.alias("line")))), lambda s: s["line"])
+    rows = atoms.groupBy("sys_id").agg(F.count("*").alias("n"), F.array_join(lines, "\n").alias("body"))
+    return rows.select("sys_id", F.concat_ws("\n", F.col("n").cast("string"), F.lit("gdb 1\t157.7118\t6.5*^-2"), "body", F.lit("1341.3\t1341.4\nC\tC\nInChI=1S/CH4/h1H4")).alias("text"))
+
+
+_QUERIES["scan_qm9"] = _scan(_qm9_text, "qm9")
+
+
+@query
+def scan_xyz_frames(spark, sf_dir):
+    """Ten orders' frames after one another in a file."""
+    texts = writer.xyz_text(atoms(spark, sf_dir)).withColumn("file", F.floor(F.col("sys_id") / 40))
+    files = texts.groupBy("file").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sys_id", "text"))), lambda s: s["text"]), "").alias("value"))
+    rows = reader.parse(files.select(F.col("file").cast("string").alias("path"), "value"), "xyz")
+    return tidy(rows.select(F.col("path").cast("long").alias("file"), "frame", "atom_idx", elements.number(F.col("symbol")).alias("z"), "x", "y", "pz"))
+
+
+def _gradients(spark, sf_dir):
+    """sys_id, energy and the sorted gradient of each order."""
+    rows = atoms(spark, sf_dir).groupBy("sys_id").agg(F.sum("x").alias("energy"), F.sort_array(F.collect_list(F.struct("atom_idx", "x", "y", "pz"))).alias("g"))
+    return rows.withColumn("flat", F.flatten(F.transform("g", lambda s: F.array(s["x"], s["y"], s["pz"]))))
+
+
+@query
+def scan_turbomole_energy(spark, sf_dir):
+    text = F.format_string("$energy      SCF               SCFKIN            SCFPOT\n     1 %.12f 1.0 -2.0\n$end\n", "energy")
+    rows = reader.values(_gradients(spark, sf_dir).select(F.col("sys_id").cast("string").alias("path"), text.alias("value")), "turbomole_energy")
+    return tidy(rows.select(F.col("path").cast("long").alias("sys_id"), "energy"))
+
+
+def _engrad(kind, value):
+    def run(spark, sf_dir):
+        rows = reader.values(_gradients(spark, sf_dir).select(F.col("sys_id").cast("string").alias("path"), value().alias("value")), kind)
+        return tidy(rows.select(F.col("path").cast("long").alias("sys_id"), "atom_idx", "energy", "gx", "gy", "gz"))
+
+    return run
+
+
+_lines = lambda c: F.array_join(F.transform(c, lambda x: F.format_string("%.12f", x)), "\n")
+_QUERIES["scan_orca_engrad"] = _engrad("orca_engrad", lambda: F.concat(F.lit("#\n# The current total energy in Eh\n#\n"), F.format_string("%.12f", "energy"), F.lit("\n#\n# The current gradient in Eh/bohr\n#\n"), _lines("flat"), F.lit("\n#\n# The atomic numbers\n")))
+_QUERIES["scan_tblite_engrad"] = _engrad("tblite_engrad", lambda: F.to_json(F.struct(F.lit("1").alias("version"), F.transform("g", lambda s: s["x"]).alias("energies"), F.col("flat").alias("gradient"))))
 
 
 @query

@@ -6,6 +6,8 @@ mode a file that can't be read gives one row with its error and nulls, else the
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,53 +51,65 @@ def as_atoms(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("symbol").isNotNull()).select(F.xxhash64("path", "frame").alias("sys_id"), "atom_idx", elements.number(F.col("symbol")).alias("z"), "x", "y", "pz", "path", "frame")
 
 
-def _values(spark: SparkSession, path, parser, schema: str) -> DataFrame:
+def _orca(lines):
+    energy, grad = parsers.orca_engrad(lines)
+    return [(energy, n, *g) for n, g in enumerate(grad)] or [(energy, 0, None, None, None)]
+
+
+#: Kinds of single-valued files: rows of a file's lines, and their schema.
+VALUES = {
+    "turbomole_energy": (lambda lines: [(parsers.turbomole_energy(lines),)], "energy double"),
+    "orca_engrad": (_orca, "energy double, atom_idx int, gx double, gy double, gz double"),
+    "tblite_engrad": (lambda lines: [(n, e, *g) for n, (e, g) in enumerate(zip(*parsers.tblite_engrad(lines)))], "atom_idx int, energy double, gx double, gy double, gz double"),
+}
+
+
+def values(texts: DataFrame, kind: str) -> DataFrame:
+    """path and the values of files of a kind in VALUES, from (path, value); works on static and streaming tables."""
+    parser, schema = VALUES[kind]
+
     def run(batches):
         for pdf in batches:
             rows = [(p, *r) for p, v in zip(pdf["path"], pdf["value"]) for r in parser(v.splitlines())]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("path string, " + schema).split(", ")])
 
-    return _texts(spark, path).mapInPandas(run, "path string, " + schema)
+    return texts.mapInPandas(run, "path string, " + schema)
 
 
 def turbomole_energy(spark: SparkSession, path) -> DataFrame:
     """path, energy."""
-    return _values(spark, path, lambda lines: [(parsers.turbomole_energy(lines),)], "energy double")
+    return values(_texts(spark, path), "turbomole_energy")
 
 
 def orca_engrad(spark: SparkSession, path) -> DataFrame:
     """path, energy, atom_idx, gx, gy, gz; a file without a gradient gives one row."""
-
-    def rows(lines):
-        energy, grad = parsers.orca_engrad(lines)
-        return [(energy, n, *g) for n, g in enumerate(grad)] or [(energy, 0, None, None, None)]
-
-    return _values(spark, path, rows, "energy double, atom_idx int, gx double, gy double, gz double")
+    return values(_texts(spark, path), "orca_engrad")
 
 
 def tblite_engrad(spark: SparkSession, path) -> DataFrame:
     """path, atom_idx, energy, gx, gy, gz."""
-    return _values(spark, path, lambda lines: [(n, e, *g) for n, (e, g) in enumerate(zip(*parsers.tblite_engrad(lines)))], "atom_idx int, energy double, gx double, gy double, gz double")
+    return values(_texts(spark, path), "tblite_engrad")
 
 
-def dotfiles(systems: DataFrame, spark: SparkSession, root: str, name: str = ".CHRG", column: str = "charge") -> DataFrame:
-    """systems (with `path`) and the number in the dotfile of each one's folder; 0 where there is none.
+def dotfiles(systems: DataFrame, name: str = ".CHRG", column: str = "charge") -> DataFrame:
+    """systems (with `path`, a file's address) and the number in the dotfile of each one's folder; 0 where there is none.
 
-    Spark skips names with a leading dot, so folders are asked through the Hadoop API; there is one entry a dotfile.
+    Spark's own readers skip names with a leading dot, so executors open one file for each
+    different folder, by pyarrow's filesystems. What isn't a whole number is an error.
     """
-    jvm = spark._jvm
-    base = jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    found, todo = [], [base]
-    while todo:
-        for s in fs.listStatus(todo.pop()):
-            if s.isDirectory():
-                todo.append(s.getPath())
-            elif s.getPath().getName() == name:
-                stream = fs.open(s.getPath())
-                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-                stream.close()
-                found.append((s.getPath().getParent().toUri().getPath(), parsers.dotfile(text.splitlines())))
-    table = spark.createDataFrame(found, f"__dir string, {column} int")
-    folder = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), "/[^/]*$", "")
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+
+    def run(batches):
+        from pyarrow import fs
+
+        for pdf in batches:
+            out = []
+            for where in pdf["__dir"]:
+                store, at = (fs.LocalFileSystem(), where) if where.startswith("/") else fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", where))
+                if store.get_file_info(f"{at}/{name}").type == fs.FileType.File:
+                    with store.open_input_stream(f"{at}/{name}") as f:
+                        out.append((where, parsers.dotfile(f.read().decode().splitlines())))
+            yield pd.DataFrame(out, columns=["__dir", column])
+
+    table = systems.select(folder.alias("__dir")).distinct().mapInPandas(run, f"__dir string, {column} int")
     return systems.withColumn("__dir", folder).join(table, "__dir", "left").withColumn(column, F.coalesce(column, F.lit(0))).drop("__dir")

@@ -42,18 +42,21 @@ def qcschema_text(atoms: DataFrame) -> DataFrame:
     return rows.select("sys_id", F.to_json(F.struct(molecule.alias("molecule"))).alias("text"))
 
 
-def write(atoms: DataFrame, path: str, ftype: str = "xyz", mode: str = "error", **kw) -> None:
-    """Write a folder with a text file a partition (XYZ frames follow one another) or a file a system (Turbomole).
+def write(atoms: DataFrame, path: str, ftype: str = "xyz", mode: str = "error", files: bool = False, **kw) -> None:
+    """Write a folder with a text file a partition; XYZ frames, and sections of Turbomole coordinates, follow one another.
 
-    An existing folder is an error unless mode is "overwrite".
+    With `files` a Turbomole system is a folder of its own (sys_id=...), which programs want
+    that read one structure; that is a file a system, so keep it to few. An existing folder
+    is an error unless mode is "overwrite".
     """
     key = ftype.lower()
     if key in KNOWN:
         raise NotImplementedError(f"writing {ftype!r} is not supported")
     if key not in WRITABLE:
         raise ValueError(f"unknown type {ftype!r}")
-    if WRITABLE[key] == "xyz":
-        frames = xyz_text(atoms, **{"fmt": "%22.15f"} | kw).select(F.regexp_replace("text", "\n$", "").alias("text"))
-        frames.write.mode(mode).text(path)
+    texts = {"xyz": xyz_text, "turbomole": turbomole_text}[WRITABLE[key]](atoms, **{"fmt": "%22.15f"} | kw)
+    texts = texts.select("sys_id", F.regexp_replace("text", "\n$", "").alias("text"))
+    if files and WRITABLE[key] == "turbomole":
+        texts.write.mode(mode).partitionBy("sys_id").text(path)
     else:
-        turbomole_text(atoms, **{"fmt": "%22.15f"} | kw).write.mode(mode).partitionBy("sys_id").text(path)
+        texts.select("text").write.mode(mode).text(path)

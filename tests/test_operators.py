@@ -2,12 +2,13 @@
 
 import json
 import os
+from collections import Counter
 
 import numpy as np
 import pytest
-from atomweft.functions import elements
+from atomweft.functions import elements, versions
 from atomweft.mol import Mol
-from atomweft.operators import batch, checks, distance, linalg
+from atomweft.operators import batch, checks, distance, linalg, pairs
 from atomweft.operators import ncoord as nc
 from atomweft.sources import parsers, reader, samples, writer
 from atomweft.streaming import ingest
@@ -76,14 +77,12 @@ def test_eigen_gradient_against_differences(spark):
         linalg.eigh_vjp("other")
 
 
-def test_einsum_orders_agree_and_refuse_cross_joins(spark):
+def test_einsum_orders_agree(spark):
     _, df = _matrices(spark)
     a = df.select(F.col("n").alias("m"), F.posexplode("a").alias("i", "r")).select("m", "i", F.posexplode("r").alias("j", "v"))
     b = a.select("m", F.col("i").alias("j"), F.col("j").alias("k"), "v")
     one, two = ({tuple(r)[:3]: round(r["v"], 9) for r in linalg.einsum("mij,mjk->mik", a, b, order=o).collect()} for o in ("greedy", "left"))
     assert one == two and len(one) == 1 + 9 + 36
-    with pytest.raises(ValueError):
-        linalg.einsum("ij,kl->ik", a.drop("m"), a.select(F.col("i").alias("k"), F.col("j").alias("l"), "v"))
 
 
 def test_distance_norms(spark):
@@ -164,10 +163,11 @@ def test_write_and_read_back(spark, tmp_path):
         writer.write(a, out, kind)
         with pytest.raises(Exception, match="already exists|PATH_ALREADY_EXISTS"):
             writer.write(a, out, kind)
-        folder = out if kind == "xyz" else out + "/*"
-        back = reader.as_atoms(reader.read(spark, folder, kind))
+        back = reader.as_atoms(reader.read(spark, out, kind))
         old, new = (sorted((r["z"], round(r["x"], 8), round(r["y"], 8), round(r["pz"], 8)) for r in d.collect()) for d in (a, back))
         assert old == new
+    writer.write(a, str(tmp_path / "files"), "turbomole", files=True)
+    assert sorted(p.name for p in (tmp_path / "files").glob("sys_id=*")) == ["sys_id=0", "sys_id=1"]
     with pytest.raises(NotImplementedError):
         writer.write(a, str(tmp_path / "q"), "qm9")
     with pytest.raises(ValueError):
@@ -183,8 +183,15 @@ def test_permissive_and_dotfiles(spark, tmp_path):
     assert rows.filter("error IS NOT NULL").count() == 1 and rows.filter("symbol = 'He'").count() == 1
     with pytest.raises(Exception, match="FormatErrorXYZ|XYZ frame"):
         reader.read(spark, str(tmp_path / "b")).collect()
-    charged = reader.dotfiles(rows.select("path").distinct(), spark, f"file://{tmp_path}")
+    charged = reader.dotfiles(rows.select("path").distinct())
     assert sorted(r["charge"] for r in charged.collect()) == [0, 2]
+    (tmp_path / "a/.UHF").write_text("1\n")
+    mol = Mol.from_path(spark, str(tmp_path / "a"))
+    assert [tuple(r)[1:] for r in mol.charge().collect()] == [(2, 1)]
+    assert [tuple(r) for r in Mol(samples.atoms(spark, "H2")).charge().collect()] == [(0, 0, 0)]
+    (tmp_path / "a/.CHRG").write_text("two\n")
+    with pytest.raises(Exception, match="no whole number"):
+        reader.dotfiles(rows.select("path").distinct()).collect()
 
 
 def test_streaming_ingest(spark, tmp_path):
@@ -212,3 +219,83 @@ def test_symbols(spark):
         spark.sql("SELECT 'Qq' AS s").select(elements.number(F.col("s"))).collect()
     assert elements.frame(spark).count() == 119
     assert samples.merged({"a": {"x": 1}}, {"a": {"y": 2}, "b": {}}) == {"a": {"x": 1, "y": 2}}
+
+
+def test_einsum_of_repeated_letters_and_outer_products(spark):
+    a = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (1, 0, 1.0), (1, 1, 2.0)], "i int, i_2 int, v double")
+    assert linalg.einsum("ii->", a).first()["v"] == 3.0
+    assert {r["i"]: r["v"] for r in linalg.einsum("ii->i", a).collect()} == {0: 1.0, 1: 2.0}
+    x, y = (spark.createDataFrame([(0, 2.0), (1, 3.0)], f"{c} int, v double") for c in "ij")
+    assert sorted(tuple(r) for r in linalg.einsum("i,j->ij", x, y).collect()) == [(0, 0, 4.0), (0, 1, 6.0), (1, 0, 6.0), (1, 1, 9.0)]
+    with pytest.raises(ValueError):
+        linalg.einsum("i->k", x)
+
+
+def test_eigenproblems_with_padding_and_nulls(spark):
+    a = [[2.0, 1.0, 0.0], [1.0, 2.0, 0.0], [0.0, 0.0, 0.0]]
+    b = [[2.0, 0.0, 0.0], [0.0, 2.0, 0.0], [0.0, 0.0, 0.0]]
+    df = spark.createDataFrame([(1, a, b), (2, None, b), (3, [], [])], "m int, a array<array<double>>, b array<array<double>>")
+    got = {r["m"]: r["e"] for r in df.select("m", linalg.eigh_padded("a").alias("e")).collect()}
+    assert got[1]["w"] == pytest.approx([1, 3, 0]) and [r[2] for r in got[1]["v"]] == [0, 0, 1] and got[2]["w"] is None and got[3]["w"] == []
+    for scheme in ("chol", "lowd"):
+        got = {r["m"]: r["e"] for r in df.select("m", linalg.eigh_general(scheme)("a", "b").alias("e")).collect()}
+        assert got[1]["w"] == pytest.approx([0.5, 1.5, 0]) and got[2]["w"] is None and got[3]["w"] == []
+        with pytest.raises(Exception, match="ositive definite|LinAlgError|divide|inf"):
+            assert df.filter("m = 1").select(linalg.eigh_general(scheme, is_posdef=True)("a", "b").alias("e")).first()["e"]["w"] == "never"
+
+
+def test_nested_batches(spark):
+    one, two = [[1.0, 0.0], [0.0, 0.0]], [[1.0, 2.0, 3.0]]
+    df = spark.createDataFrame([(0, one), (1, two)], "sys_id long, a array<array<double>>")
+    packed = batch.pack_nd(df, "a", 2, pad=-1.0)
+    assert {r["sys_id"]: r["packed"] for r in packed.collect()} == {0: [[1, 0, -1], [0, 0, -1]], 1: [[1, 2, 3], [-1, -1, -1]]}
+    for axis, want in ((None, [[1.0]]), (0, [[1.0], [0.0]]), (1, [[1.0, 0.0]]), (-1, [[1.0, 0.0]])):
+        assert df.filter("sys_id = 0").select(batch.deflate_nd(F.col("a"), 2, axis=axis).alias("d")).first()["d"] == want
+    cube = spark.createDataFrame([([one, one, [[0.0, 0.0], [0.0, 0.0]]],)], "a array<array<array<double>>>")
+    assert cube.select(batch.deflate_nd(F.col("a"), 3).alias("d")).first()["d"] == [[[1.0]], [[1.0]]]
+    with pytest.raises(ValueError):
+        batch.deflate_nd(F.col("a"), 1, axis=0)
+    p, q = (spark.createDataFrame(rows, "sys_id long, packed array<double>") for rows in ([(0, [1.0, 2.0]), (1, [3.0, 0.0])], [(0, [5.0])]))
+    assert {r["sys_id"]: r["packed"] for r in batch.merge_packed(p, q, pad=9.0, axis=1).collect()} == {0: [1, 2, 5], 1: [3, 0, 9]}
+    assert {r["sys_id"]: r["packed"] for r in batch.merge_packed(p, q, pad=9.0).collect()} == {0: [1, 2], 1: [3, 0], 2: [5, 9]}
+    assert {r["at"]: r["packed"] for r in batch.last_axis(p).collect()} == {0: [1, 3], 1: [2, 0]}
+
+
+def test_symmetrize_sparse_lists(spark):
+    coo = spark.createDataFrame([(0, 0, 1, 4.0), (0, 1, 1, 2.0)], "m int, i int, j int, v double")
+    assert sorted(tuple(r) for r in batch.symmetrize(coo, force=True).collect()) == [(0, 0, 1, 2.0), (0, 1, 0, 2.0), (0, 1, 1, 2.0)]
+    with pytest.raises(Exception, match="not symmetric"):
+        batch.symmetrize(coo).collect()
+
+
+def test_grid_and_self_join_agree(spark):
+    """By default large systems take the grid; all pair operators give the same either way."""
+    a = samples.atoms(spark, "cube", "H2O", "H", more={"cube": samples.lattice(5)})
+    from atomweft.operators import geometry
+
+    near = lambda grid: {(r["sys_id"], r["i"], r["j"]): round(r["d"], 9) for r in pairs.near(a, 6.0, grid=grid).collect()}
+    assert near(True) == near(False) and not pairs.needs_grid(a)
+    for f in (lambda g: nc.cn_d3_gradient(a, cutoff=6.0, grid=g), lambda g: geometry.nuclear_repulsion(a, 6.0, grid=g), lambda g: nc.coordination_number(a, cutoff=6.0, grid=g)):
+        rows = [Counter(tuple(round(x, 6) + 0.0 if isinstance(x, float) else x for x in r) for r in f(g).collect()) for g in (True, False)]
+        assert rows[0] == rows[1]
+
+
+def test_linear_systems(spark):
+    line = [(6, 0.3 * n, 0.1 * n, -0.7 * n) for n in range(40)]
+    made = {"line": line, "bent": [*line, (6, 5.0, 5.0, 5.0)], "two": line[:2], "twice": [line[0], line[0], line[1]], "ghost": [*line[:3], (0, 9.0, 1.0, 2.0)]}
+    from atomweft.operators import geometry
+
+    got = {r["sys_id"]: r["is_linear"] for r in geometry.is_linear(samples.atoms(spark, *made, more=made), atol=1e-4).collect()}
+    assert got == {0: True, 1: False, 2: True, 3: False, 4: True}
+
+
+def test_versions(spark):
+    df = spark.createDataFrame([("2.8.0a0+git7482eb2",), ("1.2.3-rc1",), (None,)], "s string").select(versions.version_tuple(F.col("s")).alias("v"))
+    assert [r["v"] for r in df.collect()] == [[2, 8, 0], [1, 2, 3], None]
+    with pytest.raises(Exception, match="MAJOR.MINOR.PATCH"):
+        spark.sql("SELECT '1.2' AS s").select(versions.version_tuple(F.col("s"))).collect()
+
+
+def test_samples_from_files(spark, tmp_path):
+    (tmp_path / "water.xyz").write_text("3\n\nO 0 0 0.1\nH 0 0 0.9\nH 0 0.9 0\n")
+    assert {(r["name"], r["symbol"]) for r in samples.from_files(spark, str(tmp_path)).collect()} == {("water", "O"), ("water", "H")}
