@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -14,9 +15,34 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
+_SCRATCH: list[str] = []
+
+
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path below spark.checkpoint.dir, which driver and executors share."""
-    return f"{shared_base(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder below spark.checkpoint.dir, which driver and executors share; it goes when the session's JVM ends, or by release()."""
+    path = f"{shared_base(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
+    fs, target = _file(spark, path)
+    fs.mkdirs(target)
+    fs.deleteOnExit(target)
+    _SCRATCH.append(path)
+    return path
+
+
+def scratch_now() -> int:
+    """A mark for release()."""
+    return len(_SCRATCH)
+
+
+def release(spark: SparkSession, mark: int) -> None:
+    """Delete the scratch folders made since the mark; what reads them must have been written."""
+    for path in _SCRATCH[mark:]:
+        remove(spark, path)
+    del _SCRATCH[mark:]
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -44,9 +70,14 @@ def materialise(df: DataFrame, path: str) -> DataFrame:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through the Hadoop API, whatever store it is on."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    fs, target = _file(spark, path)
+    fs.delete(target, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Collect garbage, so that Spark deletes the shuffle files of tables that have been written and dropped."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

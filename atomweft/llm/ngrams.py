@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import io
 import zlib
+from functools import cached_property
 from itertools import repeat
 
 import numpy as np
@@ -107,6 +108,16 @@ def _unnumbers(b: bytes, n: int, count: int) -> list[np.ndarray]:
     return out
 
 
+def _steps(at: np.ndarray) -> np.ndarray:
+    """Ascending places, -1 for none, as steps from the one before; 0 for none."""
+    top = np.maximum.accumulate(at + 1)
+    return np.where(at >= 0, top - np.concatenate([[0], top[:-1]]), 0)
+
+
+def _places(steps: np.ndarray) -> np.ndarray:
+    return np.where(steps > 0, np.cumsum(steps) - 1, -1)
+
+
 def blob(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending keys and their counts; a few keys go as they are."""
     if len(keys) < 64:
@@ -157,9 +168,13 @@ class Words:
     def encode(keys: np.ndarray, counts: np.ndarray) -> bytes:
         return EliasFano.encode(keys).to_bytes() + counts.astype("<u8").tobytes()
 
+    @cached_property
+    def known(self) -> np.ndarray:
+        return self.keys.decode()
+
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places (-1: none) and counts of many keys."""
-        known = self.keys.decode()
+        known = self.known
         if not len(known):
             return np.full(len(keys), -1), np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
@@ -192,11 +207,16 @@ class Level:
         parts = [EliasFano.encode(x).to_bytes() for x in (pointers, vocabulary, rank + base[context])]
         return b"".join([*parts, quantise(np.maximum(counts - discount, 0) / totals[context]).tobytes(), quantise(discount * seen / totals).tobytes()])
 
+    @cached_property
+    def decoded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For many look-ups in one shard: values, vocabulary and pointers."""
+        return self.values.decode(), self.vocabulary.decode(), self.pointers.decode()
+
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places (-1: unseen), probability codes and back-off codes of many (context, word): successor search in each context's range."""
         if not len(self.values):
             return np.full(len(word), -1), np.full(len(word), ZERO), self.backoff[context]
-        values, vocabulary, pointers = self.values.decode(), self.vocabulary.decode(), self.pointers.decode()
+        values, vocabulary, pointers = self.decoded
         lo, hi = pointers[context], pointers[context + 1]
         rank = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
         target = rank + np.where(lo > 0, values[np.maximum(lo, 1) - 1], 0)
@@ -263,9 +283,6 @@ class Model:
     def path(self, level: int, file: int) -> str:
         return f"{self.folder}/level-{level}-{file:07d}.bin"
 
-    def chunk_path(self, folder: str, chunk: int, part: str = "tokens") -> str:
-        return f"{folder}/{part}-{chunk}.npz"
-
     def unigram(self, counts):
         return (counts + 0.5) / (self.total + 0.5 * (self.words + 1))
 
@@ -330,8 +347,9 @@ def cut(docs: DataFrame, folder: str, chunk_tokens: int) -> DataFrame:
             keys, place = np.unique(np.fromiter(map(word_key, local), np.int64, len(local)), return_inverse=True)
             chunk, width = part << 24 | seq, max(1, (len(keys) - 1).bit_length())
             sizes, known = np.array(size), np.array([d is not None for d in doc])
+            store.write_atomic(f"{folder}/keys/{chunk}.bin", EliasFano.encode(keys).to_bytes())
             _save(
-                f"{folder}/tokens-{chunk}.npz", keys=keys, index=_pack(place[np.concatenate(index)].astype(np.uint64), width), width=np.array(width), size=sizes,
+                f"{folder}/tokens/{chunk}.npz", words=np.array(len(keys)), index=_pack(place[np.concatenate(index)].astype(np.uint64), width), width=np.array(width), size=sizes,
                 doc=np.array([d or 0 for d in doc], np.int64), known=known, train=np.array(train, bool),
             )
             mine = np.array(train, bool)
@@ -361,25 +379,30 @@ class Chunk:
     """The tokens of a chunk: local words (their keys ascend), and after the first level's answers their ids and counts."""
 
     def __init__(self, folder: str, chunk: int):
-        z = _load(f"{folder}/tokens-{chunk}.npz")
-        self.folder, self.chunk, self.keys, self.size, self.train = folder, chunk, z["keys"], z["size"], z["train"]
+        z = _load(f"{folder}/tokens/{chunk}.npz")
+        self.folder, self.chunk, self.words, self.size, self.train = folder, chunk, int(z["words"]), z["size"], z["train"]
         self.doc = [int(d) if k else None for d, k in zip(z["doc"], z["known"])]
         self.index = _unpack(z["index"], np.arange(int(self.size.sum())), int(z["width"])).astype(np.int64)
         self.starts = np.cumsum(self.size) - self.size
         self.trained = np.repeat(self.train, self.size)
 
-    def named(self, words: int) -> None:
+    def keys(self) -> np.ndarray:
+        return EliasFano.from_buffer(store.mapped(f"{self.folder}/keys/{self.chunk}.bin"))[0].decode()
+
+    def named(self, model: Model, answers: list) -> None:
         """ids and counts of the local words; a last one stands for all unknown words, one more for the begin of a text."""
-        z = _load(f"{self.folder}/words-{self.chunk}.npz")
-        n = len(self.keys)
-        self.ids, self.counts = np.concatenate([z["ids"], [words, words]]), z["counts"]
-        self.word = np.where(z["ids"][self.index] >= 0, self.index, n)
+        n, words = self.words, model.words
+        files = np.repeat([f for f, _, _ in answers], [k for _, k, _ in answers]).astype(np.int64)
+        at, self.counts = _answered(answers, files, 2, True)
+        ids = np.where(at >= 0, at + model.bases[0][files], -1)
+        self.ids = np.concatenate([ids, [words, words]])
+        self.word = np.where(ids[self.index] >= 0, self.index, n)
         self.before = np.concatenate([[n + 1], self.word[:-1]])
         self.before[self.starts] = n + 1
 
     def pairs(self) -> None:
         """Distinct (context, word) of local words with a known context; `pair` has each token's, -1 without one."""
-        m = len(self.keys) + 2
+        m = self.words + 2
         ask = np.flatnonzero(self.before != m - 2)
         found, back = np.unique(self.before[ask] * m + self.word[ask], return_inverse=True)
         self.pair = np.full(len(self.word), -1)
@@ -387,9 +410,16 @@ class Chunk:
         self.pair_context, self.pair_word = self.ids[found // m], self.ids[found % m]
         self.pair_count = np.bincount(back[self.trained[ask]], minlength=len(found))
 
+    def paired(self, model: Model, answers: list) -> None:
+        """Take up level two's answers: codes of the pairs, and their triples."""
+        files, _ = model.layouts[0].place(self.pair_context, self.pair_word)
+        at, alpha, beta = _answered(answers, files, 3, True)
+        self.pair_codes = alpha, _spread(model, 2, self.pair_context, beta)
+        self.triples(np.where(at >= 0, at + model.bases[1][files], -1))
+
     def triples(self, entry: np.ndarray) -> None:
         """Distinct (pair, word) whose pair has an entry of level two; `triple` has each token's, -1 without one."""
-        m = len(self.keys) + 2
+        m = self.words + 2
         before = np.concatenate([[-1], self.pair[:-1]])
         before[self.starts] = -1
         ask = np.flatnonzero(before >= 0)
@@ -401,12 +431,18 @@ class Chunk:
         self.triple_count = np.bincount(back[self.trained[ask]], minlength=len(found))
 
 
-def _answered(pdf: pd.DataFrame, files: np.ndarray, count: int) -> list[np.ndarray]:
-    """Numbers of a chunk's answers in the order in which its keys went out to `files`."""
-    order = np.argsort(files, kind="stable")
-    sizes = dict(zip(*[x.tolist() for x in np.unique(files, return_counts=True)])) if len(files) else {}
+def _rows_of(pdf: pd.DataFrame) -> list[tuple[int, int, bytes]]:
+    """(file, number of keys, answer) of a chunk's answers, by file."""
     got = pdf[pdf["file"] >= 0].sort_values("file")
-    parts = [_unnumbers(a, sizes[f], count) for f, a in zip(got["file"], got["a"])]
+    return list(zip(got["file"].tolist(), got["n"].tolist(), got["a"].tolist()))
+
+
+def _answered(rows: list, files: np.ndarray, count: int, places: bool) -> list[np.ndarray]:
+    """Numbers of answers in the order in which the keys went out to `files`; with `places` the first are steps."""
+    order = np.argsort(files, kind="stable")
+    parts = [_unnumbers(a, n, count) for _, n, a in rows]
+    if places:
+        parts = [[_places(p[0]), *p[1:]] for p in parts]
     out = [np.zeros(len(files), np.int64) for _ in range(count)]
     for k in range(count):
         if parts:
@@ -414,6 +450,18 @@ def _answered(pdf: pd.DataFrame, files: np.ndarray, count: int) -> list[np.ndarr
     return out
 
 
+def _put(uri: str, rows: list) -> None:
+    """Keep answers as they came."""
+    store.write_atomic(uri, np.array([[f, n, len(a)] for f, n, a in rows], "<i8").reshape(-1, 3).tobytes(), *[a for *_, a in rows], np.array([len(rows)], "<i8").tobytes())
+
+
+def _get(uri: str) -> list:
+    buf = bytes(store.mapped(uri))
+    heads = np.frombuffer(buf, "<i8", 3 * int(np.frombuffer(buf[-8:], "<i8")[0])).reshape(-1, 3)
+    ends = heads.nbytes + np.cumsum(heads[:, 2])
+    return [(int(f), int(n), buf[e - size : e]) for (f, n, size), e in zip(heads.tolist(), ends.tolist())]
+
+
 def _spread(model: Model, level: int, contexts: np.ndarray, beta: np.ndarray) -> np.ndarray:
     """Back-off codes with those of spread contexts put in."""
     for h, code in model.backoff[level - 2].items():
@@ -443,14 +491,14 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
     if built:
         model = Model(folder, max(0, size // shard_bytes).bit_length(), total, discount)
     bits, share = model.bits, model.share
-    stub = chunks.select("chunk", F.lit(-1).alias("file"), F.lit(b"").alias("a"))
+    stub = chunks.select("chunk", F.lit(-1).alias("file"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("a"))
 
     def words_out(batches):
         for batch in batches:
             for c in batch.column(0).to_pylist():
                 it = Chunk(folder, c)
-                counts = np.bincount(it.index[it.trained], minlength=len(it.keys))
-                yield pa.RecordBatch.from_pandas(blobs(c, it.keys >> (63 - bits), it.keys, counts), preserve_index=False)
+                keys, counts = it.keys(), np.bincount(it.index[it.trained], minlength=it.words)
+                yield pa.RecordBatch.from_pandas(blobs(c, keys >> (63 - bits), keys, counts), preserve_index=False)
 
     def word_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         f = int(pdf["file"].iloc[0])
@@ -461,7 +509,7 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
         rows = [(-1, f, len(keys), _packed(hot, counts[hot]))]
         for c, k in zip(pdf["chunk"], asked):
             at, n = level.find(k)
-            rows.append((c, f, len(k), _numbers(at + 1, n)))
+            rows.append((c, f, len(k), _numbers(_steps(at), n)))
         return pd.DataFrame(rows, columns=["chunk", "file", "n", "a"])
 
     def ended(answers: DataFrame, level: int, files: int) -> dict[int, int]:
@@ -479,7 +527,7 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
         return heavy
 
     def by_chunk(answers: DataFrame) -> DataFrame:
-        return answers.filter("chunk >= 0").select("chunk", "file", "a").unionByName(stub).repartition(_tasks(n_chunks), "chunk").groupBy("chunk")
+        return answers.filter("chunk >= 0").select("chunk", "file", "n", "a").unionByName(stub).repartition(_tasks(n_chunks), "chunk").groupBy("chunk")
 
     def by_file(sent: DataFrame, files: int) -> DataFrame:
         return sent.repartition(_tasks(files), "file").groupBy("file")
@@ -498,29 +546,24 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
             for c, k in zip(pdf["chunk"], asked):
                 contexts, context, word, _ = layout.split(f, k)
                 at, alpha, beta = table.find(context, word) if have else (np.full(len(k), -1), np.full(len(k), ZERO), np.full(len(k), ZERO))
-                rows.append((c, f, len(k), _numbers(at + 1, alpha, beta) if level == 2 else _numbers(alpha, beta)))
+                rows.append((c, f, len(k), _numbers(_steps(at), alpha, beta) if level == 2 else _numbers(alpha, beta)))
             return pd.DataFrame(rows, columns=["chunk", "file", "n", "a"])
 
         return run
 
     def pairs_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        it = Chunk(folder, int(pdf["chunk"].iloc[0]))
-        files = it.keys >> (63 - bits)
-        at, counts = _answered(pdf, files, 2)
-        _save(f"{folder}/words-{it.chunk}.npz", ids=np.where(at > 0, at - 1 + made.bases[0][files], -1), counts=counts)
-        it.named(made.words)
+        it, rows = Chunk(folder, int(pdf["chunk"].iloc[0])), _rows_of(pdf)
+        _put(f"{folder}/words/{it.chunk}.bin", rows)
+        it.named(made, rows)
         it.pairs()
         return blobs(it.chunk, *made.layouts[0].place(it.pair_context, it.pair_word), it.pair_count)
 
     def triples_out(pdf: pd.DataFrame) -> pd.DataFrame:
-        it = Chunk(folder, int(pdf["chunk"].iloc[0]))
-        it.named(made.words)
+        it, rows = Chunk(folder, int(pdf["chunk"].iloc[0])), _rows_of(pdf)
+        _put(f"{folder}/pairs/{it.chunk}.bin", rows)
+        it.named(made, _get(f"{folder}/words/{it.chunk}.bin"))
         it.pairs()
-        files, _ = made.layouts[0].place(it.pair_context, it.pair_word)
-        at, alpha, beta = _answered(pdf, files, 3)
-        entry, beta = np.where(at > 0, at - 1 + made.bases[1][files], -1), _spread(made, 2, it.pair_context, beta)
-        it.triples(entry)
-        _save(f"{folder}/pairs-{it.chunk}.npz", codes=np.frombuffer(_numbers(entry + 1, alpha, beta), np.uint8), n=np.array(len(entry)))
+        it.paired(made, rows)
         return blobs(it.chunk, *made.layouts[1].place(it.triple_context, it.triple_word), it.triple_count)
 
     files, made = 1 << bits, model
@@ -534,9 +577,10 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
                 heavy[model.words] = n_docs
             model.layouts.append(Layout(model.bases[level - 2], model.words + 1, heavy, share))
         files = model.layouts[level - 2].files
-        previous, answers = answers, common.materialise(by_file(by_chunk(answers).applyInPandas(out, BLOBS), files).applyInPandas(level_shard(level), ANSWERS), f"{folder}/answers-{level}")
-        del previous
-        common.remove(spark, f"{folder}/answers-{level - 1}")
+        answers = common.materialise(by_file(by_chunk(answers).applyInPandas(out, BLOBS), files).applyInPandas(level_shard(level), ANSWERS), f"{folder}/answers-{level}")
+        for path in (f"answers-{level - 1}", *["keys"] * (level == 2)):
+            common.remove(spark, f"{folder}/{path}")
+        common.let_go(spark)
     ended(answers, 3, files)
     return model, by_chunk(answers)
 
@@ -563,16 +607,14 @@ def score(docs: DataFrame, model: Model, folder: str, chunk_tokens: int = CHUNK_
 def _scored(model: Model, answers, folder: str) -> tuple[Model, DataFrame]:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         it = Chunk(folder, int(pdf["chunk"].iloc[0]))
-        it.named(model.words)
+        it.named(model, _get(f"{folder}/words/{it.chunk}.bin"))
         it.pairs()
-        z = _load(f"{folder}/pairs-{it.chunk}.npz")
-        entry, *codes2 = _unnumbers(z["codes"].tobytes(), int(z["n"]), 3)
-        it.triples(entry - 1)
-        alpha, beta = _answered(pdf, model.layouts[1].place(it.triple_context, it.triple_word)[0], 2)
+        it.paired(model, _get(f"{folder}/pairs/{it.chunk}.bin"))
+        alpha, beta = _answered(_rows_of(pdf), model.layouts[1].place(it.triple_context, it.triple_word)[0], 2, False)
         codes3 = alpha, _spread(model, 3, it.triple_context, beta)
         p = model.unigram(it.counts)[it.index]
         base = np.log10(p)
-        for which, (alpha, beta) in ((it.pair, codes2), (it.triple, codes3)):
+        for which, (alpha, beta) in ((it.pair, it.pair_codes), (it.triple, codes3)):
             ask = np.flatnonzero(which >= 0)
             a, b = VALUES[alpha[which[ask]]], VALUES[beta[which[ask]]]
             p[ask] = a + np.where(b > 0, b, 1.0) * p[ask]

@@ -42,6 +42,8 @@ GROUP = 131_072
 PROBE = 64
 BLOCKS = ((0, 31, 1), (31, 33, 2))  # first bit, bits, threshold; the thresholds, each plus one, add up to DISTANCE + 1
 HAMMING = 31
+SPREAD = 16_384  #: fingerprints a task of those that are replicated
+MOST_TASKS = 65_536
 TASK_ROWS = 400_000  #: gathered before they are compared
 CELLS = 4_000_000  #: comparisons made at once
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -178,7 +180,7 @@ def forest(fp: np.ndarray, group: np.ndarray, home: np.ndarray, distance: int) -
 def links(distinct: DataFrame, distance: int = DISTANCE, group: int = GROUP, probe: int = PROBE) -> DataFrame:
     """Links (u, v) whose components are those of all links between distinct fingerprints."""
     spark = distinct.sparkSession
-    met = replicate(distinct, distance)
+    met = replicate(distinct.repartition(max(1, min(MOST_TASKS, distinct.count() // SPREAD)), "fp"), distance)
     some = replicate(distinct.filter(F.pmod(F.xxhash64("fp", F.lit("probe")), F.lit(probe)) == 0), distance)
     sized = some.groupBy("anchor").agg((F.count("*") * probe).alias("n")).filter(F.col("n") > max(probe, group // 2))
     hot = common.materialise(sized, common.shared_dir(spark, "anchors"))
