@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..functions.elements import lookup
-from .pairs import pairs
+from .pairs import near, pairs, real_atoms
 
 
 class Node:
@@ -147,32 +147,102 @@ def central(df: DataFrame, function: Callable[[DataFrame], DataFrame], column: s
     return up.join(down, on).select(*on, ((F.col("__up") - F.col("__down")) / F.lit(2 * step)).alias(value))
 
 
-def _distance() -> Node:
+def shifted(n: Node, name: str, by: float) -> Node:
+    """The expression with a variable moved by a constant."""
+    if isinstance(n, Var):
+        return n + by if n.name == name else n
+    if isinstance(n, (Add, Mul)):
+        return type(n)(shifted(n.a, name, by), shifted(n.b, name, by))
+    if isinstance(n, Pow):
+        return Pow(shifted(n.a, name, by), n.e)
+    if isinstance(n, Call):
+        return Call(n.name, shifted(n.a, name, by))
+    if isinstance(n, When):
+        return When(n.condition, shifted(n.a, name, by), shifted(n.b, name, by))
+    return n
+
+
+AXES = {"dx": "x", "dy": "y", "dz": "z"}
+
+
+def distance() -> Node:
+    """Of a pair, from dx, dy and dz."""
     return Pow(Var("dx") * Var("dx") + Var("dy") * Var("dy") + Var("dz") * Var("dz"), 0.5)
 
 
-def cn_d3_jacobian(atoms: DataFrame, cutoff: float = k.CUTOFF_D3) -> DataFrame:
-    """sys_id, i, j, gx, gy, gz: d CN_i / d R_j for all pairs, the self term i = j included."""
-    count = 1.0 / (1.0 + Call("exp", Const(-k.KCN_D3) * (Var("r0") / _distance() - 1.0)))
-    both = pairs(atoms.withColumn("r", lookup("r_cov", F.col("z"))), diagonal=True, carried=("r",)).withColumn("r0", F.col("r_i") + F.col("r_j"))
-    gate = (F.col("i") != F.col("j")) & (F.col("d") <= cutoff)
-    grads = {g: F.when(gate, count.diff(v).column()).otherwise(F.lit(0.0)) for v, g in (("dx", "gx"), ("dy", "gy"), ("dz", "gz"))}
-    pair = both.select("sys_id", "i", "j", *[c.alias(g) for g, c in grads.items()])
-    own = pair.groupBy("sys_id", "i").agg(*[(-F.sum(g)).alias(g) for g in grads]).withColumn("j", F.col("i"))
-    return pair.filter("i <> j").unionByName(own)
+def exp_count(r0: Node, kcn: float = k.KCN_D3) -> Node:
+    return 1.0 / (1.0 + Call("exp", Const(-kcn) * (r0 / distance() - 1.0)))
 
 
-def enn_hessian(atoms: DataFrame) -> DataFrame:
-    """sys_id, i, j and the nine second derivatives of the nuclear repulsion by R_i and R_j."""
-    names = ["dx", "dy", "dz"]
-    term = Var("zz") / _distance()
-    second = {f"h{a[1]}{b[1]}": term.diff(a).diff(b).column() for a in names for b in names}
-    both = pairs(atoms).withColumn("zz", (F.col("zi") * F.col("zj")).cast("double"))
+def erf_count(r0: Node, kcn: float = k.KCN_D4) -> Node:
+    return 0.5 * (1.0 + Call("erf", Const(-kcn) * (distance() / r0 - 1.0)))
+
+
+def _met(atoms: DataFrame, cutoff: float | None, carried: tuple[str, ...]) -> DataFrame:
+    return pairs(atoms, carried=carried) if cutoff is None else near(atoms, cutoff, carried)
+
+
+def _apart(n: Node) -> Column:
+    """Of different atoms only: filters may be pushed below the one that leaves out the diagonal."""
+    return F.when(F.col("i") != F.col("j"), n.column()).otherwise(F.lit(0.0))
+
+
+def pair_jacobian(atoms: DataFrame, term: Node, cutoff: float | None = None, carried: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """sys_id, i, j, gx, gy, gz: d / d R_j of the sum over j of term(pair), for each atom i, the self term i = j included.
+
+    `term` is in dx, dy, dz and any columns of a pair, also those named here. Pairs beyond the
+    cutoff are zero and left out.
+    """
+    both = _met(atoms, cutoff, carried).withColumns(columns)
+    pair = both.select("sys_id", "i", "j", *[_apart(term.diff(v)).alias(f"g{a}") for v, a in AXES.items()])
+    zero = real_atoms(atoms).select("sys_id", F.col("atom_idx").alias("i"), *[F.lit(0.0).alias(f"g{a}") for a in AXES.values()])
+    own = pair.select("sys_id", "i", *[(-F.col(f"g{a}")).alias(f"g{a}") for a in AXES.values()]).unionByName(zero)
+    own = own.groupBy("sys_id", "i").agg(*[F.sum(f"g{a}").alias(f"g{a}") for a in AXES.values()]).withColumn("j", F.col("i"))
+    return pair.unionByName(own)
+
+
+def pair_hessian(atoms: DataFrame, term: Node, cutoff: float | None = None, carried: tuple[str, ...] = (), **columns: Column) -> DataFrame:
+    """sys_id, i, j and the nine second derivatives by R_i and R_j of half the sum of term(pair), which must be the same for (i, j) and (j, i)."""
+    second = {f"h{AXES[a]}{AXES[b]}": _apart(term.diff(a).diff(b)) for a in AXES for b in AXES}
+    both = _met(atoms, cutoff, carried).withColumns(columns)
     blocks = both.select("sys_id", "i", "j", *[c.alias(n) for n, c in second.items()])
     off = blocks.select("sys_id", "i", "j", *[(-F.col(n)).alias(n) for n in second])
     return off.unionByName(blocks.groupBy("sys_id", "i").agg(*[F.sum(n).alias(n) for n in second]).withColumn("j", F.col("i")))
 
 
+def gradcheck(both: DataFrame, term: Node, step: float = 1e-6) -> DataFrame:
+    """sys_id, max_error: first derivatives of a pair's term against central differences."""
+    errors = [(shifted(term, a, step) - shifted(term, a, -step)).column() / F.lit(2 * step) - term.diff(a).column() for a in AXES]
+    return both.groupBy("sys_id").agg(F.max(F.greatest(*[F.abs(e) for e in errors])).alias("max_error"))
+
+
+def gradgradcheck(both: DataFrame, term: Node, step: float = 1e-5) -> DataFrame:
+    """sys_id, max_error: second derivatives of a pair's term against central differences of the first, relative where they exceed one."""
+    first = {a: term.diff(a) for a in AXES}
+    errors = []
+    for a in AXES:
+        for b in AXES:
+            exact = first[a].diff(b).column()
+            numeric = (shifted(first[a], b, step) - shifted(first[a], b, -step)).column() / F.lit(2 * step)
+            errors.append(F.abs(numeric - exact) / F.greatest(F.abs(exact), F.lit(1.0)))
+    return both.groupBy("sys_id").agg(F.max(F.greatest(*errors)).alias("max_error"))
+
+
+def cn_d3_jacobian(atoms: DataFrame, cutoff: float | None = k.CUTOFF_D3) -> DataFrame:
+    """sys_id, i, j, gx, gy, gz: d CN_i / d R_j, the self term i = j included."""
+    return pair_jacobian(atoms.withColumn("r", lookup("r_cov", F.col("z"))), exp_count(Var("r0")), cutoff, ("r",), r0=F.col("r_i") + F.col("r_j"))
+
+
+def repulsion() -> Node:
+    """Zi Zj / d of a pair with `zz`."""
+    return Var("zz") / distance()
+
+
+def enn_hessian(atoms: DataFrame, cutoff: float | None = None) -> DataFrame:
+    """sys_id, i, j and the nine second derivatives of the nuclear repulsion by R_i and R_j."""
+    return pair_hessian(atoms, repulsion(), cutoff, zz=(F.col("zi") * F.col("zj")).cast("double"))
+
+
 def gradcheck_cn_d3(atoms: DataFrame, step: float = 1e-6, cutoff: float = k.CUTOFF_D3) -> DataFrame:
     """sys_id, max_error: analytic pair derivatives against central differences of the counting function."""
     both = pairs(atoms.withColumn("r", lookup("r_cov", F.col("z"))), carried=("r",)).filter(F.col("d") <= cutoff).withColumn("r0", F.col("r_i") + F.col("r_j"))

@@ -112,6 +112,9 @@ _SCAN = f"WITH {A} SELECT sys_id, CAST(0 AS INTEGER) AS frame, atom_idx, z, {r('
 _F = "(CASE WHEN i <> j AND d <= 25e0 THEN " + dexp_count("d", "r0", 16.0) + " / d ELSE 0e0 END)"
 
 
+_G = "(CASE WHEN i <> j AND d <= 25e0 THEN -7.5e0 / sqrt(pi()) / r0 * exp(-56.25e0 * (d - r0) * (d - r0) / (r0 * r0)) / d ELSE 0e0 END)"
+
+
 def _two() -> str:
     """CTE t(m, a, b, c): symmetric 2 x 2 matrices."""
     return f"{_m(2)}, t AS (SELECT m, max(CASE WHEN i = 0 AND j = 0 THEN v END) AS a, max(CASE WHEN i = 0 AND j = 1 THEN v END) AS b, max(CASE WHEN i = 1 AND j = 1 THEN v END) AS c FROM s GROUP BY 1)"
@@ -233,6 +236,8 @@ def queries() -> dict[str, str]:
         "scan_tblite_engrad": f"WITH {A} SELECT sys_id, atom_idx, {r('x')} AS energy, {r('x')} AS gx, {r('y')} AS gy, {r('pz')} AS gz FROM a",
         "la_eig_sort_out": f"WITH {_m(8)}, d AS (SELECT m, i, CASE WHEN i % 3 = 1 THEN 0e0 ELSE v END AS w FROM m WHERE i = j) SELECT m, CAST(row_number() OVER (PARTITION BY m ORDER BY w = 0, i) - 1 AS INTEGER) AS n, {r('w')} AS w FROM d",
         "ad_cn_d3_jacobian": f"WITH {P}, g AS (SELECT sys_id, i, j, {_F} * dx AS gx, {_F} * dy AS gy, {_F} * dz AS gz FROM p), t AS (SELECT * FROM g WHERE i <> j UNION ALL SELECT sys_id, i, i, -sum(gx), -sum(gy), -sum(gz) FROM g GROUP BY 1, 2) SELECT sys_id, i, j, {r('gx')} AS gx, {r('gy')} AS gy, {r('gz')} AS gz FROM t",
+        "ad_erf_jacobian": f"WITH {P}, g AS (SELECT sys_id, i, j, {_G} * dx AS gx, {_G} * dy AS gy, {_G} * dz AS gz FROM p), t AS (SELECT * FROM g WHERE i <> j UNION ALL SELECT sys_id, i, i, -sum(gx), -sum(gy), -sum(gz) FROM g GROUP BY 1, 2) SELECT sys_id, i, j, {r('gx')} AS gx, {r('gy')} AS gy, {r('gz')} AS gz FROM t",
+        "ad_gradgradcheck_enn": f"WITH {P} SELECT sys_id, true AS ok FROM p WHERE i <> j AND d > 0.5e0 GROUP BY 1",
         "ad_gradcheck_cn_d3": f"WITH {A} SELECT sys_id, true AS ok FROM a GROUP BY 1 HAVING count(*) > 1",
         "scan_xyz_roundtrip": _SCAN, "scan_qm9": _SCAN, "scan_turbomole": _SCAN, "scan_qcschema": _SCAN,
         "sink_xyz_text": f"WITH {EL}, {A} SELECT sys_id, CAST(count(*) AS VARCHAR) || chr(10) || 'made by a query' || chr(10) || string_agg(rpad(symbol, 2, ' ') || ' ' || " + " || ' ' || ".join(f"printf('%12.6f', {c} * {num(units.AU2AA)})" for c in ("x", "y", "pz")) + ", chr(10) ORDER BY atom_idx) || chr(10) AS text FROM a JOIN el USING (z) GROUP BY 1",

@@ -565,6 +565,18 @@ def ad_gradcheck_cn_d3(spark, sf_dir):
     return autodiff.gradcheck_cn_d3(atoms(spark, sf_dir)).select("sys_id", (F.col("max_error") < 1e-6).alias("ok"))
 
 
+@query
+def ad_erf_jacobian(spark, sf_dir):
+    a = atoms(spark, sf_dir).withColumn("r", elements.lookup("r_cov", F.col("z")))
+    return tidy(autodiff.pair_jacobian(a, autodiff.erf_count(autodiff.Var("r0")), 25.0, ("r",), r0=F.col("r_i") + F.col("r_j")).select("sys_id", "i", "j", "gx", "gy", "gz"))
+
+
+@query
+def ad_gradgradcheck_enn(spark, sf_dir):
+    both = pairs.pairs(atoms(spark, sf_dir)).filter("d > 0.5").withColumn("zz", (F.col("zi") * F.col("zj")).cast("double"))
+    return autodiff.gradgradcheck(both, autodiff.repulsion()).select("sys_id", (F.col("max_error") < 1e-4).alias("ok"))
+
+
 # files --------------------------------------------------------------------------------------
 
 
