@@ -234,7 +234,7 @@ def queries() -> dict[str, str]:
         "scan_turbomole_energy": f"WITH {A} SELECT sys_id, {r('sum(x)')} AS energy FROM a GROUP BY 1",
         "scan_orca_engrad": f"WITH {A} SELECT sys_id, atom_idx, {r('sum(x) OVER (PARTITION BY sys_id)')} AS energy, {r('x')} AS gx, {r('y')} AS gy, {r('pz')} AS gz FROM a",
         "scan_tblite_engrad": f"WITH {A} SELECT sys_id, atom_idx, {r('x')} AS energy, {r('x')} AS gx, {r('y')} AS gy, {r('pz')} AS gz FROM a",
-        "la_eig_sort_out": f"WITH {_m(8)}, d AS (SELECT m, i, CASE WHEN i % 3 = 1 THEN 0e0 ELSE v END AS w FROM m WHERE i = j) SELECT m, CAST(row_number() OVER (PARTITION BY m ORDER BY w = 0, i) - 1 AS INTEGER) AS n, {r('w')} AS w FROM d",
+        "la_eig_sort_out": f"WITH {_m(8)}, d AS (SELECT m, i, CASE WHEN i % 3 = 1 THEN 0e0 ELSE v END AS w FROM m WHERE i = j) SELECT m, CAST(row_number() OVER (PARTITION BY m ORDER BY w = 0, i) - 1 AS INTEGER) AS n, {r('w')} AS w, CAST(i AS BIGINT) AS row FROM d",
         "ad_cn_d3_jacobian": f"WITH {P}, g AS (SELECT sys_id, i, j, {_F} * dx AS gx, {_F} * dy AS gy, {_F} * dz AS gz FROM p), t AS (SELECT * FROM g WHERE i <> j UNION ALL SELECT sys_id, i, i, -sum(gx), -sum(gy), -sum(gz) FROM g GROUP BY 1, 2) SELECT sys_id, i, j, {r('gx')} AS gx, {r('gy')} AS gy, {r('gz')} AS gz FROM t",
         "ad_erf_jacobian": f"WITH {P}, g AS (SELECT sys_id, i, j, {_G} * dx AS gx, {_G} * dy AS gy, {_G} * dz AS gz FROM p), t AS (SELECT * FROM g WHERE i <> j UNION ALL SELECT sys_id, i, i, -sum(gx), -sum(gy), -sum(gz) FROM g GROUP BY 1, 2) SELECT sys_id, i, j, {r('gx')} AS gx, {r('gy')} AS gy, {r('gz')} AS gz FROM t",
         "ad_gradgradcheck_enn": f"WITH {P} SELECT sys_id, true AS ok FROM p WHERE i <> j AND d > 0.5e0 GROUP BY 1",

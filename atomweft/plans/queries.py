@@ -539,11 +539,13 @@ def la_einsum_outer(spark, sf_dir):
 
 @query
 def la_eig_sort_out(spark, sf_dir):
-    """Diagonal matrices as their own eigenproblem; every third diagonal entry is a ghost."""
+    """Diagonal matrices as their own eigenproblem; every third diagonal entry is a ghost. `row` is where an eigenvector's 1 stands."""
     s = matrices(spark, sf_dir).withColumn("v", F.when(F.col("i") != F.col("j"), F.lit(0.0)).when(F.col("i") % 3 == 1, F.lit(0.0)).otherwise(F.col("v")))
     w = s.filter("i = j").groupBy("m").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("w"))
     e = linalg.sort_out(w.withColumn("v", batch.eye(F.size("w"))))
-    return tidy(e.select("m", F.posexplode("w").alias("n", "w")))
+    row = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda k: F.array_position(F.transform("v", lambda r: F.get(r, k)), F.lit(1.0)) - 1)
+    e = e.select("m", F.posexplode(F.arrays_zip("w", row.alias("row"))).alias("n", "x"))
+    return tidy(e.select("m", "n", "x.w", "x.row"))
 
 
 # differentiation ----------------------------------------------------------------------------
