@@ -7,7 +7,8 @@ the level above, a monotone Elias-Fano pointer to its range of following words.
 word is stored as its rank in the file's vocabulary plus the last value of the range before,
 so all values of a file are one monotone Elias-Fano sequence; a word is found by successor
 search for its rank, relative to its context, within the range. With it stand its discounted
-probability and the context's back-off weight, quantised to 16 bits in logarithm.
+probability and the context's back-off weight, quantised to 16 bits in logarithm and stored as
+places in a table of the codes that occur.
 
 p(w | u v) = max(c(u v w) - D, 0) / c(u v) + D n(u v) / c(u v) * p(w | v), where n counts the
 different words that follow; p(w | v) likewise down to the additive estimate of the word. It
@@ -157,16 +158,38 @@ def merged(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]
 # levels -------------------------------------------------------------------------------------
 
 
+class Codes:
+    """Codes by their place in a table of those that occur, bit-packed."""
+
+    def __init__(self, buf, at: int):
+        self.n, size, self.width, words = np.frombuffer(buf, "<u8", 4, at).tolist()
+        self.table = np.frombuffer(buf, "<u2", size, at + 32)
+        self.packed = np.frombuffer(buf, "<u8", words, at + 32 + -(-2 * size // 8) * 8)
+        self.end = at + 32 + -(-2 * size // 8) * 8 + 8 * words
+
+    @staticmethod
+    def encode(codes: np.ndarray) -> bytes:
+        table, which = np.unique(codes, return_inverse=True)
+        width = max(1, (len(table) - 1).bit_length()) if len(table) else 1
+        packed, raw = _pack(which.astype(np.uint64), width), table.astype("<u2").tobytes()
+        return np.array([len(codes), len(table), width, len(packed)], "<u8").tobytes() + raw + b"\0" * (-len(raw) % 8) + packed.tobytes()
+
+    def many(self, at: np.ndarray) -> np.ndarray:
+        return self.table[_unpack(self.packed, at, self.width).astype(np.int64)] if len(at) else np.zeros(0, "<u2")
+
+
 class Words:
     """A shard of the first level: sorted keys and counts."""
 
     def __init__(self, buf):
         self.keys, at = EliasFano.from_buffer(buf)
-        self.count = np.frombuffer(buf, "<u8", len(self.keys), at)
+        width = int(np.frombuffer(buf, "<u1", 1, at)[0])
+        self.count = np.frombuffer(buf, f"<u{width}", len(self.keys), at + 1)
 
     @staticmethod
     def encode(keys: np.ndarray, counts: np.ndarray) -> bytes:
-        return EliasFano.encode(keys).to_bytes() + counts.astype("<u8").tobytes()
+        kind = _least_type(counts)
+        return EliasFano.encode(keys).to_bytes() + bytes([int(kind[2])]) + counts.astype(kind).tobytes()
 
     @cached_property
     def known(self) -> np.ndarray:
@@ -189,8 +212,8 @@ class Level:
         self.pointers, at = EliasFano.from_buffer(buf)
         self.vocabulary, at = EliasFano.from_buffer(buf, at)
         self.values, at = EliasFano.from_buffer(buf, at)
-        self.alpha = np.frombuffer(buf, "<u2", len(self.values), at)
-        self.backoff = np.frombuffer(buf, "<u2", len(self.pointers) - 1, at + 2 * len(self.values))
+        self.alpha = Codes(buf, at)
+        self.backoff = Codes(buf, self.alpha.end)
 
     @staticmethod
     def encode(contexts: int, context: np.ndarray, word: np.ndarray, counts: np.ndarray, discount: float, total: int | None = None) -> bytes:
@@ -205,7 +228,7 @@ class Level:
         base = np.zeros(contexts, np.int64)
         base[used] = np.cumsum(tops) - tops
         parts = [EliasFano.encode(x).to_bytes() for x in (pointers, vocabulary, rank + base[context])]
-        return b"".join([*parts, quantise(np.maximum(counts - discount, 0) / totals[context]).tobytes(), quantise(discount * seen / totals).tobytes()])
+        return b"".join([*parts, Codes.encode(quantise(np.maximum(counts - discount, 0) / totals[context])), Codes.encode(quantise(discount * seen / totals))])
 
     @cached_property
     def decoded(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,24 +238,24 @@ class Level:
     def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places (-1: unseen), probability codes and back-off codes of many (context, word): successor search in each context's range."""
         if not len(self.values):
-            return np.full(len(word), -1), np.full(len(word), ZERO), self.backoff[context]
+            return np.full(len(word), -1), np.full(len(word), ZERO), self.backoff.many(context)
         values, vocabulary, pointers = self.decoded
         lo, hi = pointers[context], pointers[context + 1]
         rank = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
         target = rank + np.where(lo > 0, values[np.maximum(lo, 1) - 1], 0)
         at = np.minimum(np.maximum(np.searchsorted(values, target), lo), len(values) - 1)
         hit = (vocabulary[rank] == word) & (at < hi) & (values[at] == target)
-        return np.where(hit, at, -1), np.where(hit, self.alpha[at], ZERO), self.backoff[context]
+        return np.where(hit, at, -1), np.where(hit, self.alpha.many(at), ZERO), self.backoff.many(context)
 
     def one(self, context: int, word: int) -> tuple[int, float, float]:
         """Place (-1: unseen), probability and back-off of one, by selects on the mapped file alone."""
         lo, hi = self.pointers[context], self.pointers[context + 1]
-        rank, weight = self.vocabulary.successor(word, 0, len(self.vocabulary)), float(VALUES[self.backoff[context]])
+        rank, weight = self.vocabulary.successor(word, 0, len(self.vocabulary)), float(VALUES[self.backoff.many(np.array([context]))[0]])
         if rank < len(self.vocabulary) and self.vocabulary[rank] == word:
             target = rank + (self.values[lo - 1] if lo else 0)
             at = self.values.successor(target, lo, hi)
             if at < hi and self.values[at] == target:
-                return at, float(VALUES[self.alpha[at]]), weight
+                return at, float(VALUES[self.alpha.many(np.array([at]))[0]]), weight
         return -1, 0.0, weight
 
 
@@ -560,7 +583,6 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
 
     def triples_out(pdf: pd.DataFrame) -> pd.DataFrame:
         it, rows = Chunk(folder, int(pdf["chunk"].iloc[0])), _rows_of(pdf)
-        _put(f"{folder}/pairs/{it.chunk}.bin", rows)
         it.named(made, _get(f"{folder}/words/{it.chunk}.bin"))
         it.pairs()
         it.paired(made, rows)
@@ -578,11 +600,15 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
             model.layouts.append(Layout(model.bases[level - 2], model.words + 1, heavy, share))
         files = model.layouts[level - 2].files
         answers = common.materialise(by_file(by_chunk(answers).applyInPandas(out, BLOBS), files).applyInPandas(level_shard(level), ANSWERS), f"{folder}/answers-{level}")
-        for path in (f"answers-{level - 1}", *["keys"] * (level == 2)):
-            common.remove(spark, f"{folder}/{path}")
+        if level == 2:
+            for path in ("answers-1", "keys"):
+                common.remove(spark, f"{folder}/{path}")
+            pairs = answers
         common.let_go(spark)
     ended(answers, 3, files)
-    return model, by_chunk(answers)
+    both = pairs.withColumn("level", F.lit(2)).unionByName(answers.withColumn("level", F.lit(3))).filter("chunk >= 0")
+    both = both.select("level", "chunk", "file", "n", "a").unionByName(stub.withColumn("level", F.lit(3)))
+    return model, both.repartition(_tasks(n_chunks), "chunk").groupBy("chunk")
 
 
 def _rows(docs: DataFrame, train: Column) -> DataFrame:
@@ -609,8 +635,8 @@ def _scored(model: Model, answers, folder: str) -> tuple[Model, DataFrame]:
         it = Chunk(folder, int(pdf["chunk"].iloc[0]))
         it.named(model, _get(f"{folder}/words/{it.chunk}.bin"))
         it.pairs()
-        it.paired(model, _get(f"{folder}/pairs/{it.chunk}.bin"))
-        alpha, beta = _answered(_rows_of(pdf), model.layouts[1].place(it.triple_context, it.triple_word)[0], 2, False)
+        it.paired(model, _rows_of(pdf[pdf["level"] == 2]))
+        alpha, beta = _answered(_rows_of(pdf[pdf["level"] == 3]), model.layouts[1].place(it.triple_context, it.triple_word)[0], 2, False)
         codes3 = alpha, _spread(model, 3, it.triple_context, beta)
         p = model.unigram(it.counts)[it.index]
         base = np.log10(p)
