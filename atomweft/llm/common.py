@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,9 +76,14 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Collect garbage, so that Spark deletes the shuffle files of tables that have been written and dropped."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Collect garbage, so that Spark deletes the shuffle files of tables that have been written and dropped.
+
+    Twice and with a pause, as the last query is referred to until its end has been announced.
+    """
+    for _ in range(2):
+        time.sleep(0.7)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

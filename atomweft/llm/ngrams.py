@@ -55,7 +55,7 @@ ZERO = 65_535
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 VALUES = np.append(2.0 ** (-np.arange(ZERO) / STEP), 0.0)
 BLOBS = "chunk long, file int, b binary"
-ANSWERS = "chunk long, file int, n long, a binary"
+ANSWERS = "chunk long, file int, n long, a binary, x binary"  # a: places of n keys, x: what else is known of them
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -96,15 +96,17 @@ def _least_type(x: np.ndarray) -> str:
 
 
 def _numbers(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned numbers of equal length, compressed."""
+    """Arrays of unsigned numbers of equal length, compressed, low bytes before high ones."""
     kinds = [_least_type(x) for x in arrays]
-    return bytes(int(k[2]) for k in kinds) + zlib.compress(b"".join(x.astype(k).tobytes() for x, k in zip(arrays, kinds)), 1)
+    planes = [x.astype(k).view(np.uint8).reshape(len(x), int(k[2])).T.tobytes() for x, k in zip(arrays, kinds)]
+    return bytes(int(k[2]) for k in kinds) + zlib.compress(b"".join(planes), 1)
 
 
 def _unnumbers(b: bytes, n: int, count: int) -> list[np.ndarray]:
     raw, at, out = zlib.decompress(b[count:]), 0, []
     for width in b[:count]:
-        out.append(np.frombuffer(raw, f"<u{width}", n, at).astype(np.int64))
+        plane = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(plane.T).view(f"<u{width}").reshape(n).astype(np.int64))
         at += width * n
     return out
 
@@ -415,8 +417,8 @@ class Chunk:
     def named(self, model: Model, answers: list) -> None:
         """ids and counts of the local words; a last one stands for all unknown words, one more for the begin of a text."""
         n, words = self.words, model.words
-        files = np.repeat([f for f, _, _ in answers], [k for _, k, _ in answers]).astype(np.int64)
-        at, self.counts = _answered(answers, files, 2, True)
+        files = np.repeat([r[0] for r in answers], [r[1] for r in answers]).astype(np.int64)
+        at, (self.counts,) = _answered_places(answers, files), _answered(answers, files, 1)
         ids = np.where(at >= 0, at + model.bases[0][files], -1)
         self.ids = np.concatenate([ids, [words, words]])
         self.word = np.where(ids[self.index] >= 0, self.index, n)
@@ -434,10 +436,12 @@ class Chunk:
         self.pair_count = np.bincount(back[self.trained[ask]], minlength=len(found))
 
     def paired(self, model: Model, answers: list) -> None:
-        """Take up level two's answers: codes of the pairs, and their triples."""
+        """Take up level two's answers: the pairs' codes, if they are there, and their triples."""
         files, _ = model.layouts[0].place(self.pair_context, self.pair_word)
-        at, alpha, beta = _answered(answers, files, 3, True)
-        self.pair_codes = alpha, _spread(model, 2, self.pair_context, beta)
+        at = _answered_places(answers, files)
+        if all(r[3] is not None for r in answers):
+            alpha, beta = _answered(answers, files, 2)
+            self.pair_codes = alpha, _spread(model, 2, self.pair_context, beta)
         self.triples(np.where(at >= 0, at + model.bases[1][files], -1))
 
     def triples(self, entry: np.ndarray) -> None:
@@ -454,35 +458,43 @@ class Chunk:
         self.triple_count = np.bincount(back[self.trained[ask]], minlength=len(found))
 
 
-def _rows_of(pdf: pd.DataFrame) -> list[tuple[int, int, bytes]]:
-    """(file, number of keys, answer) of a chunk's answers, by file."""
+def _rows_of(pdf: pd.DataFrame) -> list[tuple]:
+    """(file, number of keys, places, what else is known or None) of a chunk's answers, by file."""
     got = pdf[pdf["file"] >= 0].sort_values("file")
-    return list(zip(got["file"].tolist(), got["n"].tolist(), got["a"].tolist()))
+    return list(zip(got["file"].tolist(), got["n"].tolist(), got["a"].tolist(), got["x"].tolist() if "x" in got else [None] * len(got)))
 
 
-def _answered(rows: list, files: np.ndarray, count: int, places: bool) -> list[np.ndarray]:
-    """Numbers of answers in the order in which the keys went out to `files`; with `places` the first are steps."""
-    order = np.argsort(files, kind="stable")
-    parts = [_unnumbers(a, n, count) for _, n, a in rows]
-    if places:
-        parts = [[_places(p[0]), *p[1:]] for p in parts]
-    out = [np.zeros(len(files), np.int64) for _ in range(count)]
-    for k in range(count):
-        if parts:
-            out[k][order] = np.concatenate([p[k] for p in parts])
+def _in_order(parts: list[np.ndarray], files: np.ndarray) -> np.ndarray:
+    """Numbers of answers in the order in which the keys went out to `files`."""
+    out = np.zeros(len(files), np.int64)
+    if parts:
+        out[np.argsort(files, kind="stable")] = np.concatenate(parts)
     return out
 
 
+def _answered_places(rows: list, files: np.ndarray) -> np.ndarray:
+    return _in_order([_places(_unnumbers(r[2], r[1], 1)[0]) for r in rows], files)
+
+
+def _answered(rows: list, files: np.ndarray, count: int) -> list[np.ndarray]:
+    parts = [_unnumbers(r[3], r[1], count) for r in rows]
+    return [_in_order([p[k] for p in parts], files) for k in range(count)]
+
+
 def _put(uri: str, rows: list) -> None:
     """Keep answers as they came."""
-    store.write_atomic(uri, np.array([[f, n, len(a)] for f, n, a in rows], "<i8").reshape(-1, 3).tobytes(), *[a for *_, a in rows], np.array([len(rows)], "<i8").tobytes())
+    heads = np.array([[f, n, len(a), len(x)] for f, n, a, x in rows], "<i8").reshape(-1, 4)
+    store.write_atomic(uri, heads.tobytes(), *[part for r in rows for part in r[2:]], np.array([len(rows)], "<i8").tobytes())
 
 
 def _get(uri: str) -> list:
     buf = bytes(store.mapped(uri))
-    heads = np.frombuffer(buf, "<i8", 3 * int(np.frombuffer(buf[-8:], "<i8")[0])).reshape(-1, 3)
-    ends = heads.nbytes + np.cumsum(heads[:, 2])
-    return [(int(f), int(n), buf[e - size : e]) for (f, n, size), e in zip(heads.tolist(), ends.tolist())]
+    heads = np.frombuffer(buf, "<i8", 4 * int(np.frombuffer(buf[-8:], "<i8")[0])).reshape(-1, 4)
+    at, out = heads.nbytes, []
+    for f, n, a, x in heads.tolist():
+        out.append((f, n, buf[at : at + a], buf[at + a : at + a + x]))
+        at += a + x
+    return out
 
 
 def _spread(model: Model, level: int, contexts: np.ndarray, beta: np.ndarray) -> np.ndarray:
@@ -514,7 +526,7 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
     if built:
         model = Model(folder, max(0, size // shard_bytes).bit_length(), total, discount)
     bits, share = model.bits, model.share
-    stub = chunks.select("chunk", F.lit(-1).alias("file"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("a"))
+    stub = chunks.select("chunk", F.lit(-1).alias("file"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("a"), F.lit(b"").alias("x"))
 
     def words_out(batches):
         for batch in batches:
@@ -529,11 +541,11 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
         if built:
             store.write_atomic(made.path(1, f), Words.encode(keys, counts))
         level, hot = Words(store.mapped(made.path(1, f)) if built or made.bases[0][f + 1] > made.bases[0][f] else Words.encode(keys[:0], counts[:0])), np.flatnonzero(counts > share)
-        rows = [(-1, f, len(keys), _packed(hot, counts[hot]))]
+        rows = [(-1, f, len(keys), _packed(hot, counts[hot]), b"")]
         for c, k in zip(pdf["chunk"], asked):
             at, n = level.find(k)
-            rows.append((c, f, len(k), _numbers(_steps(at), n)))
-        return pd.DataFrame(rows, columns=["chunk", "file", "n", "a"])
+            rows.append((c, f, len(k), _numbers(_steps(at)), _numbers(n)))
+        return pd.DataFrame(rows, columns=["chunk", "file", "n", "a", "x"])
 
     def ended(answers: DataFrame, level: int, files: int) -> dict[int, int]:
         """Take up a finished level's sizes; returns its frequent entries."""
@@ -549,8 +561,9 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
             model.backoff.append(codes)
         return heavy
 
-    def by_chunk(answers: DataFrame) -> DataFrame:
-        return answers.filter("chunk >= 0").select("chunk", "file", "n", "a").unionByName(stub).repartition(_tasks(n_chunks), "chunk").groupBy("chunk")
+    def by_chunk(answers: DataFrame, *parts: str) -> DataFrame:
+        names = ["chunk", "file", "n", *parts]
+        return answers.filter("chunk >= 0").select(*names).unionByName(stub.select(*names)).repartition(_tasks(n_chunks), "chunk").groupBy("chunk")
 
     def by_file(sent: DataFrame, files: int) -> DataFrame:
         return sent.repartition(_tasks(files), "file").groupBy("file")
@@ -565,12 +578,12 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
                 store.write_atomic(made.path(level, f), Level.encode(contexts, context, word, counts, discount, whole))
             have = built or made.bases[level - 1][f + 1] > made.bases[level - 1][f]
             table, hot = Level(store.mapped(made.path(level, f))) if have else None, np.flatnonzero(counts > share)
-            rows = [(-1, f, len(keys), _packed(hot, counts[hot]))]
+            rows = [(-1, f, len(keys), _packed(hot, counts[hot]), b"")]
             for c, k in zip(pdf["chunk"], asked):
                 contexts, context, word, _ = layout.split(f, k)
                 at, alpha, beta = table.find(context, word) if have else (np.full(len(k), -1), np.full(len(k), ZERO), np.full(len(k), ZERO))
-                rows.append((c, f, len(k), _numbers(_steps(at), alpha, beta) if level == 2 else _numbers(alpha, beta)))
-            return pd.DataFrame(rows, columns=["chunk", "file", "n", "a"])
+                rows.append((c, f, len(k), _numbers(_steps(at)) if level == 2 else b"", _numbers(alpha, beta)))
+            return pd.DataFrame(rows, columns=["chunk", "file", "n", "a", "x"])
 
         return run
 
@@ -591,7 +604,7 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
     files, made = 1 << bits, model
     sent = chunks.select("chunk").repartition(_tasks(n_chunks)).mapInArrow(words_out, BLOBS)
     answers = common.materialise(by_file(sent, files).applyInPandas(word_shard, ANSWERS), f"{folder}/answers-1")
-    for level, out in ((2, pairs_out), (3, triples_out)):
+    for level, out, parts in ((2, pairs_out, "ax"), (3, triples_out, "a")):
         heavy = ended(answers, level - 1, files)
         if built:
             if level == 2:
@@ -599,7 +612,7 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
                 heavy[model.words] = n_docs
             model.layouts.append(Layout(model.bases[level - 2], model.words + 1, heavy, share))
         files = model.layouts[level - 2].files
-        answers = common.materialise(by_file(by_chunk(answers).applyInPandas(out, BLOBS), files).applyInPandas(level_shard(level), ANSWERS), f"{folder}/answers-{level}")
+        answers = common.materialise(by_file(by_chunk(answers, *parts).applyInPandas(out, BLOBS), files).applyInPandas(level_shard(level), ANSWERS), f"{folder}/answers-{level}")
         if level == 2:
             for path in ("answers-1", "keys"):
                 common.remove(spark, f"{folder}/{path}")
@@ -607,7 +620,7 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
         common.let_go(spark)
     ended(answers, 3, files)
     both = pairs.withColumn("level", F.lit(2)).unionByName(answers.withColumn("level", F.lit(3))).filter("chunk >= 0")
-    both = both.select("level", "chunk", "file", "n", "a").unionByName(stub.withColumn("level", F.lit(3)))
+    both = both.select("level", "chunk", "file", "n", "a", "x").unionByName(stub.withColumn("level", F.lit(3)))
     return model, both.repartition(_tasks(n_chunks), "chunk").groupBy("chunk")
 
 
@@ -636,7 +649,7 @@ def _scored(model: Model, answers, folder: str) -> tuple[Model, DataFrame]:
         it.named(model, _get(f"{folder}/words/{it.chunk}.bin"))
         it.pairs()
         it.paired(model, _rows_of(pdf[pdf["level"] == 2]))
-        alpha, beta = _answered(_rows_of(pdf[pdf["level"] == 3]), model.layouts[1].place(it.triple_context, it.triple_word)[0], 2, False)
+        alpha, beta = _answered(_rows_of(pdf[pdf["level"] == 3]), model.layouts[1].place(it.triple_context, it.triple_word)[0], 2)
         codes3 = alpha, _spread(model, 3, it.triple_context, beta)
         p = model.unigram(it.counts)[it.index]
         base = np.log10(p)
