@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from atomweft.functions import elements, versions
 from atomweft.mol import Mol
-from atomweft.operators import batch, checks, distance, linalg, pairs
+from atomweft.operators import batch, checks, distance, linalg, pairs, tiles
 from atomweft.operators import ncoord as nc
 from atomweft.sources import parsers, reader, samples, writer
 from atomweft.streaming import ingest
@@ -299,3 +299,18 @@ def test_versions(spark):
 def test_samples_from_files(spark, tmp_path):
     (tmp_path / "water.xyz").write_text("3\n\nO 0 0 0.1\nH 0 0 0.9\nH 0 0.9 0\n")
     assert {(r["name"], r["symbol"]) for r in samples.from_files(spark, str(tmp_path)).collect()} == {("water", "O"), ("water", "H")}
+
+
+def test_cdist_tiles_equal_columns(spark, monkeypatch):
+    """One batch is many tiles of bounded size, and gives what the column expressions give, odd vectors included."""
+    monkeypatch.setattr(tiles, "ROWS", 7)
+    rows = [(n % 3 if n % 10 else None, n, [float((n * k) % 11) / 3 for k in range(5)]) for n in range(60)]
+    x = spark.createDataFrame([*rows, (0, 100, None), (0, 101, [1.0]), (0, 102, [1.0, None, 2.0, 3.0, 4.0]), (0, 102, []), (9, 103, [float("nan")] * 5)], "batch int, id long, v array<double>")
+    y = x.filter("batch < 2").withColumn("v", F.reverse("v"))
+    for p in (1, 2, 3, 2.5):
+        got = distance.cdist(x, y, p=p)
+        assert "MapInArrow" in got._jdf.queryExecution().toString() and not got.filter("batch = 9").count()
+        d = distance.quadratic(F.col("vi"), F.col("vj")) if p == 2 else distance.direct(F.col("vi"), F.col("vj"), p)
+        want = x.select("batch", F.col("id").alias("i"), F.col("v").alias("vi")).join(y.select("batch", F.col("id").alias("j"), F.col("v").alias("vj")), "batch").select("batch", "i", "j", d.alias("dist"))
+        tell = lambda df: sorted((r["batch"], r["i"], r["j"], round(r["dist"], 9)) for r in df.collect())
+        assert tell(got) == tell(want)
