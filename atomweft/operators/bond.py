@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as k
 from ..functions.elements import lookup
 from .ncoord import with_count
-from .pairs import near, pairs
+from .pairs import late, near, pairs
 
 
 def bond_length(atoms: DataFrame, diagonal: bool = True, cutoff: float | None = None) -> DataFrame:
@@ -31,4 +31,4 @@ def bond_order(atoms: DataFrame, count=k.erf_count, cutoff: float | None = None,
 
 
 def bonded(orders: DataFrame, least: float = 0.3) -> DataFrame:
-    return orders.filter(F.col("bond_order") > least)
+    return orders.filter(late(F.col("bond_order") > least))

@@ -10,6 +10,7 @@ from atomweft.functions import elements, versions
 from atomweft.mol import Mol
 from atomweft.operators import batch, checks, distance, linalg, pairs, tiles
 from atomweft.operators import ncoord as nc
+from atomweft.plans import views
 from atomweft.sources import parsers, reader, samples, writer
 from atomweft.streaming import ingest
 from pyspark.sql import functions as F
@@ -314,3 +315,53 @@ def test_cdist_tiles_equal_columns(spark, monkeypatch):
         want = x.select("batch", F.col("id").alias("i"), F.col("v").alias("vi")).join(y.select("batch", F.col("id").alias("j"), F.col("v").alias("vj")), "batch").select("batch", "i", "j", d.alias("dist"))
         tell = lambda df: sorted((r["batch"], r["i"], r["j"], round(r["dist"], 9)) for r in df.collect())
         assert tell(got) == tell(want)
+
+
+def test_triples_of_arrays_equal_brute_force(spark):
+    """Counts of triples from each system's array, in one plan without joins or groups."""
+    rows = [(s, n, (n + s) % 4) for s in range(5) for n in range(s + 1)]
+    a = spark.createDataFrame(rows, "sys_id long, atom_idx int, z int").withColumns({c: F.lit(0.0) for c in ("x", "y", "pz")})
+    real = {s: [n for t, n, z in rows if t == s and z] for s in range(5)}
+    for own in (True, False):
+        want = {}
+        for s, at in real.items():
+            for i, j, k in ((i, j, k) for i in at for j in at for k in at if j != k and not (own and (i == j or i == k))):
+                n, total = want.get((s, i, j), (0, 0))
+                want[s, i, j] = (n + 1, total + k)
+        counts = pairs.count_triples(a, mask_self=own)
+        assert {tuple(r)[:3]: tuple(r)[3:] for r in counts.collect()} == want
+        assert pairs.mask_triples(a, mask_self=own).count() == sum(n for n, _ in want.values())
+        plan = counts._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_atoms_are_dealt_once(spark, tmp_path):
+    """Pairs of the lines of an order need one exchange: the view's."""
+    spark.createDataFrame([(n // 4, n % 4, n, n, 1.0 * n, 9.0 * n, 0.01) for n in range(20)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    plan = pairs.pairs(views.atoms(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_grid_pairs_small_systems_in_place(spark, monkeypatch):
+    """Small systems aren't copied to cells; what is over the bound goes by cells, with the same pairs."""
+    a = spark.createDataFrame([(s, n, 1 + n % 8, n * 1.7 % 9, n * 2.3 % 9, n * 3.1 % 9) for s, most in ((0, 5), (1, 40)) for n in range(most)], ATOM)
+    tell = lambda df: sorted((r["sys_id"], r["i"], r["j"], round(r["d"], 9)) for r in df.collect())
+    want = tell(pairs.within(a, 4.0))
+    for bound in (0, 10, 500):
+        monkeypatch.setattr(pairs, "GRID_ATOMS", bound)
+        assert tell(pairs.within_grid(a, 4.0)) == want
+
+
+def test_parse_hands_rows_on_in_bounded_batches(spark, monkeypatch):
+    monkeypatch.setattr(reader, "ROWS", 5)
+    text = "".join(f"2\n\nH 0 0 {n}\nO 1 1 {n}\n" for n in range(9))
+    seen = reader.parse(spark.createDataFrame([("a.xyz", text), ("b.xyz", text)], "path string, value string").coalesce(1)).mapInArrow(_sizes, "n long")
+    sizes = [r["n"] for r in seen.collect()]
+    assert sum(sizes) == 36 and max(sizes) <= 5
+
+
+def _sizes(batches):
+    import pyarrow as pa
+
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
