@@ -3,12 +3,13 @@
 import json
 import os
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
 from atomweft.functions import elements, versions
 from atomweft.mol import Mol
-from atomweft.operators import batch, checks, distance, linalg, pairs, tiles
+from atomweft.operators import batch, checks, distance, linalg, pairs, products, tiles
 from atomweft.operators import ncoord as nc
 from atomweft.plans import views
 from atomweft.sources import parsers, reader, samples, writer
@@ -368,3 +369,40 @@ def test_parse_hands_rows_on_in_bounded_batches(monkeypatch):
     files = pa.RecordBatch.from_pydict({"path": ["a.xyz", "b.xyz"], "value": [text, text]})
     sizes = [b.num_rows for b in reader.parse(Texts())(iter([files]))]
     assert sum(sizes) == 36 and max(sizes) <= 5
+
+
+@pytest.mark.parametrize("spec", ["bij,bkj->bik", "ij,jk->ik", "abij,abjk->aik", "bij,bjkl->bkil", "bijc,bkj->bik"])
+def test_matrix_products_are_tiles(spark, monkeypatch, spec):
+    """Sums of products equal the join's, odd numbers, absent and null coordinates included, and no product is a row."""
+    monkeypatch.setattr(tiles, "ROWS", 3)
+    monkeypatch.setattr(products, "KEYS", 2)
+    rng, ops = np.random.default_rng(5), []
+    for t in spec.split("->")[0].split(","):
+        at = [p for p in product(*[[0, 1, 2, 3, None]] * len(t)) if rng.random() < 0.4]
+        odd = [None, float("nan"), float("inf"), 0.0] if "c" not in spec else [None, 0.0]
+        rows = [(*p, odd[n] if (n := rng.integers(60)) < len(odd) else float(rng.normal())) for p in at]
+        rows += [(*p, 0.5) for p in at[:5]] if "c" in spec else []  # coordinates that occur twice
+        ops.append(spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'k' else 'string' if c == 'a' else 'int'}" for c in t) + ", v double"))
+    got = linalg.einsum(spec, *ops)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
+    monkeypatch.setattr(products, "fit", lambda x, y: False)
+    want = linalg.einsum(spec, *ops)
+    assert got.dtypes == want.dtypes
+    tell = lambda df: sorted((str(tuple(None if v is None else round(v, 7) + 0.0 if isinstance(v, float) else v for v in r)) for r in df.collect()))
+    assert tell(got) == tell(want)
+
+
+def test_a_chain_of_contractions_meets_the_vector_first(spark):
+    a = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 1, 2.0), (0, 1, 1, 3.0)], "m int, i int, j int, v double")
+    b, c = a.toDF("m", "j", "k", "v"), spark.createDataFrame([(0, 0, 1.0), (0, 1, 10.0)], "m int, k int, v double")
+    got = linalg.einsum("mij,mjk,mk->mi", a, b, c)
+    assert {tuple(r) for r in got.collect()} == {(0, 0, 81.0), (0, 1, 90.0)} and "MapInArrow" not in got._jdf.queryExecution().toString()
+
+
+def test_a_large_batch_has_larger_blocks(spark, monkeypatch):
+    """The rows that visit the blocks of a batch grow with the batch, not with its square."""
+    monkeypatch.setattr(tiles, "ROWS", 4)
+    x = spark.range(300).select((F.col("id") >= 60).cast("int").alias("batch"), "id", F.array(F.col("id").cast("double")).alias("v"))
+    assert distance.cdist(x).count() == 60**2 + 240**2
+    assert {tuple(r) for r in x.groupBy("batch").agg(tiles.blocks(F.count("*"))).collect()} == {(0, 8), (1, 8)}
