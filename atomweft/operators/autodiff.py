@@ -1,21 +1,22 @@
 """Differentiation of column expressions when the plan is built.
 
 A small symbolic layer: nodes know their derivative and their Column. Derivatives of what
-does not depend on a variable are literal zeros, which vanish while building. Opaque Python
-functions of columns are differentiated by central differences instead.
+does not depend on a variable are literal zeros, which vanish while building. Of many
+derivatives together (`evaluated`) each part is computed once. Opaque Python functions of
+columns are differentiated by central differences instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..functions.elements import lookup
-from .pairs import near, pairs, real_atoms
+from .pairs import needs_grid, pairs, within_grid
 
 
 class Node:
@@ -97,6 +98,16 @@ class Call(Node):
         return inner if _zero(inner) else _CALLS[self.name][1](self.a) * inner
 
 
+@dataclass(frozen=True)
+class Floor(Node):
+    """a, or `low` where a is below it; its derivative is that of a."""
+
+    a: Node
+    low: float
+    def column(self): return F.when(self.a.column() < self.low, F.lit(self.low)).otherwise(self.a.column())
+    def diff(self, v): return self.a.diff(v)
+
+
 @dataclass(frozen=True)
 class When(Node):
     """a where the condition (a Column that is not differentiated) holds, else b."""
@@ -131,6 +142,114 @@ def _mul(a: Node, b: Node) -> Node:
     return Const(a.value * b.value) if isinstance(a, Const) and isinstance(b, Const) else Mul(a, b)
 
 
+def _positive(n: Node, zero: bool = False) -> bool:
+    """Whether a node is known to be above zero (or not below it)."""
+    if isinstance(n, (Const, Floor)):
+        low = n.value if isinstance(n, Const) else n.low
+        return low > 0 or (zero and low == 0)
+    if isinstance(n, Add):
+        return (_positive(n.a) and _positive(n.b, True)) or (_positive(n.a, True) and _positive(n.b, zero))
+    return (isinstance(n, Pow) and _positive(n.a)) or (zero and isinstance(n, Call) and n.name == "exp")
+
+
+def _product(n: Node, times: int) -> Node:
+    half = n if times < 2 else _product(n, times // 2)
+    return half if times < 2 else _mul(half, half) if times % 2 == 0 else _mul(_mul(half, half), n)
+
+
+def _power(a: Node, e: float) -> Node:
+    """Small halves of whole powers of what is above zero as roots, quotients and products, which take far less time."""
+    if isinstance(a, Pow) and _positive(a.a):
+        return _power(a.a, a.e * e)
+    if not _positive(a) or e in (0.5, -1.0) or not 0 < abs(e) <= 8 or not (2 * e).is_integer():
+        return Pow(a, e)
+    root = Pow(a, 0.5)
+    if e > 0:
+        whole = _product(a, int(e)) if e >= 1 else None
+        return whole if e.is_integer() else _mul(whole, root)
+    one = Pow(a, -1.0) if e.is_integer() else Pow(root, -1.0)
+    return _product(one, int(abs(e) if e.is_integer() else 2 * abs(e)))
+
+
+class _Graph:
+    """Nodes as numbers, equal ones with the same: what each is made of, and how often it is named."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.parts: list[tuple[Node, list[int]]] = []
+        self.named: list[int] = []
+        self.seen: dict[int, tuple[Node, int]] = {}
+
+    def add(self, n: Node) -> int:
+        if id(n) not in self.seen:
+            self.seen[id(n)] = (n, self._number(n))  # the node is kept, so its id stays its own
+        return self.seen[id(n)][1]
+
+    def _number(self, n: Node) -> int:
+        if isinstance(n, Pow):
+            made = _power(n.a, n.e)
+            if made != n:
+                return self.add(made)
+        below = [self.add(c) for c in (getattr(n, "a", None), getattr(n, "b", None)) if isinstance(c, Node)]
+        own = [repr(v) if isinstance(v, float) else id(v) if isinstance(v, Column) else v for k, v in vars(n).items() if k not in "ab"]
+        key = (type(n), *(sorted(below) if isinstance(n, (Add, Mul)) else below), *own)
+        if key not in self.numbers:
+            self.numbers[key] = len(self.parts)
+            self.parts.append((n, below))
+            self.named.append(0)
+            for c in below:
+                self.named[c] += 2 if isinstance(n, Floor) else 1
+        return self.numbers[key]
+
+
+def evaluated(df: DataFrame, keep: list[str], outputs: dict[str, Node]) -> DataFrame:
+    """`keep` and the outputs of a table. What outputs have in common is a column of its own below them, so Spark computes it once a row and not once for each time it is named."""
+    graph = _Graph()
+    roots = {o: graph.add(n) for o, n in outputs.items()}
+    for n in roots.values():
+        graph.named[n] += 1
+    always, left = set(), list(roots.values())
+    while left:  # what is below a condition only may not be computed without it
+        at = left.pop()
+        if at not in always:
+            always.add(at)
+            left += [] if isinstance(graph.parts[at][0], When) else graph.parts[at][1]
+    depth: dict[int, int] = {}
+    stages: dict[int, dict[str, Column]] = {}
+
+    def column(at: int) -> tuple[Column, int]:
+        """Of a node, and the stage after which it can be computed."""
+        n, below = graph.parts[at]
+        shared = graph.named[at] > 1 and bool(below) and at in always
+        if shared and at in depth:
+            return F.col(f"__n{at}"), depth[at]
+        made = [column(c) for c in below]
+        c, stage = _over(n, [c for c, _ in made]), max([s for _, s in made], default=0)
+        if not shared:
+            return c, stage
+        depth[at] = stage + 1
+        stages.setdefault(stage + 1, {})[f"__n{at}"] = c
+        return F.col(f"__n{at}"), stage + 1
+
+    made = {o: column(n)[0] for o, n in roots.items()}
+    for stage in sorted(stages):
+        df = df.withColumns(stages[stage])
+    return df.select(*keep, *[c.alias(o) for o, c in made.items()])
+
+
+@dataclass(frozen=True)
+class _Made(Node):
+    """A column in the place of a node."""
+
+    made: Column
+    def column(self): return self.made
+
+
+def _over(n: Node, made: list[Column]) -> Column:
+    """The column of a node from those of its parts."""
+    return replace(n, **dict(zip("ab", map(_Made, made)))).column() if made else n.column()
+
+
 def jacobian(outputs: dict[str, Node], by: list[str]) -> dict[str, Column]:
     """d<out>_d<var> -> Column."""
     return {f"d{o}_d{v}": n.diff(v).column() for o, n in outputs.items() for v in by}
@@ -155,6 +274,8 @@ def shifted(n: Node, name: str, by: float) -> Node:
         return type(n)(shifted(n.a, name, by), shifted(n.b, name, by))
     if isinstance(n, Pow):
         return Pow(shifted(n.a, name, by), n.e)
+    if isinstance(n, Floor):
+        return Floor(shifted(n.a, name, by), n.low)
     if isinstance(n, Call):
         return Call(n.name, shifted(n.a, name, by))
     if isinstance(n, When):
@@ -166,8 +287,8 @@ AXES = {"dx": "x", "dy": "y", "dz": "z"}
 
 
 def distance() -> Node:
-    """Of a pair, from dx, dy and dz."""
-    return Pow(Var("dx") * Var("dx") + Var("dy") * Var("dy") + Var("dz") * Var("dz"), 0.5)
+    """Of a pair, from dx, dy and dz, floored as in `pairs`: it is never zero, nor is what is divided by it an error."""
+    return Pow(Floor(Var("dx") * Var("dx") + Var("dy") * Var("dy") + Var("dz") * Var("dz"), k.EPS), 0.5)
 
 
 def exp_count(r0: Node, kcn: float = k.KCN_D3) -> Node:
@@ -178,13 +299,18 @@ def erf_count(r0: Node, kcn: float = k.KCN_D4) -> Node:
     return 0.5 * (1.0 + Call("erf", Const(-kcn) * (distance() / r0 - 1.0)))
 
 
-def _met(atoms: DataFrame, cutoff: float | None, carried: tuple[str, ...]) -> DataFrame:
-    return pairs(atoms, carried=carried) if cutoff is None else near(atoms, cutoff, carried)
+def _met(atoms: DataFrame, cutoff: float | None, carried: tuple[str, ...], grid: bool, itself: bool = False) -> DataFrame:
+    """Pairs that are within the cutoff; `itself`: also each real atom with itself."""
+    if grid:
+        both = within_grid(atoms, cutoff, carried)
+        return both.unionByName(pairs(atoms, True, carried).filter("i = j")) if itself else both
+    both = pairs(atoms, itself, carried)
+    return both if cutoff is None else both.filter(F.col("d") <= cutoff)
 
 
-def _apart(n: Node) -> Column:
-    """Of different atoms only: filters may be pushed below the one that leaves out the diagonal."""
-    return F.when(F.col("i") != F.col("j"), n.column()).otherwise(F.lit(0.0))
+def _apart(df: DataFrame, names: list[str], sign: float = 1.0) -> DataFrame:
+    """Nothing of an atom with itself."""
+    return df.withColumns({n: F.when(F.col("i") != F.col("j"), F.col(n) * F.lit(sign)).otherwise(F.lit(0.0)) for n in names})
 
 
 def pair_jacobian(atoms: DataFrame, term: Node, cutoff: float | None = None, carried: tuple[str, ...] = (), **columns: Column) -> DataFrame:
@@ -193,21 +319,22 @@ def pair_jacobian(atoms: DataFrame, term: Node, cutoff: float | None = None, car
     `term` is in dx, dy, dz and any columns of a pair, also those named here. Pairs beyond the
     cutoff are zero and left out.
     """
-    both = _met(atoms, cutoff, carried).withColumns(columns)
-    pair = both.select("sys_id", "i", "j", *[_apart(term.diff(v)).alias(f"g{a}") for v, a in AXES.items()])
-    zero = real_atoms(atoms).select("sys_id", F.col("atom_idx").alias("i"), *[F.lit(0.0).alias(f"g{a}") for a in AXES.values()])
-    own = pair.select("sys_id", "i", *[(-F.col(f"g{a}")).alias(f"g{a}") for a in AXES.values()]).unionByName(zero)
-    own = own.groupBy("sys_id", "i").agg(*[F.sum(f"g{a}").alias(f"g{a}") for a in AXES.values()]).withColumn("j", F.col("i"))
-    return pair.unionByName(own)
+    first, grid = {f"g{a}": term.diff(v) for v, a in AXES.items()}, cutoff is not None and needs_grid(atoms)
+    made = lambda itself: evaluated(_met(atoms, cutoff, carried, grid, itself).withColumns(columns), ["sys_id", "i", "j"], first)
+    own = _apart(made(True), list(first), -1.0).groupBy("sys_id", "i").agg(*[F.sum(n).alias(n) for n in first]).withColumn("j", F.col("i"))
+    return made(False).unionByName(own)
 
 
 def pair_hessian(atoms: DataFrame, term: Node, cutoff: float | None = None, carried: tuple[str, ...] = (), **columns: Column) -> DataFrame:
-    """sys_id, i, j and the nine second derivatives by R_i and R_j of half the sum of term(pair), which must be the same for (i, j) and (j, i)."""
-    second = {f"h{AXES[a]}{AXES[b]}": _apart(term.diff(a).diff(b)) for a in AXES for b in AXES}
-    both = _met(atoms, cutoff, carried).withColumns(columns)
-    blocks = both.select("sys_id", "i", "j", *[c.alias(n) for n, c in second.items()])
+    """sys_id, i, j and the nine second derivatives by R_i and R_j of half the sum of term(pair), which must be the same for (i, j) and (j, i).
+
+    The order of the two derivatives does not matter, so six are computed.
+    """
+    second = {f"h{AXES[a]}{AXES[b]}": term.diff(a).diff(b) for a in AXES for b in AXES if a <= b}
+    blocks = evaluated(_met(atoms, cutoff, carried, cutoff is not None and needs_grid(atoms)).withColumns(columns), ["sys_id", "i", "j"], second)
     off = blocks.select("sys_id", "i", "j", *[(-F.col(n)).alias(n) for n in second])
-    return off.unionByName(blocks.groupBy("sys_id", "i").agg(*[F.sum(n).alias(n) for n in second]).withColumn("j", F.col("i")))
+    six = off.unionByName(blocks.groupBy("sys_id", "i").agg(*[F.sum(n).alias(n) for n in second]).withColumn("j", F.col("i")))
+    return six.select("sys_id", "i", "j", *[F.col(f"h{min(a, b)}{max(a, b)}").alias(f"h{a}{b}") for a in "xyz" for b in "xyz"])
 
 
 def gradcheck(both: DataFrame, term: Node, step: float = 1e-6) -> DataFrame:
