@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as k
 from ..functions.elements import lookup
-from .pairs import needs_grid, pairs, within_grid
+from .pairs import needs_grid, pairs, real_atoms, within_grid
 
 
 class Node:
@@ -203,7 +203,11 @@ class _Graph:
 
 
 def evaluated(df: DataFrame, keep: list[str], outputs: dict[str, Node]) -> DataFrame:
-    """`keep` and the outputs of a table. What outputs have in common is a column of its own below them, so Spark computes it once a row and not once for each time it is named."""
+    """`keep` and the outputs of a table. What outputs have in common is a column of its own below them, so Spark computes it once a row and not once for each time it is named.
+
+    For some tens of parts: of the hundreds that `gradgradcheck` has Spark makes one method too
+    large for the JVM to compile, which took four times as long as a column each.
+    """
     graph = _Graph()
     roots = {o: graph.add(n) for o, n in outputs.items()}
     for n in roots.values():
@@ -300,12 +304,19 @@ def erf_count(r0: Node, kcn: float = k.KCN_D4) -> Node:
 
 
 def _met(atoms: DataFrame, cutoff: float | None, carried: tuple[str, ...], grid: bool, itself: bool = False) -> DataFrame:
-    """Pairs that are within the cutoff; `itself`: also each real atom with itself."""
+    """Pairs that are within the cutoff; `itself`: also each real atom with itself, wherever it is."""
     if grid:
         both = within_grid(atoms, cutoff, carried)
-        return both.unionByName(pairs(atoms, True, carried).filter("i = j")) if itself else both
+        return both.unionByName(_alone(atoms, carried)) if itself else both
     both = pairs(atoms, itself, carried)
-    return both if cutoff is None else both.filter(F.col("d") <= cutoff)
+    return both if cutoff is None else both.filter((F.col("d") <= cutoff) | (F.col("i") == F.col("j")) if itself else F.col("d") <= cutoff)
+
+
+def _alone(atoms: DataFrame, carried: tuple[str, ...]) -> DataFrame:
+    """Each real atom as a pair with itself, told without its system."""
+    own = {"i": "atom_idx", "j": "atom_idx", "zi": "z", "zj": "z"} | {f"{c}_{s}": c for c in carried for s in "ij"}
+    zero = [F.lit(0.0).alias(v) for v in AXES]
+    return real_atoms(atoms).filter("sys_id IS NOT NULL").select("sys_id", *[F.col(c).alias(n) for n, c in own.items()], *zero, F.sqrt(F.lit(k.EPS)).alias("d"))
 
 
 def _apart(df: DataFrame, names: list[str], sign: float = 1.0) -> DataFrame:
