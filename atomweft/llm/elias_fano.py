@@ -17,18 +17,26 @@ _HEAD = struct.Struct("<QQB7xQQ")  # n, first, low bits, bytes of low part, byte
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Each value's lowest `width` bits, little-endian, without gaps."""
-    out = np.zeros(((len(values) * width + 63) // 64 + 1) * 64, np.uint8)
-    if width:
-        view = out[: len(values) * width].reshape(-1, width)
-        for b in range(width):
-            view[:, b] = (values >> np.uint64(b)) & np.uint64(1)
-    return np.packbits(out, bitorder="little").view("<u8")
+    n, out = len(values), np.zeros((len(values) * width + 63) // 64 + 1, "<u8")
+    if n and width:
+        v = values & np.uint64((1 << width) - 1)
+        bit = np.arange(n, dtype=np.uint64) * np.uint64(width)
+        shift = bit & np.uint64(63)
+        starts = (np.arange((int(bit[-1]) >> 6) + 1) * 64 + width - 1) // width  # the first value that begins in each word
+        out[: len(starts)] = np.add.reduceat(v << shift, starts)
+        over = np.flatnonzero(shift > np.uint64(64 - width))  # ends in the next word, where no other's end is
+        out[(bit[over] >> np.uint64(6)).astype(np.int64) + 1] |= v[over] >> (np.uint64(64) - shift[over])
+    return out
 
 
 def _unpack(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     if not width:
         return np.zeros(len(at), np.uint64)
     bit = at.astype(np.uint64) * np.uint64(width)
+    if width <= 57:  # within the eight bytes from the one where it begins
+        words = np.ascontiguousarray(words)
+        held = np.ndarray((8 * len(words) - 7,), "<u8", words, 0, (1,))
+        return held[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)) & np.uint64((1 << width) - 1)
     word, shift = (bit >> np.uint64(6)).astype(np.int64), bit & np.uint64(63)
     low = words[word] >> shift
     up = np.where(shift > 0, words[np.minimum(word + 1, len(words) - 1)] << ((np.uint64(64) - shift) & np.uint64(63)), np.uint64(0))
@@ -125,7 +133,7 @@ class EliasFano:
         """All values at once."""
         if not self.n:
             return np.zeros(0, np.int64)
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
+        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little").view(bool))[: self.n]
         high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
         rel = high | _unpack(self.low, np.arange(self.n), self.width)
         return (rel + np.uint64(self.first & 0xFFFFFFFFFFFFFFFF)).view(np.int64)

@@ -34,7 +34,6 @@ from __future__ import annotations
 import io
 import zlib
 from functools import cached_property
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -52,16 +51,29 @@ MOST_TASKS = 65_536
 END = b"\n"  # no word has white space
 STEP = 1024.0  # codes a power of two
 ZERO = 65_535
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+_SPACE = (_BYTES == 32) | (_BYTES >= 9) & (_BYTES <= 13)
 VALUES = np.append(2.0 ** (-np.arange(ZERO) / STEP), 0.0)
 BLOBS = "chunk long, file int, b binary"
 ANSWERS = "chunk long, file int, n long, a binary, x binary"  # a: places of n keys, x: what else is known of them
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    words = (text or b"").translate(_LOWER).split()
-    words.append(END)
-    return words
+def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of binary texts without what is between them: how many each text has, their lengths, their bytes in lower case."""
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
+    offsets = np.frombuffer(texts.buffers()[1], "<i8", len(texts) + 1, 8 * texts.offset)
+    held = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    word = ~_SPACE[held]
+    edge = np.zeros(len(held) + 1, bool)  # where another text begins
+    edge[offsets] = True
+    edge[1:-1] |= ~word[:-1]
+    starts = np.flatnonzero(word & edge[:-1])
+    edge[1:-1] = ~word[1:]
+    edge[offsets] = True
+    lengths = np.flatnonzero(word & edge[1:]) + 1 - starts
+    return np.diff(np.searchsorted(starts, offsets)), lengths, _LOWER[held[word]]
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -76,6 +88,50 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) >> 1
 
 
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return x << np.uint64(by) | x >> np.uint64(64 - by)
+
+
+def word_keys(held: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """word_key of many words: XXH64 of all that have a length at once, of 32 bytes and more one by one."""
+    lengths, out = np.diff(offsets), np.zeros(len(offsets) - 1, np.int64)
+    for n in np.unique(lengths).tolist():
+        which = np.flatnonzero(lengths == n)
+        if n >= 32:
+            out[which] = [word_key(held[a : a + n].tobytes()) for a in offsets[which].tolist()]
+            continue
+        padded = np.zeros((len(which), 32), np.uint8)
+        padded[:, :n] = held[offsets[which][:, None] + np.arange(n)]
+        h, at = np.full(len(which), _P5 + np.uint64(n)), n // 8 * 8
+        for lane in padded.view("<u8").T[: n // 8]:
+            h = _turned(h ^ _turned(lane * _P2, 31) * _P1, 27) * _P1 + _P4
+        if n - at >= 4:
+            h = _turned(h ^ padded.view("<u4")[:, at // 4].astype(np.uint64) * _P1, 23) * _P2 + _P3
+            at += 4
+        for k in range(at, n):
+            h = _turned(h ^ padded[:, k].astype(np.uint64) * _P5, 11) * _P1
+        for shift, by in ((33, _P2), (29, _P3)):
+            h = (h ^ h >> np.uint64(shift)) * by
+        out[which] = ((h ^ h >> np.uint64(32)) >> np.uint64(1)).view(np.int64)
+    return out
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with its inverse, of numbers from 0; where key and place fit 63 bits both are sorted as one number."""
+    low = len(keys).bit_length()
+    if not len(keys) or int(keys.max()) >> (63 - low):
+        return np.unique(keys, return_inverse=True)
+    both = np.sort(keys << low | np.arange(len(keys)))
+    where, keys = both & ((1 << low) - 1), both >> low
+    first = np.concatenate([[True], keys[1:] != keys[:-1]])
+    back = np.empty(len(keys), np.int64)
+    back[where] = np.cumsum(first) - 1
+    return keys[first], back
+
+
 # files and blobs ----------------------------------------------------------------------------
 
 
@@ -95,20 +151,45 @@ def _least_type(x: np.ndarray) -> str:
     return "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4" if top < 1 << 32 else "<u8"
 
 
-def _numbers(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned numbers of equal length, compressed, low bytes before high ones."""
+def _planes(arrays) -> tuple[bytes, bytes]:
+    """Widths, and the bytes of arrays of unsigned numbers, low bytes before high ones."""
     kinds = [_least_type(x) for x in arrays]
-    planes = [x.astype(k).view(np.uint8).reshape(len(x), int(k[2])).T.tobytes() for x, k in zip(arrays, kinds)]
-    return bytes(int(k[2]) for k in kinds) + zlib.compress(b"".join(planes), 1)
+    return bytes(int(k[2]) for k in kinds), b"".join(x.astype(k).view(np.uint8).reshape(len(x), int(k[2])).T.tobytes() for x, k in zip(arrays, kinds))
 
 
-def _unnumbers(b: bytes, n: int, count: int) -> list[np.ndarray]:
-    raw, at, out = zlib.decompress(b[count:]), 0, []
-    for width in b[:count]:
-        plane = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
-        out.append(np.ascontiguousarray(plane.T).view(f"<u{width}").reshape(n).astype(np.int64))
-        at += width * n
-    return out
+def _unplanes(raw: bytes, at: int, n: int, width: int) -> np.ndarray:
+    plane = np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n)
+    return np.ascontiguousarray(plane.T).view(f"<u{width}").reshape(n).astype(np.int64)
+
+
+def _numbers(x: np.ndarray) -> bytes:
+    """Unsigned numbers, compressed."""
+    width, raw = _planes([x])
+    return width + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unnumbers(b: bytes, n: int) -> np.ndarray:
+    return _unplanes(pa.decompress(b[1:], n * b[0], "zstd", asbytes=True), 0, n, b[0])
+
+
+def _codes(alpha: np.ndarray, beta: np.ndarray) -> bytes:
+    """Codes of probabilities and back-offs, compressed: where few pairs of them occur, their places in a table, frequent ones first. Deflate makes them smaller than zstd does."""
+    table, which = grouped(alpha.astype(np.int64) << 16 | beta)
+    joined = 5 * len(table) < len(which)
+    if joined:
+        by = np.argsort(-np.bincount(which), kind="stable")
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        alpha, beta = table[by], rank[which]
+    widths, raw = _planes([alpha, beta])
+    return (len(table) if joined else 0).to_bytes(4, "little") + widths + zlib.compress(raw, 1)
+
+
+def _uncodes(b: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    size, raw = int.from_bytes(b[:4], "little"), zlib.decompress(b[6:])
+    first = _unplanes(raw, 0, size or n, b[4])
+    second = _unplanes(raw, (size or n) * b[4], n, b[5])
+    return (first[second] >> 16, first[second] & 0xFFFF) if size else (first, second)
 
 
 def _steps(at: np.ndarray) -> np.ndarray:
@@ -134,12 +215,17 @@ def unblob(b: bytes) -> tuple[np.ndarray, np.ndarray]:
         return both[: len(both) // 2], both[len(both) // 2 :]
     ef, at = EliasFano.from_buffer(b, 1)
     keys = ef.decode()
-    return keys, _unnumbers(b[at:], len(keys), 1)[0]
+    return keys, _unnumbers(b[at:], len(keys))
+
+
+def _order(files: np.ndarray) -> np.ndarray:
+    """A stable order by file; of numbers of 16 bits that takes no comparisons."""
+    return np.argsort(files.astype(np.uint16) if int(files.max(initial=0)) < 1 << 16 else files, kind="stable")
 
 
 def blobs(chunk: int, files: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
     """A row for each file; keys ascend within a file."""
-    order = np.argsort(files, kind="stable")
+    order = _order(files)
     files, keys, counts = files[order], keys[order], counts[order]
     edges = np.flatnonzero(np.concatenate([[True], files[1:] != files[:-1]])) if len(files) else np.zeros(0, np.int64)
     ends = np.append(edges[1:], len(files))
@@ -148,13 +234,17 @@ def blobs(chunk: int, files: np.ndarray, keys: np.ndarray, counts: np.ndarray) -
 
 
 def merged(pdf: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The keys of each blob; all keys with a count, ascending, and their total counts."""
+    """All keys of the blobs, ascending, their total counts, and for each blob the places of its own keys among them."""
     parts = [unblob(b) for b in pdf["b"]]
-    keys, counts = (np.concatenate(x) for x in zip(*[(k[c > 0], c[c > 0]) for k, c in parts]))
+    keys, counts = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(keys, kind="stable")
     keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return [k for k, _ in parts], keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    back = np.empty(len(keys), np.int64)
+    back[order] = np.cumsum(first) - 1
+    ends = np.cumsum([len(k) for k, _ in parts])
+    return np.split(back, ends[:-1]), keys[first], np.add.reduceat(counts[order], np.flatnonzero(first)) if len(keys) else counts
 
 
 # levels -------------------------------------------------------------------------------------
@@ -171,13 +261,16 @@ class Codes:
 
     @staticmethod
     def encode(codes: np.ndarray) -> bytes:
-        table, which = np.unique(codes, return_inverse=True)
+        table = np.flatnonzero(np.bincount(codes, minlength=ZERO + 1))
+        places = np.zeros(ZERO + 1, np.int64)
+        places[table] = np.arange(len(table))
+        which = places[codes]
         width = max(1, (len(table) - 1).bit_length()) if len(table) else 1
         packed, raw = _pack(which.astype(np.uint64), width), table.astype("<u2").tobytes()
         return np.array([len(codes), len(table), width, len(packed)], "<u8").tobytes() + raw + b"\0" * (-len(raw) % 8) + packed.tobytes()
 
     def many(self, at: np.ndarray) -> np.ndarray:
-        return self.table[_unpack(self.packed, at, self.width).astype(np.int64)] if len(at) else np.zeros(0, "<u2")
+        return self.table[_unpack(self.packed, at, self.width)] if len(at) else np.zeros(0, "<u2")
 
 
 class Words:
@@ -224,7 +317,7 @@ class Level:
         totals = np.bincount(context, counts, contexts) if total is None else np.full(contexts, float(total))
         totals = np.maximum(totals, 1)
         pointers = np.concatenate([[0], np.cumsum(seen)])
-        vocabulary, rank = np.unique(word, return_inverse=True)
+        vocabulary, rank = grouped(word)
         used = np.flatnonzero(seen)
         tops = rank[pointers[used + 1] - 1] if len(used) else np.zeros(0, np.int64)
         base = np.zeros(contexts, np.int64)
@@ -243,10 +336,12 @@ class Level:
             return np.full(len(word), -1), np.full(len(word), ZERO), self.backoff.many(context)
         values, vocabulary, pointers = self.decoded
         lo, hi = pointers[context], pointers[context + 1]
-        rank = np.minimum(np.searchsorted(vocabulary, word), len(vocabulary) - 1)
+        asked, back = grouped(word)
+        rank = np.minimum(np.searchsorted(vocabulary, asked), len(vocabulary) - 1)
+        listed, rank = (vocabulary[rank] == asked)[back], rank[back]
         target = rank + np.where(lo > 0, values[np.maximum(lo, 1) - 1], 0)
         at = np.minimum(np.maximum(np.searchsorted(values, target), lo), len(values) - 1)
-        hit = (vocabulary[rank] == word) & (at < hi) & (values[at] == target)
+        hit = listed & (at < hi) & (values[at] == target)
         return np.where(hit, at, -1), np.where(hit, self.alpha.many(at), ZERO), self.backoff.many(context)
 
     def one(self, context: int, word: int) -> tuple[int, float, float]:
@@ -324,7 +419,7 @@ class Model:
 
     def probability(self, words: list[str]) -> float:
         """Of the last word after at most two before it ("\\n" is the end, None the begin), by selects on the mapped files."""
-        keys = [None if w is None else word_key(w.encode().translate(_LOWER)) for w in words[-3:]]
+        keys = [None if w is None else word_key(w.encode().translate(_LOWER.tobytes())) for w in words[-3:]]
         ids, count = [], 0
         for k in keys:
             if k is None:
@@ -365,35 +460,42 @@ def cut(docs: DataFrame, folder: str, chunk_tokens: int) -> DataFrame:
         from pyspark import TaskContext
 
         part, seq, n = TaskContext.get().partitionId(), 0, 0
-        local: dict[bytes, int] = {}
-        index, doc, train, size = [], [], [], []
+        parts, doc, train, size = [], [], [], []
 
         def flush():
-            keys, place = np.unique(np.fromiter(map(word_key, local), np.int64, len(local)), return_inverse=True)
+            lengths, held = (np.concatenate(x) for x in zip(*parts))
+            offsets = np.concatenate([[0], np.cumsum(lengths)])
+            words = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(held)]).dictionary_encode()
+            local = pa.concat_arrays([words.dictionary, pa.array([END], pa.large_binary())])
+            keys, place = np.unique(word_keys(np.frombuffer(local.buffers()[2], np.uint8), np.frombuffer(local.buffers()[1], "<i8", len(local) + 1)), return_inverse=True)
             chunk, width = part << 24 | seq, max(1, (len(keys) - 1).bit_length())
-            sizes, known = np.array(size), np.array([d is not None for d in doc])
+            sizes, known, mine = np.concatenate(size), np.array([d is not None for d in doc]), np.array(train, bool)
+            index, inner = np.full(int(sizes.sum()), place[-1]), np.ones(int(sizes.sum()), bool)
+            inner[np.cumsum(sizes) - 1] = False
+            index[inner] = place[words.indices.to_numpy()]
             store.write_atomic(f"{folder}/keys/{chunk}.bin", EliasFano.encode(keys).to_bytes())
             _save(
-                f"{folder}/tokens/{chunk}.npz", words=np.array(len(keys)), index=_pack(place[np.concatenate(index)].astype(np.uint64), width), width=np.array(width), size=sizes,
-                doc=np.array([d or 0 for d in doc], np.int64), known=known, train=np.array(train, bool),
+                f"{folder}/tokens/{chunk}.npz", words=np.array(len(keys)), index=_pack(index.astype(np.uint64), width), width=np.array(width), size=sizes,
+                doc=np.array([d or 0 for d in doc], np.int64), known=known, train=mine,
             )
-            mine = np.array(train, bool)
             return pa.RecordBatch.from_pydict({"chunk": [chunk], "docs": [int(mine.sum())], "tokens": [int(sizes[mine].sum())]})
 
         for batch in batches:
-            for d, text, t in zip(*[c.to_pylist() for c in batch.columns]):
-                words = tokens(text)
-                got = np.fromiter(map(local.get, words, repeat(-1)), np.int64, len(words))
-                for k in np.flatnonzero(got < 0).tolist():
-                    got[k] = local.setdefault(words[k], len(local))
-                index.append(got.astype(np.uint32))
-                doc.append(d)
-                train.append(bool(t))
-                size.append(len(words))
-                n += len(words)
+            ids, trained = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            each, lengths, held = split_words(batch.column(1))
+            ends, bytes_to = np.cumsum(each + 1), np.concatenate([[0], np.cumsum(lengths)])
+            words_to, a = np.concatenate([[0], np.cumsum(each)]), 0
+            while a < len(ids):  # a chunk ends with the text that fills it
+                b = min(len(ids), a + 1 + int(np.searchsorted(ends[a:] - (ends[a - 1] if a else 0), chunk_tokens - n)))
+                v, w = words_to[a], words_to[b]
+                parts.append((lengths[v:w], held[bytes_to[v] : bytes_to[w]]))
+                size.append(each[a:b] + 1)
+                doc += ids[a:b]
+                train += map(bool, trained[a:b])
+                n, a = n + int(size[-1].sum()), b
                 if n >= chunk_tokens:
                     yield flush()
-                    seq, n, local, index, doc, train, size = seq + 1, 0, {}, [], [], [], []
+                    seq, n, parts, doc, train, size = seq + 1, 0, [], [], [], []
         if doc:
             yield flush()
 
@@ -418,7 +520,7 @@ class Chunk:
         """ids and counts of the local words; a last one stands for all unknown words, one more for the begin of a text."""
         n, words = self.words, model.words
         files = np.repeat([r[0] for r in answers], [r[1] for r in answers]).astype(np.int64)
-        at, (self.counts,) = _answered_places(answers, files), _answered(answers, files, 1)
+        at, self.counts = _answered_places(answers, files), _answered_counts(answers, files)
         ids = np.where(at >= 0, at + model.bases[0][files], -1)
         self.ids = np.concatenate([ids, [words, words]])
         self.word = np.where(ids[self.index] >= 0, self.index, n)
@@ -427,12 +529,12 @@ class Chunk:
 
     def pairs(self) -> None:
         """Distinct (context, word) of local words with a known context; `pair` has each token's, -1 without one."""
-        m = self.words + 2
-        ask = np.flatnonzero(self.before != m - 2)
-        found, back = np.unique(self.before[ask] * m + self.word[ask], return_inverse=True)
+        low = (self.words + 2).bit_length()
+        ask = np.flatnonzero(self.before != self.words)
+        found, back = grouped(self.before[ask] << low | self.word[ask])
         self.pair = np.full(len(self.word), -1)
         self.pair[ask] = back
-        self.pair_context, self.pair_word = self.ids[found // m], self.ids[found % m]
+        self.pair_context, self.pair_word = self.ids[found >> low], self.ids[found & ((1 << low) - 1)]
         self.pair_count = np.bincount(back[self.trained[ask]], minlength=len(found))
 
     def paired(self, model: Model, answers: list) -> None:
@@ -440,21 +542,21 @@ class Chunk:
         files, _ = model.layouts[0].place(self.pair_context, self.pair_word)
         at = _answered_places(answers, files)
         if all(r[3] is not None for r in answers):
-            alpha, beta = _answered(answers, files, 2)
+            alpha, beta = _answered_codes(answers, files)
             self.pair_codes = alpha, _spread(model, 2, self.pair_context, beta)
         self.triples(np.where(at >= 0, at + model.bases[1][files], -1))
 
     def triples(self, entry: np.ndarray) -> None:
         """Distinct (pair, word) whose pair has an entry of level two; `triple` has each token's, -1 without one."""
-        m = self.words + 2
+        low = (self.words + 2).bit_length()
         before = np.concatenate([[-1], self.pair[:-1]])
         before[self.starts] = -1
         ask = np.flatnonzero(before >= 0)
         ask = ask[entry[before[ask]] >= 0]
-        found, back = np.unique(before[ask] * m + self.word[ask], return_inverse=True)
+        found, back = grouped(before[ask] << low | self.word[ask])
         self.triple = np.full(len(self.word), -1)
         self.triple[ask] = back
-        self.triple_context, self.triple_word = entry[found // m], self.ids[found % m]
+        self.triple_context, self.triple_word = entry[found >> low], self.ids[found & ((1 << low) - 1)]
         self.triple_count = np.bincount(back[self.trained[ask]], minlength=len(found))
 
 
@@ -468,17 +570,21 @@ def _in_order(parts: list[np.ndarray], files: np.ndarray) -> np.ndarray:
     """Numbers of answers in the order in which the keys went out to `files`."""
     out = np.zeros(len(files), np.int64)
     if parts:
-        out[np.argsort(files, kind="stable")] = np.concatenate(parts)
+        out[_order(files)] = np.concatenate(parts)
     return out
 
 
 def _answered_places(rows: list, files: np.ndarray) -> np.ndarray:
-    return _in_order([_places(_unnumbers(r[2], r[1], 1)[0]) for r in rows], files)
+    return _in_order([_places(_unnumbers(r[2], r[1])) for r in rows], files)
+
+
+def _answered_counts(rows: list, files: np.ndarray) -> np.ndarray:
+    return _in_order([_unnumbers(r[3], r[1]) for r in rows], files)
 
 
-def _answered(rows: list, files: np.ndarray, count: int) -> list[np.ndarray]:
-    parts = [_unnumbers(r[3], r[1], count) for r in rows]
-    return [_in_order([p[k] for p in parts], files) for k in range(count)]
+def _answered_codes(rows: list, files: np.ndarray) -> list[np.ndarray]:
+    parts = [_uncodes(r[3], r[1]) for r in rows]
+    return [_in_order([p[k] for p in parts], files) for k in (0, 1)]
 
 
 def _put(uri: str, rows: list) -> None:
@@ -538,13 +644,14 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
     def word_shard(pdf: pd.DataFrame) -> pd.DataFrame:
         f = int(pdf["file"].iloc[0])
         asked, keys, counts = merged(pdf)
+        own, seen = keys[counts > 0], counts[counts > 0]
         if built:
-            store.write_atomic(made.path(1, f), Words.encode(keys, counts))
-        level, hot = Words(store.mapped(made.path(1, f)) if built or made.bases[0][f + 1] > made.bases[0][f] else Words.encode(keys[:0], counts[:0])), np.flatnonzero(counts > share)
-        rows = [(-1, f, len(keys), _packed(hot, counts[hot]), b"")]
+            store.write_atomic(made.path(1, f), Words.encode(own, seen))
+        level, hot = Words(store.mapped(made.path(1, f)) if built or made.bases[0][f + 1] > made.bases[0][f] else Words.encode(keys[:0], counts[:0])), np.flatnonzero(seen > share)
+        rows = [(-1, f, len(own), _packed(hot, seen[hot]), b"")]
+        at, n = level.find(keys)
         for c, k in zip(pdf["chunk"], asked):
-            at, n = level.find(k)
-            rows.append((c, f, len(k), _numbers(_steps(at)), _numbers(n)))
+            rows.append((c, f, len(k), _numbers(_steps(at[k])), _numbers(n[k])))
         return pd.DataFrame(rows, columns=["chunk", "file", "n", "a", "x"])
 
     def ended(answers: DataFrame, level: int, files: int) -> dict[int, int]:
@@ -573,16 +680,16 @@ def _run(docs: DataFrame, folder: str, model: Model | None, discount: float, sha
             f = int(pdf["file"].iloc[0])
             layout = made.layouts[level - 2]
             asked, keys, counts = merged(pdf)
+            contexts, context, word, whole = layout.split(f, keys)
+            own = np.flatnonzero(counts > 0)
             if built:
-                contexts, context, word, whole = layout.split(f, keys)
-                store.write_atomic(made.path(level, f), Level.encode(contexts, context, word, counts, discount, whole))
+                store.write_atomic(made.path(level, f), Level.encode(contexts, context[own], word[own], counts[own], discount, whole))
             have = built or made.bases[level - 1][f + 1] > made.bases[level - 1][f]
-            table, hot = Level(store.mapped(made.path(level, f))) if have else None, np.flatnonzero(counts > share)
-            rows = [(-1, f, len(keys), _packed(hot, counts[hot]), b"")]
+            hot = np.flatnonzero(counts[own] > share)
+            rows = [(-1, f, len(own), _packed(hot, counts[own[hot]]), b"")]
+            at, alpha, beta = Level(store.mapped(made.path(level, f))).find(context, word) if have else (np.full(len(keys), -1), np.full(len(keys), ZERO), np.full(len(keys), ZERO))
             for c, k in zip(pdf["chunk"], asked):
-                contexts, context, word, _ = layout.split(f, k)
-                at, alpha, beta = table.find(context, word) if have else (np.full(len(k), -1), np.full(len(k), ZERO), np.full(len(k), ZERO))
-                rows.append((c, f, len(k), _numbers(_steps(at)) if level == 2 else b"", _numbers(alpha, beta)))
+                rows.append((c, f, len(k), _numbers(_steps(at[k])) if level == 2 else b"", _codes(alpha[k], beta[k])))
             return pd.DataFrame(rows, columns=["chunk", "file", "n", "a", "x"])
 
         return run
@@ -649,14 +756,14 @@ def _scored(model: Model, answers, folder: str) -> tuple[Model, DataFrame]:
         it.named(model, _get(f"{folder}/words/{it.chunk}.bin"))
         it.pairs()
         it.paired(model, _rows_of(pdf[pdf["level"] == 2]))
-        alpha, beta = _answered(_rows_of(pdf[pdf["level"] == 3]), model.layouts[1].place(it.triple_context, it.triple_word)[0], 2)
+        alpha, beta = _answered_codes(_rows_of(pdf[pdf["level"] == 3]), model.layouts[1].place(it.triple_context, it.triple_word)[0])
         codes3 = alpha, _spread(model, 3, it.triple_context, beta)
-        p = model.unigram(it.counts)[it.index]
-        base = np.log10(p)
+        single = model.unigram(it.counts)
+        p, base = single[it.index], np.log10(single)[it.index]
         for which, (alpha, beta) in ((it.pair, it.pair_codes), (it.triple, codes3)):
             ask = np.flatnonzero(which >= 0)
-            a, b = VALUES[alpha[which[ask]]], VALUES[beta[which[ask]]]
-            p[ask] = a + np.where(b > 0, b, 1.0) * p[ask]
+            a, b, of = VALUES[alpha], np.where(beta == ZERO, 1.0, VALUES[beta]), which[ask]
+            p[ask] = a[of] + b[of] * p[ask]
         add = lambda x: np.add.reduceat(x, it.starts)
         known = add((it.counts > 0)[it.index].astype(np.int64))
         return pd.DataFrame({"doc_id": pd.array(it.doc, "Int64"), "n_tokens": it.size, "n_known": known, "train_tokens": model.total, "base_score": add(base), "score": add(np.log10(p))})

@@ -9,6 +9,7 @@ import gzip
 import hashlib
 import io
 import math
+import pstats
 import random
 import re
 import time
@@ -17,9 +18,11 @@ from collections import Counter, defaultdict
 from itertools import combinations, permutations
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
-from atomweft.llm import common, components, language, mixing, ngrams, packing, quality, secrets, simhash, syncmers, token_files, warc, wordpiece
+from atomweft.llm import common, components, elias_fano, language, mixing, ngrams, packing, quality, secrets, simhash, syncmers, token_files, warc, wordpiece
 from atomweft.llm.elias_fano import EliasFano
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -766,6 +769,74 @@ def test_ngrams(spark, docs, rows, empty, shard_bytes, chunk_tokens):
     assert math.isclose(mass, 1, rel_tol=0.002)
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.text("aAzZ@[`{ \n\t\x0b\x1c\x85éÉ日", max_size=90), max_size=12), st.integers(0, 3))
+def test_ngrams_words_of_many_texts(texts, skipped):
+    held = pa.array([None if t is None else t.encode() for t in texts], pa.binary()).slice(min(skipped, len(texts)))
+    want = [(t or "").encode().translate(LOWER).split() for t in texts[skipped:]]
+    each, lengths, data = ngrams.split_words(held)
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    flat = [w for words in want for w in words]
+    assert each.tolist() == [len(words) for words in want]
+    assert [data[a:b].tobytes() for a, b in zip(offsets, offsets[1:])] == flat
+    assert ngrams.word_keys(data, offsets).tolist() == [xxhash.xxh64_intdigest(w) >> 1 for w in flat]
+
+
+def test_ngrams_keys_are_looked_up_once():
+    """Chunks that ask for the same key share its place; keys with no count are asked for, but not of the model."""
+    a, b = np.array([3, 5, 9]), np.array([1, 5, 9, 1 << 40])
+    sent = pd.DataFrame({"chunk": [0, 1], "b": [ngrams.blob(a, np.array([2, 1, 0])), ngrams.blob(b, np.array([1, 4, 0, 0]))]})
+    places, keys, counts = ngrams.merged(sent)
+    assert keys.tolist() == [1, 3, 5, 9, 1 << 40] and counts.tolist() == [1, 2, 5, 0, 0]
+    assert [keys[p].tolist() for p in places] == [a.tolist(), b.tolist()]
+    rng = np.random.default_rng(4)
+    for n, top in ((0, 9), (1, 9), (5000, 40), (5000, 1 << 40), (5000, 1 << 62)):
+        got, want = ngrams.grouped(x := rng.integers(0, top, n)), np.unique(x, return_inverse=True)
+        assert all((g == w).all() for g, w in zip(got, want))
+
+
+def test_ngrams_bit_packing():
+    rng = np.random.default_rng(4)
+    for width in range(64):
+        for n in (0, 1, 63, 64, 65, 700):
+            values = rng.integers(0, 1 << 63, n).astype(np.uint64)
+            bits = "".join(format(int(v), "064b")[::-1][:width] for v in values)
+            words = elias_fano._pack(values, width)
+            assert "".join(format(int(w), "064b")[::-1] for w in words) == bits.ljust(64 * len(words), "0") and len(words) == (n * width + 63) // 64 + 1
+            at = rng.integers(0, n, n) if n else np.zeros(0, np.int64)
+            assert (elias_fano._unpack(words, at, width) == values[at] & np.uint64((1 << width) - 1)).all()
+
+
+def test_ngrams_codes():
+    """Answers are the same whether their codes go as pairs of a table or as they are; rare n-grams, with few pairs, take little."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 64, 5000):
+        for top in (1, 3, 300, 1 << 16):
+            alpha, beta = (rng.integers(0, top, n).astype("<u2") for _ in range(2))
+            got = ngrams._uncodes(ngrams._codes(alpha, beta), n)
+            assert (got[0] == alpha).all() and (got[1] == beta).all()
+    kind = rng.integers(0, 16, 20_000)
+    assert len(ngrams._codes(rng.permutation(60_000)[kind], rng.permutation(60_000)[kind])) < 20_000 * 0.8
+
+
+def test_ngrams_without_a_python_call_for_each_word(spark, tmp_path):
+    """The calls that the workers make don't grow with the words (before: several for each different word)."""
+    conf, calls = "spark.sql.pyspark.udf.profiler", []
+    for n in (500, 500, 30_000):  # the first run imports
+        docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(n // 4))) for k in range(4)], "doc_id long, text string").repartition(1)
+        spark.conf.set(conf, "perf")
+        try:
+            ngrams.train_and_score(docs, F.col("doc_id") > 0, common.shared_dir(spark, "trie"))[1].collect()
+            spark.profile.dump(str(tmp_path / str(len(calls))), type="perf")
+        finally:
+            spark.conf.unset(conf)
+            spark.profile.clear()
+        files = list((tmp_path / str(len(calls))).glob("*.pstats"))
+        assert files
+        calls.append(sum(pstats.Stats(str(f)).total_calls for f in files))
+    assert calls[2] < calls[1] + 30_000
+
+
 # 10 -----------------------------------------------------------------------------------------
 
 
